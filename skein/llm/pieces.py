@@ -25,7 +25,7 @@ from skein.llm.common import slices
 
 MARK = "▁"
 #: Words whose encodings a task keeps; beyond that it begins anew (a limit of memory, not of results).
-KEPT_WORDS = 700_000
+KEPT_WORDS = 400_000
 KEPT_PAIRS = 1_000_000
 
 

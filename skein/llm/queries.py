@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import decontaminate, language, pieces, simhash, toxicity
-from skein.llm.common import fold
+from skein.llm import decontaminate, html, language, merkle, pieces, quality, sharding, simhash, tokens, toxicity
+from skein.llm.common import fold, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    text = pages.select("page_id", "url", html.main_text(F.col("html")).alias("text"))
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = fold("doc_id", 5) == 0
@@ -26,15 +32,32 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
 
 
+def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 4) == 2
+    model = quality.trained(docs, _table(spark, sf_dir, "labels"), held_out)
+    scored = quality.quality(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "top_passage", "top_weight")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = tokens.Tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.token_counts(_table(spark, sf_dir, "documents"), tokenizer, limit=1024)
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     path = public_tokenizers.path("piece_bpe_32k.model")
@@ -50,8 +73,16 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    rows = written(rows, "shard-rows")  # the texts are read once; what is shuffled is narrow
+    out = sharding.shards(rows, [F.col("doc_id"), F.col("text_crc32"), F.col("size")], shards=16)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_toxicity, op4_simhash, op6_decontaminate, op8_sentencepiece, op9_language)}
+    return {f.__name__: f for f in (op1_html, op2_toxicity, op3_merkle, op4_simhash, op5_quality, op6_decontaminate, op7_tokens, op8_sentencepiece, op9_language, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -124,8 +124,8 @@ class SegmentModel:
         return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, a + b * math.log1p(total) + c * math.log1p(best)))))
 
 
-def _counted(sample: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
-    """Per table (buckets, 2): clean and toxic documents that have the bucket's words; documents of each kind."""
+def _tables(sample: DataFrame, sizes: tuple[int, int]) -> list[np.ndarray]:
+    """Per table the log-odds of each bucket's words, from the clean and toxic documents that have them."""
 
     def count(batch: pa.RecordBatch) -> dict:
         y = np.asarray(batch.column("y").to_numpy(zero_copy_only=False), np.int64)
@@ -140,29 +140,27 @@ def _counted(sample: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
             out["bucket"].append(some)
             out["clean"].append(np.bincount(where, minlength=len(some)) - toxic)
             out["toxic"].append(toxic)
-        for key, value in (("part", [len(TABLES)]), ("bucket", [0]), ("clean", [int((y == 0).sum())]), ("toxic", [int((y == 1).sum())])):
-            out[key].append(np.array(value))
         return {k: np.concatenate(v) for k, v in out.items()}
 
     rows = map_arrow(sample, count, "part long, bucket long, clean long, toxic long").groupBy("part", "bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    got = rows.toPandas()  # as many rows as the tables have buckets, at most
+    # most words tell nothing; the driver gets the buckets that do, and never more rows than the tables have
+    got = rows.select("part", "bucket", log_odds(F.col("clean"), F.col("toxic"), *sizes).cast("float").alias("odds")).where(F.abs("odds") > 0.02).toPandas()
     tables = []
     for part, (_, many) in enumerate(TABLES):
-        own, table = got[got["part"] == part], np.zeros((many, 2))
-        table[own["bucket"].to_numpy()] = own[["clean", "toxic"]].to_numpy()
+        own, table = got[got["part"] == part], np.zeros(many, np.float32)
+        table[own["bucket"].to_numpy()] = own["odds"].to_numpy()
         tables.append(table)
-    ends = got[got["part"] == len(TABLES)]
-    return tables, np.array([ends["clean"].sum(), ends["toxic"].sum()], float)
+    return tables
 
 
-def log_odds(table: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def log_odds(clean: Column, toxic: Column, all_clean: int, all_toxic: int) -> Column:
     """Log-odds of toxic against clean with a Dirichlet prior at the background rate, drawn DOUBT standard deviations to zero."""
-    rate = PRIOR * (table.sum(axis=1) + 0.01) / (sizes.sum() + 0.02)
-    inside, outside = table + rate[:, None], np.maximum(sizes - table, 0) + (PRIOR - np.minimum(rate, PRIOR - 0.01))[:, None]
-    odds = np.log(inside / outside)
-    delta = odds[:, 1] - odds[:, 0]
-    spread = np.sqrt((1 / inside).sum(axis=1))
-    return (np.sign(delta) * np.maximum(0, np.abs(delta) - DOUBT * spread)).astype(np.float32)
+    rate = (clean + toxic + 0.01) * PRIOR / (all_clean + all_toxic + 0.02)
+    beside = F.lit(PRIOR) - F.least(rate, F.lit(PRIOR - 0.01))
+    odds = lambda n, most: F.log((n + rate) / (F.greatest(F.lit(most) - n, F.lit(0)) + beside))
+    delta = odds(toxic, all_toxic) - odds(clean, all_clean)
+    spread = F.sqrt(1 / (clean + rate) + 1 / (toxic + rate))
+    return F.signum(delta) * F.greatest(F.lit(0.0), F.abs(delta) - DOUBT * spread)
 
 
 def trained(docs: DataFrame, labels: DataFrame, held_out: Column, most: int = 20_000, max_chars: int = 50_000) -> SegmentModel | None:
@@ -170,11 +168,10 @@ def trained(docs: DataFrame, labels: DataFrame, held_out: Column, most: int = 20
     sample = labelled_sample(docs, labels, "toxic", held_out, most, max_chars)
     sample = sample.withColumn("text", F.lower("text")).dropDuplicates(["text", "y"]).persist()
     try:
-        tables, sizes = _counted(sample)
-        if not sizes.all():
+        sizes = dict(map(tuple, sample.groupBy("y").count().collect()))
+        if not sizes.get(0) or not sizes.get(1):
             return None
-        model = SegmentModel([log_odds(t, sizes) for t in tables])
-        return _calibrated(model, sample)
+        return _calibrated(SegmentModel(_tables(sample, (sizes[0], sizes[1]))), sample)
     finally:
         sample.unpersist()
 
