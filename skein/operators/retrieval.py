@@ -25,8 +25,8 @@ def bm25(docs: DataFrame, key: str, text: str, terms: list[str], k1: float = K1,
     pass needs no shuffle of postings.
     """
     counted = docs.select(key, tokens(F.col(text)).alias("t"))
-    tf = {t: F.size(F.filter("t", lambda x, t=t: x == t)) for t in terms}
-    rows = counted.select(key, F.size("t").alias("length"), *[tf[t].alias(f"tf{k}") for k, t in enumerate(terms)])
+    occurrences = lambda term: F.size(F.filter("t", lambda x: x == F.lit(term)))
+    rows = counted.select(key, F.size("t").alias("length"), *[occurrences(t).alias(f"tf{k}") for k, t in enumerate(terms)])
     totals = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
     joined = rows.where(reduce(lambda x, y: x | y, [F.col(f"tf{k}") > 0 for k in range(len(terms))])).join(F.broadcast(totals))
     part = [
