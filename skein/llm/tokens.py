@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import broadcast_below, shared_folder, slices
+from skein.llm.common import broadcast_below, shared_folder, slices, written
 
 CACHE = T.StructType([T.StructField("content", T.StringType()), T.StructField("tokenizer", T.StringType()), T.StructField("n_tokens", T.LongType())])
-#: Ids of copies that a broadcast may hold; more are joined by a shuffle.
-COPIES_BROADCAST = 500_000
+#: Rows (an id and a digest, about 120 bytes) that a broadcast may hold; more are joined by a shuffle.
+ROWS_BROADCAST = 200_000
 # Fixed value: the pattern by which this kind of byte-level BPE parts texts.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -117,29 +117,34 @@ def _content(form: str | None):
     return F.sha2(text.cast("binary"), 256)
 
 
-def add_missing(docs: DataFrame, tokenizer: Tokenizer, cache: str) -> None:
+def digests(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    """(doc_id, n_bytes, content) of every row as a written table: texts are hashed once, what follows reads narrow rows."""
+    rows = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), _content(tokenizer.form).alias("content"))
+    return written(rows, "token-digests")
+
+
+def add_missing(docs: DataFrame, known_digests: DataFrame, tokenizer: Tokenizer, cache: str) -> None:
     """Encodes one document of each content that the cache (a folder of Parquet files) lacks, and appends the counts.
 
-    The digests are grouped before they meet the cache, so copies count once. Copies are then left out by their ids: by
-    a broadcast if they were counted to be few, else by a shuffle of (id, text) on the unique id, never on the digest.
+    The digests are grouped before they meet the cache, so copies count once. All other rows are then left out by id and
+    content: by a broadcast if they were counted to be few, else by a shuffle on that pair, never on the digest alone.
+    Rows without an id, and rows that are wholly equal, may be encoded more than once but are appended once.
     Should a run break off, the next one appends what is still missing.
     """
     spark = docs.sparkSession
-    digests = docs.select("doc_id", _content(tokenizer.form).alias("content"))
-    firsts = digests.groupBy("content").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
-    known = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == tokenizer.version) if _exists(docs, cache) else None
-    if known is not None:
-        had = known.select("content").distinct()
-        firsts = firsts.join(had, "content", "left_anti")
-        fresh = firsts.select(F.col("first").alias("doc_id"))
-        texts = docs.select("doc_id", "text").join(broadcast_below(fresh, COPIES_BROADCAST), "doc_id", "left_semi")
+    rows = docs.select("doc_id", "text", _content(tokenizer.form).alias("content"))
+    firsts = known_digests.groupBy("content").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
+    if _exists(docs, cache):
+        had = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == tokenizer.version).select("content").distinct()
+        fresh = written(firsts.join(had, "content", "left_anti").select(F.col("first").alias("doc_id"), "content"), "token-misses")
+        few = broadcast_below(fresh, ROWS_BROADCAST)
+        texts = rows.join(few, (rows["content"] == few["content"]) & rows["doc_id"].eqNullSafe(few["doc_id"]), "left_semi")
     else:
-        again = firsts.where("rows > 1").select("content", "first")
-        copies = digests.join(again, "content").where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id")
-        # rows without an id are never left out: they are encoded as they are
-        texts = docs.select("doc_id", "text").join(broadcast_below(copies.where("doc_id is not null"), COPIES_BROADCAST), "doc_id", "left_anti")
-    counted = texts.select(_content(tokenizer.form).alias("content"), F.lit(tokenizer.version).alias("tokenizer"), _counts(tokenizer)(F.coalesce("text", F.lit(""))).alias("n_tokens"))
-    counted.write.mode("append").parquet(cache)
+        again = written(firsts.where("rows > 1").select("content", "first"), "token-repeated")
+        copies = written(known_digests.join(again, "content").where("doc_id <> first").select("doc_id", "content").distinct(), "token-copies")
+        texts = rows.join(broadcast_below(copies, ROWS_BROADCAST), ["doc_id", "content"], "left_anti")
+    counted = texts.select("content", F.lit(tokenizer.version).alias("tokenizer"), _counts(tokenizer)(F.coalesce("text", F.lit(""))).alias("n_tokens"))
+    counted.dropDuplicates(["content"]).write.mode("append").parquet(cache)
 
 
 def _exists(docs: DataFrame, folder: str) -> bool:
@@ -165,8 +170,7 @@ def token_counts(docs: DataFrame, tokenizer: Tokenizer, limit: int, cache: str |
 
         cache = f"{shared_folder(spark)}/skein-token-cache-{uuid.uuid4().hex}"
     docs = docs.select("doc_id", "text")
-    add_missing(docs, tokenizer, cache)
+    rows = digests(docs, tokenizer)
+    add_missing(docs, rows, tokenizer, cache)
     known = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == tokenizer.version)
-    known = known.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    rows = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), _content(tokenizer.form).alias("content"))
-    return rows.join(known, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return rows.join(known.select("content", "n_tokens"), "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
