@@ -25,8 +25,8 @@ from skein.llm.common import slices
 
 MARK = "▁"
 #: Words whose encodings a task keeps; beyond that it begins anew (a limit of memory, not of results).
-KEPT_WORDS = 400_000
-KEPT_PAIRS = 1_000_000
+KEPT_WORDS = 200_000
+KEPT_PAIRS = 400_000
 
 
 @dataclass
@@ -244,15 +244,28 @@ class Decoder:
         return (out[1:] if out[:1] == b" " else out).decode("utf-8", errors="replace")
 
 
-_loaded: dict[str, tuple[TrieEncoder, Decoder]] = {}
+_vocabularies: dict[str, Vocabulary] = {}
+_encoders: dict[str, TrieEncoder] = {}
+_decoders: dict[str, Decoder] = {}
 
 
-def _ready(path: str) -> tuple[TrieEncoder, Decoder]:
+def _vocabulary(path: str) -> Vocabulary:
     """The model at a path that every executor has (it comes with an installed package), loaded once a worker."""
-    if path not in _loaded:
-        vocabulary = Vocabulary.load(path)
-        _loaded[path] = (TrieEncoder(vocabulary), Decoder(vocabulary))
-    return _loaded[path]
+    if path not in _vocabularies:
+        _vocabularies[path] = Vocabulary.load(path)
+    return _vocabularies[path]
+
+
+def _encoder(path: str) -> TrieEncoder:
+    if path not in _encoders:
+        _encoders[path] = TrieEncoder(_vocabulary(path))
+    return _encoders[path]
+
+
+def _decoder(path: str) -> Decoder:
+    if path not in _decoders:
+        _decoders[path] = Decoder(_vocabulary(path))
+    return _decoders[path]
 
 
 def encoded(text: Column, path: str) -> Column:
@@ -260,7 +273,7 @@ def encoded(text: Column, path: str) -> Column:
 
     def run(texts: pa.Array) -> pa.Array:
         out, sizes = [], [np.zeros(1, np.int64)]
-        encoder, _ = _ready(path)
+        encoder = _encoder(path)
         for part in slices(texts):
             ids = encoder.encode(part.to_pylist())
             out += ids
@@ -275,7 +288,7 @@ def decoded(ids: Column, path: str) -> Column:
     """The text of piece ids; null ids give an empty text. Exact for texts that the model's normaliser leaves as they are."""
 
     def run(lists: pa.Array) -> pa.Array:
-        _, decoder = _ready(path)
+        decoder = _decoder(path)
         values = lists.values.to_numpy(zero_copy_only=False)
         ends = lists.offsets.to_numpy()
         return pa.array([decoder.text(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
