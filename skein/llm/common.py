@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Text bytes that one numpy pass takes at a time (a longer text is one pass of its own).
 CHUNK_BYTES = 1 << 20
@@ -75,7 +76,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Co
 # --- batches ---------------------------------------------------------------------------------
 
 
-def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], schema: str | StructType) -> DataFrame:
     """mapInArrow with a function of one batch; it may return columns by name, or None for no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,10 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from skein.llm.common import slices
+from skein.llm.common import map_arrow, slices
 
 MARK = "▁"
 #: Words whose encodings a task keeps; beyond that it begins anew (a limit of memory, not of results).
@@ -294,3 +295,24 @@ def decoded(ids: Column, path: str) -> Column:
         return pa.array([decoder.text(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
 
     return F.arrow_udf(run, "string")(F.coalesce(ids, F.array().cast("array<int>")))
+
+
+def coded(docs: DataFrame, path: str) -> DataFrame:
+    """docs with `ids`, the piece ids of `text`, and `decoded`, the text that these ids stand for.
+
+    One worker encodes and decodes a megabyte of text at a time and hands it on, so a task never holds the ids of a whole
+    Arrow batch. A null or empty text has no ids and an empty decoded text; columns of docs by these two names are
+    replaced; repeated rows stay; an empty table gives an empty one.
+    """
+    rest = docs.drop("ids", "decoded")
+    schema = T.StructType([*rest.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        encoder, decoder = _encoder(path), _decoder(path)
+        ids = encoder.encode(batch.column("text").to_pylist())
+        ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+        texts = pa.array([decoder.text(x) for x in ids], pa.string())
+        return pa.RecordBatch.from_arrays([*batch.columns, lists, texts], names=schema.names)
+
+    return map_arrow(rest, run, schema)

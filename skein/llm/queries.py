@@ -60,10 +60,9 @@ def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    ids = docs.select("doc_id", "text", pieces.encoded(F.col("text"), path).alias("ids"))
-    same = pieces.decoded(F.col("ids"), path) == F.coalesce("text", F.lit(""))
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", same.alias("round_trip"))
+    found = pieces.coded(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", same.alias("round_trip"))
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -273,3 +273,20 @@ def test_queries_have_the_columns_of_their_contracts(spark):
     want = {"op1_html": "page_id url text n_chars", "op3_merkle": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", "op4_simhash": "doc_id fingerprint component_id", "op10_sharding": "doc_id size text_crc32 law shard slot grown_shard"}
     for name, columns in want.items():
         assert queries.queries()[name](spark, SF).columns[: len(columns.split())] == columns.split()
+
+
+def test_coded_cases(spark):
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    rows = [(1, "Plain words, twice: words.", 9), (1, "Plain words, twice: words.", 9), (2, None, None), (3, "", 1), (None, "привет 世界 \U0001f600", 2), (4, "x" * 3000, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids int")
+    got = pieces.coded(docs, path)
+    assert got.columns == ["doc_id", "text", "ids", "decoded"]
+    found = got.collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert list(r["ids"]) == sp.encode(r["text"] or "")
+        assert r["decoded"] == (r["text"] or "")
+    assert pieces.coded(docs.limit(0), path).count() == 0
