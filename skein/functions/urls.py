@@ -35,3 +35,34 @@ def without_tracking(url: Column) -> Column:
 
 def deterministic_id(prefix: str, namespace: str, key: Column) -> Column:
     return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(F.concat(F.lit(f"{namespace}:"), key), 256), 1, 24))
+
+
+# Languages that a URL's first path segment may name, and query keys that carry no identity.
+LOCALES = ("en", "ru", "de", "fr", "es", "it", "pt", "zh", "ja", "ko", "nl", "pl", "tr")
+TRACKING = ("fbclid", "gclid", "yclid", "mc_cid", "mc_eid", "amp", "locale", "lang")
+
+
+def _segments(url: Column) -> Column:
+    return F.filter(F.split(F.regexp_extract(url, r"^https?://[^/?#]+([^?#]*)", 1), "/"), lambda x: x != "")
+
+
+def locale(url: Column) -> Column:
+    """The language of a URL's first path segment (as in /de/ or /pt-br/), or null."""
+    first = F.split_part(F.lower(F.try_element_at(_segments(url), F.lit(1))), F.lit("-"), F.lit(1))
+    return F.when(first.isin(*LOCALES), first)
+
+
+def url_key(url: Column) -> Column:
+    """What makes two URLs the same page: https, host without www, path without locale and amp, other query pairs in order; empty without a host.
+
+    Query pairs are compared as they are written, escapes included.
+    """
+    server = F.regexp_replace(F.lower(F.regexp_extract(url, r"^https?://([^/?#]+)", 1)), r"^www\.", "")
+    parts = _segments(url)
+    parts = F.when(locale(url).isNotNull(), F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))).otherwise(parts)
+    path = F.regexp_replace(F.concat(F.lit("/"), F.array_join(parts, "/")), r"(?i:(^|/)amp$)|\.amp$", "$1")
+    path = F.regexp_replace(path, r"(.)/$", "$1")
+    key = lambda pair: F.lower(F.split_part(pair, F.lit("="), F.lit(1)))
+    pairs = F.filter(F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&"), lambda p: (p != "") & ~key(p).startswith("utm_") & ~key(p).isin(*TRACKING) & (F.lower(p) != "output=amp"))
+    query = F.array_join(F.array_sort(pairs), "&")
+    return F.when(server == "", "").otherwise(F.concat(F.lit("https://"), server, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))

@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _loaded() -> None:
-    from skein.plans import queues, relational, star, texts, windows  # noqa: F401
+    from skein.plans import documents, queues, relational, star, texts, windows  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
