@@ -77,3 +77,15 @@ def letters(text: Column, ranges: str) -> Column:
 def label(text: Column, most: int = 120) -> Column:
     """The text, or its beginning with an ellipsis where it is longer."""
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most - 1)), F.lit("…"))).otherwise(text)
+
+
+def numbers(text: Column) -> Column:
+    """The numbers written in a text, with their separators, in order of their characters, repeats included."""
+    return F.array_sort(F.regexp_extract_all(text, F.lit("[0-9]+(?:[.,][0-9]+)*"), F.lit(0)))
+
+
+def cut_at_word(text: Column, most: int) -> Column:
+    """The text, or its whole words that fit into so many characters with an ellipsis (the bare cut where the first word is longer)."""
+    start = F.left(text, F.lit(most - 1))
+    whole = F.rtrim(F.regexp_replace(start, r" [^ ]*$", ""))
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(whole, F.lit("…")))

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def nodes(sources: list[DataFrame]) -> DataFrame:
@@ -30,3 +31,15 @@ def dangling(edges: DataFrame, known: DataFrame) -> DataFrame:
     a, b = known.select(F.col("id").alias("src"), F.lit(True).alias("has_src")), known.select(F.col("id").alias("dst"), F.lit(True).alias("has_dst"))
     ends = edges.join(a, "src", "left").join(b, "dst", "left").where("has_src is null or has_dst is null")
     return ends.select("src", "dst", "relation", F.when(F.col("has_src").isNull() & F.col("has_dst").isNull(), "both").when(F.col("has_src").isNull(), "src").otherwise("dst").alias("lost"))
+
+
+def neighbourhood(edges: DataFrame, node: str, most: int) -> DataFrame:
+    """(way, relation, neighbour, hidden): a node's first neighbours of each relation and direction, and how many more there are.
+
+    A hub's neighbours are counted map-side, and cut to the first ones before they are shuffled.
+    """
+    out = edges.where(F.col("src") == node).select(F.lit("out").alias("way"), "relation", F.col("dst").alias("neighbour"))
+    near = out.unionByName(edges.where(F.col("dst") == node).select(F.lit("in").alias("way"), "relation", F.col("src").alias("neighbour")))
+    shown = near.withColumn("nth", F.row_number().over(Window.partitionBy("way", "relation").orderBy("neighbour"))).where(F.col("nth") <= most).drop("nth")
+    more = near.groupBy("way", "relation").agg(F.greatest(F.count("*") - most, F.lit(0)).alias("hidden"))
+    return shown.join(more, ["way", "relation"])

@@ -80,3 +80,9 @@ def evaluation(ranks: DataFrame, k: int) -> DataFrame:
         F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY ms)").alias("p50"),
         F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY ms)").alias("p95"),
     )
+
+
+def package(hits: DataFrame, key: str, score: str, size: int, floor: float) -> DataFrame:
+    """The strongest hits from a floor on, numbered from 1; only so many rows reach the numbering."""
+    chosen = hits.where(F.col(score) >= floor).orderBy(F.desc(score), key).limit(size)
+    return chosen.withColumn("ordinal", F.row_number().over(Window.orderBy(F.desc(score), key)))

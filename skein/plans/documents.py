@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import dates, texts, urls
-from skein.operators import graph, history
+from skein.operators import changes, graph, history, retrieval
 from skein.plans.registry import query
 from skein.session import table
 
@@ -145,3 +145,55 @@ def graph_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dangling_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _graph(spark, sf_dir)
     return graph.dangling(edges, nodes).groupBy("relation", "lost").agg(F.count("*").alias("n"))
+
+
+@query(r"SELECT doc_id, list_sort(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*')) AS numbers, CASE WHEN length(text) <= 80 THEN text ELSE rtrim(regexp_replace(left(text, 79), ' [^ ]*$', ''), ' ') || '…' END AS short FROM documents")
+def numbers_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", texts.numbers(F.col("text")).alias("numbers"), texts.cut_at_word(F.col("text"), 80).alias("short"))
+
+
+@query(rf"""
+WITH h AS (SELECT DISTINCT regexp_replace(lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)), '^www\.', '') AS host, count(*) OVER (PARTITION BY regexp_replace(lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)), '^www\.', '')) AS n FROM pages)
+SELECT array_to_string((string_split(host, '.'))[-2:], '.') AS domain, count(*) AS hosts, CAST(sum(n) AS BIGINT) AS pages, min(host) AS first FROM h GROUP BY 1
+""")
+def source_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts and pages of each registrable domain."""
+    hosts = table(spark, sf_dir, "pages").groupBy(urls.host(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
+    return hosts.groupBy(urls.registrable_domain(F.col("host")).alias("domain")).agg(F.count("*").alias("hosts"), F.sum("n").alias("pages"), F.min("host").alias("first"))
+
+
+@query(f"""
+WITH {_NODES}, h AS (SELECT 'out' AS way, relation, dst AS neighbour FROM e WHERE src = 'supplier:7' AND dst IN (SELECT id FROM n) UNION ALL SELECT 'in', relation, src FROM e WHERE dst = 'supplier:7' AND src IN (SELECT id FROM n)),
+r AS (SELECT *, row_number() OVER (PARTITION BY way, relation ORDER BY neighbour) AS nth, count(*) OVER (PARTITION BY way, relation) AS total FROM h) SELECT way, relation, neighbour, greatest(total - 20, 0) AS hidden FROM r WHERE nth <= 20
+""")
+def one_hop_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _graph(spark, sf_dir)
+    near = edges.where("src = 'supplier:7' or dst = 'supplier:7'")
+    return graph.neighbourhood(graph.attached(near, nodes), "supplier:7", 20)
+
+
+@query("""
+WITH l AS (SELECT l_orderkey || ':' || l_linenumber AS k, l_orderkey AS o, l_partkey, l_suppkey, l_returnflag FROM lineitem),
+a AS (SELECT k, sha256(l_partkey || '|' || l_suppkey || '|' || l_returnflag) AS h FROM l WHERE o % 10 <> 0), b AS (SELECT k, sha256(l_partkey || '|' || l_suppkey || '|' || CASE WHEN o % 7 = 0 THEN 'R' ELSE l_returnflag END) AS h FROM l WHERE o % 11 <> 0)
+SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'unexpected' ELSE 'changed' END AS state FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.h <> b.h
+""")
+def release_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a release that the present state has lost, added or changed."""
+    lines = table(spark, sf_dir, "lineitem").select(F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("k"), "l_orderkey", "l_partkey", "l_suppkey", "l_returnflag")
+    digest = lambda flag: F.sha2(F.concat_ws("|", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), flag), 256).alias("h")
+    flag = F.col("l_returnflag")
+    release = lines.where("l_orderkey % 10 <> 0").select("k", digest(flag))
+    state = lines.where("l_orderkey % 11 <> 0").select("k", digest(F.when(F.col("l_orderkey") % 7 == 0, "R").otherwise(flag)))
+    return changes.reconciled(state, release, "k", "h")
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM documents), r AS (SELECT doc_id, len(t) AS length, t FROM d), c AS (SELECT count(*) AS n, avg(length) AS mean FROM r),
+q AS (SELECT unnest(['the', 'worthless', 'ertion']) AS term), p AS (SELECT doc_id, length, term, len(list_filter(t, lambda x: x = term)) AS tf FROM r, q), f AS (SELECT term, count(*) FILTER (WHERE tf > 0) AS df FROM p GROUP BY term),
+s AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 5) AS score FROM p JOIN f USING (term), c GROUP BY doc_id HAVING sum(tf) > 0)
+SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS ordinal FROM s WHERE score >= 0.5 ORDER BY score DESC, doc_id LIMIT 8
+""")
+def evidence_package(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight strongest hits of a search, from a floor on."""
+    hits = retrieval.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", ["the", "worthless", "ertion"]).select("doc_id", F.round("score", 5).alias("score"))
+    return retrieval.package(hits, "doc_id", "score", 8, 0.5)
