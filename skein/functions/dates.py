@@ -15,7 +15,7 @@ _YEAR = r"^([0-9]{4})(?:-\?\?)*$"
 
 def _date(year: Column, month: Column, day: Column) -> Column:
     """The date, or null where there is none such."""
-    return F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
+    return F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0")).try_cast("date")
 
 
 def published(raw: Column) -> Column:

@@ -9,8 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space other than line ends, as one class for Java's and RE2's patterns.
-SPACES = r"[\t\x0B\x0C\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+#: White space other than line ends and the blank, for Java's and RE2's patterns.
+_OTHER = r"\t\x0B\x0C\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SPACES = f"[ {_OTHER}]+"
+#: The runs of it that are not one blank already, so that most of a text is copied as it is.
+_UNEVEN = f"[{_OTHER}][ {_OTHER}]*| [ {_OTHER}]+"
 CHUNK, WINDOWS, WINDOW_CHARS = 4000, 16, 120
 _LAST_BREAK = re.compile(r"(?s).*[ \n]")
 _CHUNKS = "array<struct<char_start: int, char_end: int, text: string>>"
@@ -24,7 +27,7 @@ def nfc(text: Column) -> Column:
 def canonical(text: Column) -> Column:
     """NFC, one kind of line end, white space inside lines as one blank, no more than two empty lines in a row, trimmed."""
     out = F.regexp_replace(F.regexp_replace(nfc(text), r"\x00", "�"), r"\r\n?", "\n")
-    out = F.regexp_replace(F.regexp_replace(out, SPACES, " "), " ?\n ?", "\n")
+    out = F.regexp_replace(F.regexp_replace(out, _UNEVEN, " "), " \n ?|\n ", "\n")
     return F.trim(F.regexp_replace(out, "\n{4,}", "\n\n\n"), F.lit(" \n"))
 
 
