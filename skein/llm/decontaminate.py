@@ -1,9 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds find candidate passages, Smith-Waterman alignment scores them.
 
 The corpus is scanned twice for each block of test items. The first scan counts, over all documents, how many hold each
-word n-gram of the items. Of every few neighbouring n-grams of an item the rarest becomes a seed, so any shared run of
-n + spacing - 1 words holds one, however often the passage occurs. The second scan joins the texts' n-grams to the
-seeds, and aligns each hit's surroundings with the item word by word (match 1, mismatch and gap -1).
+pair of neighbouring words of the items. The rarest pairs of an item become its seeds. The second scan joins the texts'
+pairs to the seeds, and aligns the surroundings of enough hits with the item word by word (match 1, mismatch and gap -1).
+No alignment that counts is missed: with m matches and e errors it has at most e + 1 unbroken runs, so it keeps m - e - 1
+or more of the item's pairs. Of an item of L words and a least score of T, L - T pairs at most are lost; of L - T + x
+seeds, whichever they are, x are hit within the 2 L - T words over which the alignment can spread.
 Items are taken in blocks of a bounded size, so what is sent to the tasks does not grow with the benchmark.
 """
 
@@ -18,9 +20,9 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import SpanHash, byte_view, map_arrow, mixed, slices, words
 
-N = 4
-#: Neighbouring n-grams of an item of which the rarest is its seed.
-SPACING = 3
+N = 2
+#: Items of fewer words are not searched.
+LEAST_WORDS = 4
 #: Share of an item's length that an alignment's score must reach.
 LEAST = 0.5
 #: Characters of items in one block.
@@ -63,6 +65,8 @@ class Block:
     def of(ids: list[int], texts: list[str]) -> Block:
         hashes, _, _, ranges = word_hashes(pa.array(texts, pa.string()))
         h, at, rows = grams(hashes, ranges)
+        long = np.diff(ranges)[rows] >= LEAST_WORDS
+        h, at, rows = h[long], at[long], rows[long]
         order = np.argsort(h, kind="stable")
         return Block(ids, [hashes[a:b] for a, b in zip(ranges[:-1], ranges[1:], strict=True)], h[order], rows[order], (at - ranges[rows])[order])
 
@@ -71,13 +75,18 @@ class Block:
         out[(self.hashes & np.uint64(BITMAP - 1)).astype(np.int64)] = True
         return out
 
+    def bounds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each item: its seeds, how many of them an alignment of LEAST or more hits, and how many words it spreads over at most."""
+        size = np.array([len(x) for x in self.items], np.int64)
+        least = np.ceil(LEAST * size).astype(np.int64)
+        hit = np.maximum(1, (least - 1) // 2)
+        return size - least + hit, hit, 2 * size - least
+
     def chosen(self, counts: np.ndarray) -> Block:
-        """With the rarest of each SPACING neighbouring n-grams only; counts: documents per n-gram, in hash order."""
-        keep = np.lexsort((self.place, counts, self.place // SPACING, self.item))
-        group = np.column_stack([self.item[keep], self.place[keep] // SPACING])
-        first = np.ones(len(keep), bool)
-        first[1:] = (group[1:] != group[:-1]).any(axis=1)
-        seeds = np.sort(keep[first])
+        """With each item's rarest n-grams only; counts: documents per n-gram, in hash order."""
+        keep = np.lexsort((self.place, counts, self.item))
+        rank = np.arange(len(keep)) - np.searchsorted(self.item[keep], self.item[keep])
+        seeds = np.sort(keep[rank < self.bounds()[0][self.item[keep]]])
         return Block(self.ids, self.items, self.hashes[seeds], self.item[seeds], self.place[seeds])
 
 
@@ -107,36 +116,48 @@ class Search:
 
     def __init__(self, block: Block):
         self.block, self.bitmap, self.known = block, block.bitmap(), {}
+        _, self.hit, self.spread = block.bounds()
 
     def hits(self, texts: pa.Array) -> list[list[dict]]:
         hashes, begins, stops, ranges = word_hashes(texts)
-        h, at, rows = grams(hashes, ranges)
+        h, at, _ = grams(hashes, ranges)
         some = np.flatnonzero(self.bitmap[(h & np.uint64(BITMAP - 1)).astype(np.int64)])
-        h, at, rows = h[some], at[some], rows[some]
+        h, at = h[some], at[some]
         low, high = np.searchsorted(self.block.hashes, h), np.searchsorted(self.block.hashes, h, side="right")
-        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for k in np.flatnonzero(high > low).tolist():
-            for s in range(low[k], high[k]):
-                found.setdefault((int(rows[k]), int(self.block.item[s])), []).append((int(at[k]), int(self.block.place[s])))
+        each = high - low
+        seed = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(low, each)
+        item, at = self.block.item[seed], np.repeat(at, each)  # at is in row order, so it tells the row
+        order = np.lexsort((at, item))
+        item, at = item[order], at[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (item[1:] != item[:-1]) | (at[1:] != at[:-1])
+        item, at = item[new], at[new]
+        row = np.searchsorted(ranges, at, side="right") - 1
+        ahead = np.arange(len(at)) + self.hit[item] - 1
+        there = np.minimum(ahead, len(at) - 1)
+        near = np.flatnonzero((ahead < len(at)) & (item[there] == item) & (row[there] == row) & (at[there] - at <= self.spread[item]))
+        found: dict[tuple[int, int], list[int]] = {}
+        for r, i, place in zip(row[near].tolist(), item[near].tolist(), at[near].tolist(), strict=True):
+            found.setdefault((r, i), []).append(place)
         out: list[list[dict]] = [[] for _ in range(len(texts))]
         for (row, i), places in sorted(found.items()):
-            best = self._best(self.block.items[i], i, hashes, int(ranges[row]), int(ranges[row + 1]), sorted(places))
+            best = self._best(self.block.items[i], i, hashes, int(ranges[row]), int(ranges[row + 1]), places)
             if best and best[0] >= LEAST * len(self.block.items[i]):
                 score, a, b = best
                 out[row].append({"item_id": self.block.ids[i], "score": score / len(self.block.items[i]), "start_byte": int(begins[a]), "end_byte": int(stops[b - 1])})
         return out
 
-    def _best(self, item: np.ndarray, i: int, hashes: np.ndarray, first: int, last: int, places: list[tuple[int, int]]) -> tuple[int, int, int] | None:
-        slack, best, windows = 4 + len(item) // 4, None, []
-        for at, place in places:  # hits whose surroundings overlap make one window
-            a, b = max(first, at - place - slack), min(last, at - place + len(item) + slack)
+    def _best(self, item: np.ndarray, i: int, hashes: np.ndarray, first: int, last: int, places: list[int]) -> tuple[int, int, int] | None:
+        slack, best, windows = int(self.spread[i]), None, []
+        for at in places:  # hits whose surroundings overlap make one window
+            a, b = max(first, at - slack), min(last, at + slack)
             if windows and a <= windows[-1][1]:
                 windows[-1][1] = max(windows[-1][1], b)
             else:
                 windows.append([a, b])
         for a, b in windows:
             text = hashes[a:b]
-            key = (i, text.tobytes()) if b - a <= 4 * len(item) else None
+            key = (i, text.tobytes()) if b - a <= 8 * len(item) else None
             got = self.known.get(key) if key else None
             if got is None:
                 got = align(item, text)
@@ -203,7 +224,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, start_byte, end_byte): the best alignment of each item that a text holds with a score of LEAST or more.
 
     The score is the alignment's over the item's words (1: the whole item as it is); bytes are those of the lower-cased text.
-    Null and empty texts hold nothing; items without an id or text, or of fewer than N words, are not searched; repeated
+    Null and empty texts hold nothing; items without an id or text, or of fewer than LEAST_WORDS words, are not searched; repeated
     rows give repeated matches; an empty benchmark gives no rows.
     """
     return docs.select("doc_id", F.explode(_leaks(docs, benchmark)).alias("m")).select("doc_id", "m.*")

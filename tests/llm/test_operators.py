@@ -115,6 +115,36 @@ def test_decontamination_finds_copies_and_edits(spark, docs):
     assert decontaminate.matches(d.limit(0), bench).count() == 0
 
 
+def test_decontamination_misses_no_alignment_of_dense_edits(spark):
+    rng = np.random.default_rng(3)
+    items = {k: [f"w{x}" for x in rng.integers(0, 400, n)] for k, n in enumerate((4, 5, 8, 15, 16, 25, 40, 59))}
+    around = lambda: [f"w{x}" for x in rng.integers(0, 400, rng.integers(0, 30))]
+    texts = []
+    for item in items.values():
+        for step in range(2, 8):
+            for offset in range(step):
+                at = range(offset, len(item), step)
+                changed = [f"new{k}" if k in at else w for k, w in enumerate(item)]
+                dropped = [w for k, w in enumerate(item) if k not in at]
+                added = [v for k, w in enumerate(item) for v in ([f"new{k}", w] if k in at else [w])]
+                texts += [around() + body + around() for body in (changed, dropped, added)]
+        texts.append(added + around() + item + changed)
+    want = {}
+    hashed = lambda text: decontaminate.word_hashes(pa.array([" ".join(text)]))[0]
+    for k, text in enumerate(texts):
+        for i, item in items.items():
+            score = decontaminate.align(hashed(item), hashed(text))[0] / len(item)
+            if score >= decontaminate.LEAST:
+                want[k, i] = score
+    d = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    found = decontaminate.matches(d, bench).collect()
+    got = {(r.doc_id, r.item_id): r.score for r in found}
+    assert len(found) == len(got) and got == want
+    lone = d.where(F.col("doc_id") == 0)  # an edited copy alone: what its edits broke is in no document
+    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(lone, bench).collect()} == {x for x in want if x[0] == 0}
+
+
 def test_alignment_against_a_plain_table():
     rng = np.random.default_rng(2)
     for _ in range(100):
