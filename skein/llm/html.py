@@ -3,8 +3,9 @@
 The standard library's streaming parser gives events; they make lines (the text of one block) with a text-to-tag ratio:
 characters outside links per tag of the line. Lines in menus, forms, adverts and the like (by element, role, class or
 id) have ratio zero. The ratios are smoothed by a Gaussian over the lines, and two-means clustering of the smoothed
-values sets the threshold above which lines form content regions. The element that holds most of the regions' text
-(an <article> or <main>, where there is one) bounds the article; its lines that are not boilerplate are the result.
+values sets the threshold above which lines form content regions. The result is the regions' lines, and the other lines
+of the elements that hold them (each <article> or <main> with a region, or else the element with most of the regions' text).
+A class or id word does not decide by itself for headings, paragraphs and elements with most of the page's text.
 """
 
 from __future__ import annotations
@@ -32,19 +33,26 @@ MARKS = frozenset(
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 SIGMA = 1.5
-#: Share of the regions' text that the bounding element must hold.
+#: Share of the regions' text that an element must hold for its other lines to stay too.
 HELD = 0.7
+#: Share of the page's text above which a class or id with other words besides those of MARKS is no sign of boilerplate.
+MOST = 0.5
+#: What the ratio of a heading or paragraph with a word of MARKS is multiplied by.
+WEAK = 0.5
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXTS = HEADINGS | frozenset("p li dt dd pre blockquote figcaption".split())
 
 
-def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+def _named(tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
+    """Whether a class or id has a word of MARKS, and whether it has other words too."""
+    words = {w.lower() for name, value in attrs if name == "class" or name == "id" and tag not in ("article", "main") for w in _NAME.findall(value or "")}
+    return bool(words & MARKS) and tag not in ("body", "html", "main"), bool(words - MARKS)
+
+
+def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
     for name, value in attrs:
         value = value or ""
-        if name in ("class", "id"):
-            if tag not in ("body", "html", "article", "main") or name == "class":
-                words = {w.lower() for w in _NAME.findall(value)}
-                if words & MARKS and tag not in ("body", "html", "main"):
-                    return True
-        elif name == "role":
+        if name == "role":
             if value.strip().lower() in ROLES:
                 return True
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value.lower()):
@@ -59,6 +67,7 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, bool]] = []  # open elements: tag, number, whether boilerplate
         self.named: dict[int, str] = {}
+        self.marked: dict[int, bool] = {}  # elements with a class or id word of MARKS: whether it has other words too
         self.lines: list[tuple[str, int, int, bool, tuple[int, ...]]] = []
         self.text: list[str] = []
         self.tags = self.linked = self.links = self.count = 0
@@ -72,8 +81,9 @@ class _Lines(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         block = tag in BLOCKS
-        bad = tag in DROPPED or bool(attrs) and _marked(tag, attrs)
-        if block or bad:
+        bad = tag in DROPPED or bool(attrs) and _hidden(attrs)
+        marked, others = _named(tag, attrs) if attrs else (False, False)
+        if block or bad or marked:
             self._flush()
         self.tags += 1
         if tag in CELLS:
@@ -86,12 +96,14 @@ class _Lines(HTMLParser):
             # what an opening block closes by itself
             while self.stack and (self.stack[-1][0] == "p" or self.stack[-1][0] == tag and tag in ("li", "tr", "option", "dt", "dd")):
                 self.stack.pop()
-        if block or bad:
+        if block or bad or marked:
             above = bool(self.stack) and self.stack[-1][2]
             if tag == "header" and not any(t in ("article", "main") for t, _, _ in self.stack):
                 bad = True
             self.count += 1
             self.named[self.count] = tag
+            if marked:
+                self.marked[self.count] = others
             self.stack.append((tag, self.count, above or bad))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -131,6 +143,31 @@ def _threshold(values: np.ndarray) -> float:
     return float(np.expm1((low + high) / 2))
 
 
+def _boilerplate(parser: _Lines) -> tuple[np.ndarray, np.ndarray]:
+    """Of each line: whether it is boilerplate, and whether only the name of its heading or paragraph says so."""
+    lines, named = parser.lines, parser.named
+    bad = np.array([x[3] for x in lines])
+    if not parser.marked:
+        return bad, np.zeros(len(lines), bool)
+    held: dict[int, int] = {}
+    for text, _, linked, hidden, path in lines:
+        for element in () if hidden else path:
+            held[element] = held.get(element, 0) + max(0, len(text) - linked)
+    total = sum(max(0, len(text) - linked) for text, _, linked, hidden, _ in lines if not hidden)
+    sure, weak = set(), set()
+    for element, others in parser.marked.items():
+        if named[element] in HEADINGS or named[element] == "p":
+            weak.add(element)
+        elif not (others and held.get(element, 0) > MOST * total):
+            sure.add(element)
+    articles = {e for e in held if named[e] in ("article", "main") and held[e]}
+    for element in parser.marked.keys() - sure - weak:  # with the text of an article outside it, it is not the article
+        within = {e for *_, hidden, path in lines if not hidden and element in path for e in path}
+        if articles - within - {element}:
+            sure.add(element)
+    return bad | np.array([bool(sure & set(x[4])) for x in lines]), np.array([bool(weak & set(x[4])) for x in lines])
+
+
 def main_blocks(html: str) -> list[str]:
     """The article's blocks in page order."""
     parser = _Lines()
@@ -140,15 +177,20 @@ def main_blocks(html: str) -> list[str]:
     lines = [x for x in parser.lines]
     if not lines:
         return []
-    chars = np.array([0 if bad else max(0, len(text) - linked) for text, _, linked, bad, _ in lines], float)
+    boilerplate, weak = _boilerplate(parser)
+    chars = np.array([0 if bad else max(0, len(text) - linked) for (text, _, linked, *_), bad in zip(lines, boilerplate, strict=True)], float)
     ratio = chars / np.array([max(1, tags) for _, tags, *_ in lines])
+    own = ratio.copy()
+    ratio[weak] *= WEAK
     reach = np.arange(-4, 5)
     kernel = np.exp(-(reach**2) / (2 * SIGMA**2))
     smooth = np.convolve(np.pad(ratio, 4), kernel / kernel.sum(), "valid")
-    inside = (smooth > _threshold(smooth)) & (chars > 0)
+    least = _threshold(smooth)
+    near = smooth > least
+    inside = near & (chars > 0)
     if not inside.any():
         inside = chars > 0
-    # the innermost element that holds enough of the regions' text
+    # the elements that hold the regions: articles, or the innermost with enough of the regions' text
     held: dict[int, float] = {}
     for k in np.flatnonzero(inside):
         for element in lines[k][4]:
@@ -156,14 +198,19 @@ def main_blocks(html: str) -> list[str]:
     total = chars[inside].sum()
     articles = [e for e, n in held.items() if parser.named[e] in ("article", "main") and n > 0]
     if articles:
-        bounds = {e for e in articles if held[e] >= 0.2 * max(held[x] for x in articles)}
+        bounds = set(articles)
     else:
         enough = [e for e, n in held.items() if n >= HELD * total and parser.named[e] not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "pre", "blockquote")]
         bounds = {max(enough)} if enough else set()
+    beside = set() if articles else {lines[k][4][:-1] for k in np.flatnonzero(inside)}  # where short texts beside a region's lines stay
     out = []
-    for k, (text, _, linked, bad, path) in enumerate(lines):
-        if bad or bounds and not bounds & set(path):
+    for k, (text, _, linked, _, path) in enumerate(lines):
+        held_too = not bounds or bool(bounds & set(path)) or bool(path) and parser.named[path[-1]] in TEXTS and path[:-1] in beside
+        heading = bool(HEADINGS & {parser.named[e] for e in path})
+        if boilerplate[k] or weak[k] and not (near[k] and (heading or own[k] > least)):
             continue
+        if not held_too and not (inside[k] and (not articles or ratio[k] > least >= 0)):
+            continue  # beside an article, a line must be dense by itself
         if not articles and not inside[k] and linked > 0.5 * len(text):
             continue
         out.append(text)

@@ -255,6 +255,23 @@ def test_html_main_text(spark):
     assert got[2] == got[3] == got[6] == "" and got[4] == "no markup at all" and got[5] == "unclosed bold"
 
 
+def test_html_keeps_article_text_beside_one_element_and_under_marked_names():
+    p = [f"<p>Paragraph {k} of the article, which is as long as the paragraphs of articles are wont to be, with a second part.</p>" for k in range(8)]
+    text = [x[3:-4] for x in p]
+    menu = "<nav><a href=/>Home</a><a href=/b>More</a></nav>"
+    foot = "<footer>All rights reserved</footer>"
+    page = lambda body: f"<html><body>{menu}{body}{foot}</body></html>"
+    assert html.main_blocks(page(f"<div>{''.join(p[:6])}</div><div>{''.join(p[6:])}</div>")) == text
+    assert html.main_blocks(page(f"<div><h1>A title</h1>{p[0]}</div><div>{''.join(p[1:])}</div>")) == ["A title", *text]
+    assert html.main_blocks(page(f"<article>{''.join(p[:7])}</article><article>{p[7]}</article>")) == text
+    for box in ('div class="content has-sidebar"', 'article class="post comments-open"'):
+        assert html.main_blocks(page(f"<{box}>{''.join(p)}</{box.split()[0]}>")) == text
+    named = f'{"".join(p[:3])}<h2 id="discussion">Discussion</h2><p class="warning">{text[3]}</p>{"".join(p[4:])}'
+    assert html.main_blocks(page(f"<article>{named}</article>")) == [*text[:3], "Discussion", *text[3:]]
+    comments = f'<section class="comment-list">{"".join(p[2:])}</section>'
+    assert html.main_blocks(page(f"<article>{p[0]}{p[1]}</article>{comments}")) == text[:2]
+
+
 @pytest.fixture(scope="module")
 def larger(spark):
     return spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
