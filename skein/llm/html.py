@@ -211,7 +211,7 @@ def main_blocks(html: str) -> list[str]:
             continue
         if not held_too and not (inside[k] and (not articles or ratio[k] > least >= 0)):
             continue  # beside an article, a line must be dense by itself
-        if not articles and not inside[k] and linked > 0.5 * len(text):
+        if not inside[k] and linked > 0.5 * len(text) and not (near[k] and articles) and not (articles and heading):
             continue
         out.append(text)
     return out

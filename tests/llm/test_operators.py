@@ -272,6 +272,14 @@ def test_html_keeps_article_text_beside_one_element_and_under_marked_names():
     assert html.main_blocks(page(f"<article>{p[0]}{p[1]}</article>{comments}")) == text[:2]
 
 
+def test_html_link_lists_outside_the_regions_go_within_articles_too():
+    p = "".join(f"<p>Paragraph {k} of the article, which is as long as the paragraphs of articles are wont to be.</p>" for k in range(4))
+    links = "".join(f"<li><a href=/{k}>Another page {k}</a></li>" for k in range(9))
+    got = html.main_blocks(f"<article><h1><a href=/>A title</a></h1>{p}<ul>{links}</ul></article>")
+    assert got[0] == "A title" and len([x for x in got if x.startswith("Paragraph")]) == 4
+    assert len(got) <= 7  # smoothing reaches two lines beyond a region at most
+
+
 @pytest.fixture(scope="module")
 def larger(spark):
     return spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
