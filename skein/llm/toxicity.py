@@ -2,8 +2,8 @@
 
 1. Every word and every word beginning has a log-odds of toxic against clean documents with an informative Dirichlet
    prior (the background rate), less its doubt (a multiple of its standard deviation), so rare words count for little.
-2. A text is the sequence of its words' scores, each less a drift; a repeated word scores at its first place only. One linear scan (Ruzzo and Tompa) finds all maximal
-   segments; runs of like sign are joined first, which leaves the segments unchanged.
+2. A text is the sequence of its words' scores, each less a drift; a word counts once in each passage (see once_a_passage), and anew in the next. One linear scan
+   (Ruzzo and Tompa) finds all maximal segments; runs of like sign are joined first, which leaves the segments unchanged.
 3. Extreme-value statistics (Karlin and Altschul) calibrate segment scores: lambda and K come from clean texts, a
    segment is significant if its E-value is low, and a text's evidence is the sum of its significant segments'
    normalised scores. A logistic curve fitted on the training labels maps evidence to 0..1.
@@ -66,6 +66,41 @@ def maximal_segments(scores: Iterable[float]) -> list[tuple[int, int, float]]:
     return [(first, end, right - left) for left, right, first, end in found]
 
 
+def once_a_passage(scores: np.ndarray, names: np.ndarray, rows: np.ndarray) -> None:
+    """Sets positive scores of words that a passage repeats to -DRIFT.
+
+    A passage ends where the sum of its scores is down to 0, or HIGHEST below its peak; a single word that is repeated
+    thus gives no sum that grows, and a later copy of a passage scores like the first. What is repeated at once, within
+    HIGHEST / DRIFT words, is in the same passage.
+    """
+    where = np.flatnonzero(scores > 0)
+    if not len(where):
+        return
+    again = np.ones(len(where), bool)
+    again[np.unique(rows[where] * TABLES[0][1] + names[where], return_index=True)[1]] = False
+    where = where[np.isin(rows[where], np.unique(rows[where[again]]))]  # rows without repeated words stay as they are
+    below = np.cumsum(np.minimum(scores, 0), dtype=np.float64)[where].tolist()
+    row, total, peak, before, seen = -1, 0.0, 0.0, 0.0, set()
+    repeated = []
+    for k, r, name, score, low in zip(where.tolist(), rows[where].tolist(), names[where].tolist(), scores[where].tolist(), below, strict=True):
+        total = total + low - before if r == row else 0.0
+        row, before = r, low
+        if total <= 0:
+            total = peak = 0.0
+            seen.clear()
+        elif total <= peak - HIGHEST:
+            peak = total
+            seen.clear()
+        if name in seen:
+            repeated.append(k)
+            total -= DRIFT
+        else:
+            seen.add(name)
+            total += score
+            peak = max(peak, total)
+    scores[repeated] = -DRIFT
+
+
 @dataclass
 class SegmentModel:
     tables: list[np.ndarray]
@@ -88,13 +123,7 @@ class SegmentModel:
         out: dict[int, list[tuple[int, int, float]]] = {}
         if not len(scores):
             return counts, out, scores
-        up = scores > 0
-        # a word that a text repeats is no new evidence: only its first place in the text scores
-        where = np.flatnonzero(up)
-        first = np.unique(rows[where] * TABLES[0][1] + found[0][0][where], return_index=True)[1]
-        again = np.ones(len(where), bool)
-        again[first] = False
-        scores[where[again]] = -DRIFT
+        once_a_passage(scores, found[0][0], rows)
         up = scores > 0
         cut = np.ones(len(scores), bool)
         cut[1:] = (up[1:] != up[:-1]) | (rows[1:] != rows[:-1])

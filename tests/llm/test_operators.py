@@ -44,6 +44,20 @@ def test_segments_are_those_of_the_definition():
         assert all(p[1] <= q[0] for p, q in zip(got, got[1:], strict=False))
 
 
+def test_toxic_passages_are_found_at_each_place():
+    bad = [f"bad{k}" for k in range(8)]
+    model = toxicity.SegmentModel([np.zeros(many, np.float32) for _, many in toxicity.TABLES])
+    model.tables[0][toxicity.buckets(pa.array([" ".join(bad)]))[0][0][0]] = 3.0
+    passage, clean = " ".join(bad), " ".join(f"w{k}" for k in range(300))
+    scattered = " ".join(f"{w} {clean}" for w in bad)
+    texts = [f"{clean} {passage} {clean}", f"{passage} {clean} {passage} {clean}", f"{scattered} {passage}", "bad1 " * 500, " ".join(f"bad{k % 2} {clean}" for k in range(50))]
+    counts, segments, _ = model.segments(pa.array(texts))
+    strong = [[(a, b) for a, b, s in segments[k] if s > 10] for k in range(len(texts))]
+    places = lambda text: [(k, k + len(passage)) for k in range(len(text)) if text.startswith(passage, k)]
+    assert strong == [places(t) for t in texts[:3]] + [[], []]
+    assert all(model.evidence(n, segments[k])[0] > 0 for k, n in enumerate(counts.tolist()) if k < 3)
+
+
 def test_simhash_against_brute_force(spark, docs, odd):
     both = docs.select("doc_id", "text").unionByName(odd.select((F.col("doc_id") + 100_000).alias("doc_id"), "text"))
     got = simhash.near_duplicates(both).collect()
