@@ -1,15 +1,12 @@
-"""What the operators of this subpackage share: batches of text as one byte array, word hashes, written tables, samples."""
+"""What the operators of this subpackage share: batches of text as one byte array, word hashes, samples."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -17,31 +14,6 @@ from pyspark.sql.types import StructType
 CHUNK_BYTES = 1 << 20
 
 
-# --- tables in the shared folder -------------------------------------------------------------
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='skein-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, read by column, safe when executors are lost."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/skein-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def broadcast_below(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if it was counted to have at most so many rows; else as it is, so that the join shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 # --- samples of labelled rows ----------------------------------------------------------------
 
 
@@ -57,20 +29,25 @@ def hashed_share(rows: int, most: int, *columns: str) -> Column:
     return F.pmod(F.xxhash64(F.lit("sample"), *columns), F.lit(1_000_000)) < F.lit(int(1_000_000 * most / rows))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, most: int, max_chars: int) -> DataFrame:
-    """(doc_id, text, y) of labelled documents outside the held-out fold.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, most: int) -> DataFrame:
+    """(doc_id, text, y) of labelled documents outside the held-out fold, with whole texts of any length.
 
     `most` bounds the label rows taken (a hash of the id chooses them), so the side that is broadcast is
-    bounded whatever the input. Rows without an id, text or label, and texts over max_chars, are not learnt from.
+    bounded whatever the input. Rows without an id, text or label are not learnt from.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out)
     known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     chosen = known.where(hashed_share(known.count(), most, "doc_id"))
-    return (
-        docs.select("doc_id", "text")
-        .where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-        .join(F.broadcast(chosen), "doc_id")
-    )
+    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+
+
+def within_bytes(sample: DataFrame, most: int) -> DataFrame:
+    """The rows of a (persisted) sample, or, where their texts have over `most` bytes, a hashed share of them that has about so many.
+
+    The share doesn't depend on a text's length, so short and long texts are learnt from alike.
+    """
+    size = sample.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return sample.where(hashed_share(size, most, "doc_id", "y"))
 
 
 # --- batches ---------------------------------------------------------------------------------

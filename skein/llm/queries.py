@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import decontaminate, html, language, merkle, pieces, quality, sharding, simhash, tokens, toxicity
-from skein.llm.common import fold, written
+from skein.llm.common import fold
+from skein.tables import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 

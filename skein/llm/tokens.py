@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import broadcast_below, shared_folder, slices, written
+from skein.llm.common import slices
+from skein.tables import broadcast_below, looked_up, shared_folder, written
 
 CACHE = T.StructType([T.StructField("content", T.StringType()), T.StructField("tokenizer", T.StringType()), T.StructField("n_tokens", T.LongType())])
 #: Rows (an id and a digest, about 120 bytes) that a broadcast may hold; more are joined by a shuffle.
