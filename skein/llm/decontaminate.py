@@ -6,12 +6,15 @@ pairs to the seeds, and aligns the surroundings of enough hits with the item wor
 No alignment that counts is missed: with m matches and e errors it has at most e + 1 unbroken runs, so it keeps m - e - 1
 or more of the item's pairs. Of an item of L words and a least score of T, L - T pairs at most are lost; of L - T + x
 seeds, whichever they are, x are hit within the 2 L - T words over which the alignment can spread.
-Items are taken in blocks of a bounded size, so what is sent to the tasks does not grow with the benchmark.
+An item of fewer than LEAST_WORDS words counts only as a whole: a text's runs of so many words are looked up by their hash.
+Items are taken in blocks of a bounded size. A block's matches are written before the next block is sent, so what is sent
+to the tasks does not grow with the benchmark.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import SpanHash, byte_view, map_arrow, mixed, slices, words
+from skein.tables import written
 
 N = 2
-#: Items of fewer words are not searched.
+#: Items of fewer words match only as they are.
 LEAST_WORDS = 4
 #: Share of an item's length that an alignment's score must reach.
 LEAST = 0.5
@@ -51,6 +55,14 @@ def grams(hashes: np.ndarray, ranges: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return mixed(h[at]), at, rows[at]
 
 
+def runs(hashes: np.ndarray, many: int) -> np.ndarray:
+    """A hash of the run of so many words that begins at each word."""
+    h = hashes[: max(0, len(hashes) - many + 1)].copy()
+    for k in range(1, many):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + hashes[k : len(h) + k]
+    return mixed(h)
+
+
 @dataclass
 class Block:
     """Some test items: their words, their n-grams in hash order, and after choosing, their seeds."""
@@ -60,6 +72,7 @@ class Block:
     hashes: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    short: dict[int, dict[int, list[int]]]  # items of fewer than LEAST_WORDS words, by number of words and hash of all of them
 
     @staticmethod
     def of(ids: list[int], texts: list[str]) -> Block:
@@ -68,7 +81,12 @@ class Block:
         long = np.diff(ranges)[rows] >= LEAST_WORDS
         h, at, rows = h[long], at[long], rows[long]
         order = np.argsort(h, kind="stable")
-        return Block(ids, [hashes[a:b] for a, b in zip(ranges[:-1], ranges[1:], strict=True)], h[order], rows[order], (at - ranges[rows])[order])
+        items = [hashes[a:b] for a, b in zip(ranges[:-1], ranges[1:], strict=True)]
+        short: dict[int, dict[int, list[int]]] = {}
+        for i, item in enumerate(items):
+            if 0 < len(item) < LEAST_WORDS:
+                short.setdefault(len(item), {}).setdefault(int(runs(item, len(item))[0]), []).append(i)
+        return Block(ids, items, h[order], rows[order], (at - ranges[rows])[order], short)
 
     def bitmap(self) -> np.ndarray:
         out = np.zeros(BITMAP, bool)
@@ -87,7 +105,7 @@ class Block:
         keep = np.lexsort((self.place, counts, self.item))
         rank = np.arange(len(keep)) - np.searchsorted(self.item[keep], self.item[keep])
         seeds = np.sort(keep[rank < self.bounds()[0][self.item[keep]]])
-        return Block(self.ids, self.items, self.hashes[seeds], self.item[seeds], self.place[seeds])
+        return Block(self.ids, self.items, self.hashes[seeds], self.item[seeds], self.place[seeds], self.short)
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -117,6 +135,7 @@ class Search:
     def __init__(self, block: Block):
         self.block, self.bitmap, self.known = block, block.bitmap(), {}
         _, self.hit, self.spread = block.bounds()
+        self.short = {many: np.array(sorted(known), np.uint64) for many, known in block.short.items()}
 
     def hits(self, texts: pa.Array) -> list[list[dict]]:
         hashes, begins, stops, ranges = word_hashes(texts)
@@ -145,6 +164,15 @@ class Search:
             if best and best[0] >= LEAST * len(self.block.items[i]):
                 score, a, b = best
                 out[row].append({"item_id": self.block.ids[i], "score": score / len(self.block.items[i]), "start_byte": int(begins[a]), "end_byte": int(stops[b - 1])})
+        for many, known in self.short.items():
+            h = runs(hashes, many)
+            at = np.flatnonzero(np.isin(h, known))
+            row = np.searchsorted(ranges, at, side="right") - 1
+            at, row = (x[ranges[row + 1] >= at + many] for x in (at, row))
+            firsts = np.unique(np.stack([row.astype(np.uint64), h[at]]), axis=1, return_index=True)[1] if len(at) else at
+            for k in firsts.tolist():
+                for i in self.block.short[many][int(h[at[k]])]:
+                    out[row[k]].append({"item_id": self.block.ids[i], "score": 1.0, "start_byte": int(begins[at[k]]), "end_byte": int(stops[at[k] + many - 1])})
         return out
 
     def _best(self, item: np.ndarray, i: int, hashes: np.ndarray, first: int, last: int, places: list[int]) -> tuple[int, int, int] | None:
@@ -170,18 +198,24 @@ class Search:
         return best
 
 
-def _blocks(benchmark: DataFrame) -> list[Block]:
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text")).where("item_id is not null and text is not null").distinct()
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    many = -(-chars // BLOCK_CHARS)
-    for k in range(many):
-        got = items.where(F.pmod(F.xxhash64("item_id"), F.lit(many)) == k).orderBy("item_id", "text").collect()
-        block = Block.of([r["item_id"] for r in got], [r["text"] for r in got])
-        if len(block.hashes):
-            yield block
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text")).where("item_id is not null and text is not null").distinct()
+
+
+def _numbers(benchmark: DataFrame) -> range:
+    """The numbers of the blocks into which a hash of their text parts the items."""
+    chars = _items(benchmark).agg(F.sum(F.length("text"))).first()[0] or 0
+    return range(-(-chars // BLOCK_CHARS))
+
+
+def _block(benchmark: DataFrame, k: int, many: int) -> Block:
+    got = _items(benchmark).where(F.pmod(F.xxhash64("item_id", "text"), F.lit(many)) == k).orderBy("item_id", "text").collect()  # about BLOCK_CHARS
+    return Block.of([r["item_id"] for r in got], [r["text"] for r in got])
 
 
 def _with_rare_seeds(docs: DataFrame, block: Block) -> Block:
+    if not len(block.hashes):
+        return block
     sent = docs.sparkSession.sparkContext.broadcast((block.hashes, block.bitmap()))
 
     def count(batch: pa.RecordBatch) -> dict:
@@ -197,39 +231,48 @@ def _with_rare_seeds(docs: DataFrame, block: Block) -> Block:
         return {"gram": gram, "docs": docs_with}
 
     got = map_arrow(docs.select(F.lower("text").alias("text")), count, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs")).toPandas()  # a row for each n-gram of the block at most
+    sent.destroy()
     counts = np.zeros(len(block.hashes), np.int64)
     counts[got["gram"].to_numpy(np.int64)] = got["docs"].to_numpy(np.int64)
     counts = counts[np.searchsorted(block.hashes, block.hashes)]  # equal n-grams of several items have the same count
     return block.chosen(counts)
 
 
-def _leaks(docs: DataFrame, benchmark: DataFrame) -> Column:
-    """An array of the matches of each text, over all blocks."""
-    parts = []
-    for block in _blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(_with_rare_seeds(docs, block))
-        ready: list[Search] = []
+def _leaks(docs: DataFrame, block: Block) -> Column:
+    """An array of the matches of each text with the items of one block."""
+    sent = docs.sparkSession.sparkContext.broadcast(_with_rare_seeds(docs, block))
+    ready: list[Search] = []
 
-        def search(texts: pa.Array, sent=sent, ready=ready) -> pa.Array:
-            if not ready:
-                ready.append(Search(sent.value))
-            out = [hit for part in slices(texts) for hit in ready[0].hits(part)]
-            return pa.array(out, pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("start_byte", pa.int32()), ("end_byte", pa.int32())])))
+    def search(texts: pa.Array) -> pa.Array:
+        if not ready:
+            ready.append(Search(sent.value))
+        out = [hit for part in slices(texts) for hit in ready[0].hits(part)]
+        return pa.array(out, pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("start_byte", pa.int32()), ("end_byte", pa.int32())])))
 
-        parts.append(F.arrow_udf(lambda texts, f=search: f(texts), MATCHES)(F.lower(F.coalesce("text", F.lit("")))))
-    return F.concat(*parts) if parts else F.from_json(F.lit("[]"), MATCHES)
+    return F.arrow_udf(search, MATCHES)(F.lower(F.coalesce("text", F.lit(""))))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, start_byte, end_byte): the best alignment of each item that a text holds with a score of LEAST or more.
 
     The score is the alignment's over the item's words (1: the whole item as it is); bytes are those of the lower-cased text.
-    Null and empty texts hold nothing; items without an id or text, or of fewer than LEAST_WORDS words, are not searched; repeated
-    rows give repeated matches; an empty benchmark gives no rows.
+    Items of fewer than LEAST_WORDS words match as they are. Null and empty texts hold nothing; items without an id, a
+    text or a word are not searched; repeated rows give repeated matches; an empty benchmark gives no rows.
     """
-    return docs.select("doc_id", F.explode(_leaks(docs, benchmark)).alias("m")).select("doc_id", "m.*")
+    parts, blocks = [], list(_numbers(benchmark))
+    for k in blocks:
+        block = _block(benchmark, k, len(blocks))
+        found = docs.select("doc_id", F.explode(_leaks(docs, block)).alias("m")).select("doc_id", "m.*")
+        parts.append(found if len(blocks) == 1 else written(found, "leaks"))
+    if not parts:
+        return docs.select("doc_id", F.explode(F.from_json(F.lit("[]"), MATCHES)).alias("m")).select("doc_id", "m.*")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with their own columns, whose text holds no benchmark item (see matches)."""
-    return docs.where(F.size(_leaks(docs, benchmark)) == 0)
+    blocks = list(_numbers(benchmark))
+    for k in blocks:
+        docs = docs.where(F.size(_leaks(docs, _block(benchmark, k, len(blocks)))) == 0)
+        docs = docs if len(blocks) == 1 else written(docs, "clean")
+    return docs

@@ -2,15 +2,18 @@
 
 The standard library's streaming parser gives events; they make lines (the text of one block) with a text-to-tag ratio:
 characters outside links per tag of the line. Lines in menus, forms, adverts and the like (by element, role, class or
-id) have ratio zero. The ratios are smoothed by a Gaussian over the lines, and two-means clustering of the smoothed
-values sets the threshold above which lines form content regions. The result is the regions' lines, and the other lines
-of the elements that hold them (each <article> or <main> with a region, or else the element with most of the regions' text).
-A class or id word does not decide by itself for headings, paragraphs and elements with most of the page's text.
+id) have ratio zero; a heading or paragraph with such a name has a weaker one. The ratios are smoothed by a Gaussian
+over the lines, and two-means clustering of the smoothed values sets the threshold above which lines form regions.
+The regions select: the block that holds most of their text is the article (with the <article> or <main> around it, if
+there is one) and stays whole; other lines stay only if they are dense themselves or lie beside a region's lines. Where
+only the page itself holds the regions, the smoothed ratio decides on each line. The time is linear
+in the page's length, however deep its elements are nested.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -41,12 +44,16 @@ MOST = 0.5
 WEAK = 0.5
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TEXTS = HEADINGS | frozenset("p li dt dd pre blockquote figcaption".split())
+#: Elements that close one of their kind before them, and those whose names say nothing.
+CLOSED = frozenset("p li dt dd tr option".split())
+WHOLE = ("", "html", "body", "table", "tbody", "tr")  # where no smaller block holds the regions, lines must be dense or lie among dense ones
+NEVER_MARKED = frozenset("html body main article".split())
 
 
-def _named(tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
-    """Whether a class or id has a word of MARKS, and whether it has other words too."""
-    words = {w.lower() for name, value in attrs if name == "class" or name == "id" and tag not in ("article", "main") for w in _NAME.findall(value or "")}
-    return bool(words & MARKS) and tag not in ("body", "html", "main"), bool(words - MARKS)
+def _named(attrs: list[tuple[str, str | None]]) -> int:
+    """0 without a word of MARKS in the class or id, 1 if other words stand beside it, 2 if not."""
+    words = {w.lower() for name, value in attrs if name == "class" or name == "id" for w in _NAME.findall(value or "")}
+    return 0 if not words & MARKS else 1 if words - MARKS else 2
 
 
 def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
@@ -60,30 +67,42 @@ def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
     return False
 
 
-class _Lines(HTMLParser):
-    """Collects (text, tags, characters in links, boilerplate, open elements) of each block in page order."""
+class _Page(HTMLParser):
+    """Collects the blocks of a page as a tree (each knows its parent only) and its lines, the text of one block each, in page order."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # open elements: tag, number, whether boilerplate
-        self.named: dict[int, str] = {}
-        self.marked: dict[int, bool] = {}  # elements with a class or id word of MARKS: whether it has other words too
-        self.lines: list[tuple[str, int, int, bool, tuple[int, ...]]] = []
+        # blocks in the order of their start tags; block 0 stands for the page
+        self.tag, self.parent, self.bad, self.mark = [""], [0], [False], [0]
+        self.stack = [0]
+        self.open: Counter[str] = Counter()
+        self.line_text: list[str] = []
+        self.line_tags: list[int] = []
+        self.line_linked: list[int] = []
+        self.line_block: list[int] = []
         self.text: list[str] = []
-        self.tags = self.linked = self.links = self.count = 0
+        self.tags = self.linked = self.links = 0
 
     def _flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, self.linked, bool(self.stack) and self.stack[-1][2], tuple(x[1] for x in self.stack)))
+            self.line_text.append(text)
+            self.line_tags.append(self.tags)
+            self.line_linked.append(self.linked)
+            self.line_block.append(self.stack[-1])
         self.text.clear()
         self.tags = self.linked = 0
 
+    def _pop(self) -> str:
+        tag = self.tag[self.stack.pop()]
+        self.open[tag] -= 1
+        return tag
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         block = tag in BLOCKS
         bad = tag in DROPPED or bool(attrs) and _hidden(attrs)
-        marked, others = _named(tag, attrs) if attrs else (False, False)
-        if block or bad or marked:
+        mark = _named(attrs) if attrs and tag not in NEVER_MARKED else 0
+        if block or bad or mark:
             self._flush()
         self.tags += 1
         if tag in CELLS:
@@ -92,19 +111,19 @@ class _Lines(HTMLParser):
             return
         if tag == "a":
             self.links += 1
-        if tag in ("p", "li", "dt", "dd", "tr", "option") or block:
+        if tag in CLOSED or block:
             # what an opening block closes by itself
-            while self.stack and (self.stack[-1][0] == "p" or self.stack[-1][0] == tag and tag in ("li", "tr", "option", "dt", "dd")):
-                self.stack.pop()
-        if block or bad or marked:
-            above = bool(self.stack) and self.stack[-1][2]
-            if tag == "header" and not any(t in ("article", "main") for t, _, _ in self.stack):
-                bad = True
-            self.count += 1
-            self.named[self.count] = tag
-            if marked:
-                self.marked[self.count] = others
-            self.stack.append((tag, self.count, above or bad))
+            while (last := self.tag[self.stack[-1]]) == "p" or last == tag and tag in CLOSED:
+                self._pop()
+        if block or bad or mark:
+            bad = bad or tag == "header" and not (self.open["article"] or self.open["main"])
+            above = self.stack[-1]
+            self.tag.append(tag)
+            self.parent.append(above)
+            self.bad.append(bad or self.bad[above])
+            self.mark.append(mark)
+            self.open[tag] += 1
+            self.stack.append(len(self.tag) - 1)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -115,12 +134,11 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag == "a":
             self.links = max(0, self.links - 1)
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                self._flush()
-                del self.stack[k:]
-                return
-        if tag in BLOCKS:
+        if self.open[tag] > 0:
+            self._flush()
+            while self._pop() != tag:
+                pass
+        elif tag in BLOCKS:
             self._flush()
 
     def handle_data(self, data: str) -> None:
@@ -128,6 +146,20 @@ class _Lines(HTMLParser):
         if self.links:
             self.linked += len(data)
 
+    def within(self, values: np.ndarray) -> np.ndarray:
+        """Of each block: the sum of the lines' values in it and in the blocks inside it."""
+        out = np.bincount(self.line_block, weights=values, minlength=len(self.tag)).tolist()
+        for k in range(len(out) - 1, 0, -1):  # a block comes after its parent
+            out[self.parent[k]] += out[k]
+        return np.array(out)
+
+    def inherited(self, own: list[bool]) -> list[bool]:
+        """Of each block: whether it or a block around it is so."""
+        out = list(own)
+        for k in range(1, len(out)):
+            out[k] = out[k] or out[self.parent[k]]
+        return out
+
 
 def _threshold(values: np.ndarray) -> float:
     """The border of two clusters (two-means) of the logarithms."""
@@ -143,75 +175,87 @@ def _threshold(values: np.ndarray) -> float:
     return float(np.expm1((low + high) / 2))
 
 
-def _boilerplate(parser: _Lines) -> tuple[np.ndarray, np.ndarray]:
-    """Of each line: whether it is boilerplate, and whether only the name of its heading or paragraph says so."""
-    lines, named = parser.lines, parser.named
-    bad = np.array([x[3] for x in lines])
-    if not parser.marked:
-        return bad, np.zeros(len(lines), bool)
-    held: dict[int, int] = {}
-    for text, _, linked, hidden, path in lines:
-        for element in () if hidden else path:
-            held[element] = held.get(element, 0) + max(0, len(text) - linked)
-    total = sum(max(0, len(text) - linked) for text, _, linked, hidden, _ in lines if not hidden)
-    sure, weak = set(), set()
-    for element, others in parser.marked.items():
-        if named[element] in HEADINGS or named[element] == "p":
-            weak.add(element)
-        elif not (others and held.get(element, 0) > MOST * total):
-            sure.add(element)
-    articles = {e for e in held if named[e] in ("article", "main") and held[e]}
-    for element in parser.marked.keys() - sure - weak:  # with the text of an article outside it, it is not the article
-        within = {e for *_, hidden, path in lines if not hidden and element in path for e in path}
-        if articles - within - {element}:
-            sure.add(element)
-    return bad | np.array([bool(sure & set(x[4])) for x in lines]), np.array([bool(weak & set(x[4])) for x in lines])
+def _named_boilerplate(page: _Page, chars: np.ndarray) -> tuple[list[bool], list[bool]]:
+    """Of each block: whether a class or id makes it boilerplate, and whether it only weakens it (a heading or paragraph).
+
+    A block with other words in its class too is none if it holds most of the page's text, unless an article lies beside it.
+    """
+    many = len(page.tag)
+    sure, weak = [False] * many, [False] * many
+    marked = [k for k in range(many) if page.mark[k]]
+    if marked:
+        held = page.within(chars)
+        total = held[0]
+        article = [t in ("article", "main") and held[k] > 0 for k, t in enumerate(page.tag)]
+        inside, around = list(map(int, article)), list(map(int, article))
+        for k in range(many - 1, 0, -1):
+            inside[page.parent[k]] += inside[k]
+        for k in range(1, many):
+            around[k] += around[page.parent[k]]
+        for k in marked:
+            if page.tag[k] in HEADINGS or page.tag[k] == "p":
+                weak[k] = True
+            else:
+                beside = inside[0] - inside[k] - (around[k] - article[k])
+                sure[k] = page.mark[k] == 2 or held[k] <= MOST * total or beside > 0
+    return page.inherited(sure), page.inherited(weak)
+
+
+def smoothed(ratio: np.ndarray) -> np.ndarray:
+    reach = np.arange(-4, 5)
+    kernel = np.exp(-(reach**2) / (2 * SIGMA**2))
+    return np.convolve(np.pad(ratio, 4), kernel / kernel.sum(), "valid")
 
 
 def main_blocks(html: str) -> list[str]:
     """The article's blocks in page order."""
-    parser = _Lines()
-    parser.feed(html)
-    parser.close()
-    parser._flush()
-    lines = [x for x in parser.lines]
-    if not lines:
+    page = _Page()
+    page.feed(html)
+    page.close()
+    page._flush()
+    if not page.line_text:
         return []
-    boilerplate, weak = _boilerplate(parser)
-    chars = np.array([0 if bad else max(0, len(text) - linked) for (text, _, linked, *_), bad in zip(lines, boilerplate, strict=True)], float)
-    ratio = chars / np.array([max(1, tags) for _, tags, *_ in lines])
+    block, texts = page.line_block, page.line_text
+    size, linked = np.array([len(t) for t in texts]), np.array(page.line_linked)
+    bad = np.array(page.bad)[block]
+    chars = np.where(bad, 0, np.maximum(0, size - linked)).astype(float)
+    by_name, by_weak = _named_boilerplate(page, chars)
+    bad |= np.array(by_name)[block]
+    weak = np.array(by_weak)[block]
+    chars[bad] = 0
+    ratio = chars / np.maximum(1, page.line_tags)
     own = ratio.copy()
     ratio[weak] *= WEAK
-    reach = np.arange(-4, 5)
-    kernel = np.exp(-(reach**2) / (2 * SIGMA**2))
-    smooth = np.convolve(np.pad(ratio, 4), kernel / kernel.sum(), "valid")
-    least = _threshold(smooth)
+    smooth = smoothed(ratio)
+    least = _threshold(smooth[~bad]) if not bad.all() else -1.0
     near = smooth > least
-    inside = near & (chars > 0)
-    if not inside.any():
-        inside = chars > 0
-    # the elements that hold the regions: articles, or the innermost with enough of the regions' text
-    held: dict[int, float] = {}
-    for k in np.flatnonzero(inside):
-        for element in lines[k][4]:
-            held[element] = held.get(element, 0) + chars[k]
-    total = chars[inside].sum()
-    articles = [e for e, n in held.items() if parser.named[e] in ("article", "main") and n > 0]
-    if articles:
-        bounds = set(articles)
-    else:
-        enough = [e for e, n in held.items() if n >= HELD * total and parser.named[e] not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "pre", "blockquote")]
-        bounds = {max(enough)} if enough else set()
-    beside = set() if articles else {lines[k][4][:-1] for k in np.flatnonzero(inside)}  # where short texts beside a region's lines stay
+    region = near & (chars > 0)
+    if not region.any():
+        region = chars > 0
+    # the block around the regions: the innermost with enough of their text, and the articles that this one is in
+    in_region = page.within(np.where(region, chars, 0))
+    enough = [k for k in range(len(page.tag)) if in_region[k] >= HELD * in_region[0] and page.tag[k] not in TEXTS]
+    bound = max(enough)
+    up = bound
+    while up:
+        up = page.parent[up]
+        if page.tag[up] in ("article", "main"):
+            bound = up
+    inside = page.inherited([k == bound for k in range(len(page.tag))])
+    # short texts whose block lies beside a region's lines stay with them
+    beside = {page.parent[block[k]] for k in np.flatnonzero(region & ~np.array(inside)[block])}
+    dense = np.flatnonzero(own > least)
+    after, before = np.searchsorted(dense, np.arange(len(texts))), np.searchsorted(dense, np.arange(len(texts)), side="right")
+    between = (before > 0) & (after < len(dense))  # dense itself, or with dense lines on both sides
     out = []
-    for k, (text, _, linked, _, path) in enumerate(lines):
-        held_too = not bounds or bool(bounds & set(path)) or bool(path) and parser.named[path[-1]] in TEXTS and path[:-1] in beside
-        heading = bool(HEADINGS & {parser.named[e] for e in path})
-        if boilerplate[k] or weak[k] and not (near[k] and (heading or own[k] > least)):
+    for k, text in enumerate(texts):
+        at = block[k]
+        if bad[k] or weak[k] and not (near[k] and (page.tag[at] in HEADINGS or own[k] > least)):
             continue
-        if not held_too and not (inside[k] and (not articles or ratio[k] > least >= 0)):
-            continue  # beside an article, a line must be dense by itself
-        if not inside[k] and linked > 0.5 * len(text) and not (near[k] and articles) and not (articles and heading):
+        held = inside[at] and (page.tag[bound] not in WHOLE or near[k] and (between[k] or page.tag[at] in HEADINGS)) or page.tag[at] in TEXTS and at and page.parent[at] in beside
+        if not held and not (region[k] and ratio[k] > least >= 0):
+            continue  # outside, a line must be dense by itself
+        if not region[k] and linked[k] > 0.5 * size[k] and not (near[k] or page.tag[at] in HEADINGS):
             continue
         out.append(text)
     return out

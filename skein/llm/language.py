@@ -130,34 +130,31 @@ class ByteConvNet:
                     q -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
 
 
-def _training_windows(docs: DataFrame, held_out: Column, texts_per_language: int, windows_per_text: int) -> DataFrame:
+def _training_windows(docs: DataFrame, held_out: Column, texts_per_language: int, bytes_per_language: int) -> DataFrame:
     learn = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out & F.col("text").rlike(r"\p{L}"))
-    sizes = learn.groupBy("lang").count()
-    # the languages are a short list of labels; only their names and counts come to the driver
-    share = {r["lang"]: r["count"] for r in sizes.collect()}
+    sizes = learn.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    # the languages are a short list of labels; only their names, counts and sizes come to the driver
+    share = {r["lang"]: min(1.0, texts_per_language / r["n"], bytes_per_language / r["bytes"]) for r in sizes.collect()}
     if not share:
         return docs.limit(0).select(F.lit("").alias("lang"), F.lit(b"").alias("window"))
-    most = F.create_map(*[x for k, n in share.items() for x in (F.lit(k), F.lit(int(1e6 * min(1.0, texts_per_language / n))))])
+    most = F.create_map(*[x for k, part in share.items() for x in (F.lit(k), F.lit(int(1e6 * part)))])
     learn = learn.where(F.pmod(F.xxhash64(F.lit("language"), "doc_id", "text"), F.lit(1_000_000)) < most[F.col("lang")])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
                 x, rows, _ = windows_of(*byte_view(part.column("text")))
-                nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
-                many = np.bincount(rows, minlength=part.num_rows)[rows] if len(rows) else rows
-                keep = nth % np.maximum(1, -(-many // windows_per_text)) == 0
-                yield pa.RecordBatch.from_pydict({"lang": part.column("lang").take(pa.array(rows[keep])), "window": pa.array([w.tobytes() for w in x[keep]], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"lang": part.column("lang").take(pa.array(rows)), "window": pa.array([w.tobytes() for w in x], pa.binary())})
 
     return learn.select("lang", "text").mapInArrow(cut, "lang string, window binary")
 
 
-def trained(docs: DataFrame, held_out: Column, texts_per_language: int = 500, windows_per_text: int = 4, filters: int = 16, steps: int = 600, seed: int = 7) -> ByteConvNet | None:
-    """A network fitted on at most about texts_per_language texts of each language, and as many windows of each as said.
+def trained(docs: DataFrame, held_out: Column, texts_per_language: int = 1000, bytes_per_language: int = 1 << 20, filters: int = 16, steps: int = 600, seed: int = 7) -> ByteConvNet | None:
+    """A network fitted on all windows of at most about texts_per_language whole texts of each language, with about so many bytes in all.
 
     None if no row has both a text with a letter and a language.
     """
-    got = _training_windows(docs, held_out, texts_per_language, windows_per_text).toPandas().sort_values(["lang", "window"])
+    got = _training_windows(docs, held_out, texts_per_language, bytes_per_language).toPandas().sort_values(["lang", "window"])
     if not len(got):
         return None
     languages = sorted(got["lang"].unique())

@@ -12,6 +12,7 @@ are merged alone. That too depends on the prefix only, so it is shared in the sa
 
 from __future__ import annotations
 
+import heapq
 import re
 import struct
 from dataclasses import dataclass
@@ -25,8 +26,8 @@ from pyspark.sql import types as T
 from skein.llm.common import map_arrow, slices
 
 MARK = "▁"
-#: Words whose encodings a task keeps; beyond that it begins anew (a limit of memory, not of results).
-KEPT_WORDS = 200_000
+#: New words after which a task forgets those that it hasn't met since the last time (a limit of memory, not of results).
+KEPT_WORDS = 150_000
 KEPT_PAIRS = 400_000
 
 
@@ -61,18 +62,29 @@ class Vocabulary:
 
 
 def merged(word: str, scores: dict[str, float], down_to: int = 1) -> list[str]:
-    """Byte-pair encoding of a word by definition: the best-scoring neighbouring pair (the leftmost of equals) is merged until none is a piece, or so few are left."""
-    parts = list(word)
-    while len(parts) > down_to:
-        best, where = None, -1
-        for k in range(len(parts) - 1):
-            score = scores.get(parts[k] + parts[k + 1])
-            if score is not None and (best is None or score > best):
-                best, where = score, k
-        if best is None:
-            break
-        parts[where : where + 2] = [parts[where] + parts[where + 1]]
-    return parts
+    """Byte-pair encoding of a word by definition: the best-scoring neighbouring pair (the leftmost of equals) is merged until none is a piece, or so few are left.
+
+    Pairs wait in a heap and parts know their neighbours, so a run of n like characters takes n log n steps.
+    """
+    parts: list[str | None] = list(word)
+    many, left, right = len(parts), list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
+    heap = [(-s, k, parts[k] + parts[k + 1]) for k in range(many - 1) if (s := scores.get(parts[k] + parts[k + 1])) is not None]
+    heapq.heapify(heap)
+    remaining = many
+    while heap and remaining > down_to:
+        _, k, pair = heapq.heappop(heap)
+        nxt = right[k]
+        if parts[k] is None or nxt >= many or parts[k] + parts[nxt] != pair:
+            continue  # one of the two has been merged since
+        parts[k], parts[nxt] = pair, None
+        remaining -= 1
+        right[k] = right[nxt]
+        if right[k] < many:
+            left[right[k]] = k
+        for a, b in ((left[k], k), (k, right[k])):
+            if a >= 0 and b < many and (s := scores.get(parts[a] + parts[b])) is not None:
+                heapq.heappush(heap, (-s, a, parts[a] + parts[b]))
+    return [p for p in parts if p is not None]
 
 
 class TrieEncoder:
@@ -81,6 +93,7 @@ class TrieEncoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v, scores = vocabulary, vocabulary.scores
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         self.lowest = min(scores.values(), default=0.0) - 10.0
         self.halves = {p: self._halved(p) for p in vocabulary.ids if len(p) > 1} if vocabulary.merging else {}
@@ -223,12 +236,14 @@ class TrieEncoder:
         find = self.word.findall
         parted = [find(x) for x in self.v.processor.normalize([t or "" for t in texts])]
         if len(self.known) > KEPT_WORDS:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         missing: set[str] = set()
         for words in parted:
             missing.update(words)
         missing.difference_update(self.known)
-        self.learn(missing)
+        again = missing & self.older.keys()
+        self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        self.learn(missing - again)
         get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, words)), np.int32) for words in parted]
 

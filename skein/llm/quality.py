@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import SpanHash, byte_view, labelled_sample, map_arrow, slices
+from skein.llm.common import byte_view, labelled_sample, map_arrow, slices, within_bytes, SpanHash
 
 PASSAGE = 512
 ACCEPT = 0.7
@@ -144,12 +144,13 @@ class AttentionModel:
         return out, top, weight
 
 
-def trained(docs: DataFrame, labels: DataFrame, held_out: Column, most: int = 6_000, max_chars: int = 30_000, hidden: int = 24, gates: int = 8, seed: int = 11) -> AttentionModel | None:
-    """A model fitted on about `most` labelled documents at most, none of over max_chars; None without both labels.
+def trained(docs: DataFrame, labels: DataFrame, held_out: Column, most: int = 6_000, most_bytes: int = 32 << 20, hidden: int = 24, gates: int = 8, seed: int = 11) -> AttentionModel | None:
+    """A model fitted on whole labelled documents: about `most` of them at most, with about so many bytes of text in all; None without both labels.
 
     Only the passages' features of that bounded sample come to the driver.
     """
-    sample = labelled_sample(docs, labels, "quality", held_out, most, max_chars)
+    whole = labelled_sample(docs, labels, "quality", held_out, most).persist()
+    sample = within_bytes(whole, most_bytes)
 
     def features(batch: pa.RecordBatch) -> dict:
         x, rows = passages(batch.column("text"))
@@ -158,6 +159,7 @@ def trained(docs: DataFrame, labels: DataFrame, held_out: Column, most: int = 6_
         return {"doc_id": batch.column("doc_id"), "y": batch.column("y").cast(pa.int64()), "x": pa.array(own, pa.binary())}
 
     got = map_arrow(sample, features, "doc_id long, y long, x binary").toPandas().sort_values(["doc_id", "x"])
+    whole.unpersist()
     got = got[got["x"].map(len) > 0]
     y = got["y"].to_numpy(float)
     if not len(y) or y.min() == y.max():

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from skein.llm import decontaminate, html, language, merkle, pieces, quality, sharding, simhash, tokens, toxicity
 from skein.llm.common import fold
-from skein.tables import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,8 +75,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = _table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = written(rows, "shard-rows")  # the texts are read once; what is shuffled is narrow
-    out = sharding.shards(rows, [F.col("doc_id"), F.col("text_crc32"), F.col("size")], shards=16)
+    out = sharding.shards(rows, shards=16)  # the texts are read once; what is shuffled is narrow
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

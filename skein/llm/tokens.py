@@ -124,28 +124,30 @@ def digests(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     return written(rows, "token-digests")
 
 
-def add_missing(docs: DataFrame, known_digests: DataFrame, tokenizer: Tokenizer, cache: str) -> None:
+def add_missing(docs: DataFrame, known_digests: DataFrame, tokenizer: Tokenizer, cache: str) -> DataFrame:
     """Encodes one document of each content that the cache (a folder of Parquet files) lacks, and appends the counts.
 
-    The digests are grouped before they meet the cache, so copies count once. All other rows are then left out by id and
-    content: by a broadcast if they were counted to be few, else by a shuffle on that pair, never on the digest alone.
-    Rows without an id, and rows that are wholly equal, may be encoded more than once but are appended once.
-    Should a run break off, the next one appends what is still missing.
+    The digests are grouped before they meet the cache, so copies count once; the grouped table (content, first, rows) is
+    returned. All other rows are then left out by id and content: by a broadcast if they were counted to be few, else by
+    a shuffle on that pair, never on the digest alone. Rows without an id, and rows that are wholly equal, may be
+    encoded more than once but are appended once. Should a run break off, the next one appends what is still missing.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", _content(tokenizer.form).alias("content"))
-    firsts = known_digests.groupBy("content").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
+    firsts = written(known_digests.groupBy("content").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")), "token-firsts")
     if _exists(docs, cache):
         had = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == tokenizer.version).select("content").distinct()
         fresh = written(firsts.join(had, "content", "left_anti").select(F.col("first").alias("doc_id"), "content"), "token-misses")
         few = broadcast_below(fresh, ROWS_BROADCAST)
         texts = rows.join(few, (rows["content"] == few["content"]) & rows["doc_id"].eqNullSafe(few["doc_id"]), "left_semi")
     else:
-        again = written(firsts.where("rows > 1").select("content", "first"), "token-repeated")
-        copies = written(known_digests.join(again, "content").where("doc_id <> first").select("doc_id", "content").distinct(), "token-copies")
+        again = firsts.where("rows > 1")
+        copies = looked_up(known_digests, again, "content", "rows", known_digests.count()).where("doc_id <> first")
+        copies = written(copies.select("doc_id", "content").distinct(), "token-copies")
         texts = rows.join(broadcast_below(copies, ROWS_BROADCAST), ["doc_id", "content"], "left_anti")
     counted = texts.select("content", F.lit(tokenizer.version).alias("tokenizer"), _counts(tokenizer)(F.coalesce("text", F.lit(""))).alias("n_tokens"))
     counted.dropDuplicates(["content"]).write.mode("append").parquet(cache)
+    return firsts
 
 
 def _exists(docs: DataFrame, folder: str) -> bool:
@@ -172,6 +174,9 @@ def token_counts(docs: DataFrame, tokenizer: Tokenizer, limit: int, cache: str |
         cache = f"{shared_folder(spark)}/skein-token-cache-{uuid.uuid4().hex}"
     docs = docs.select("doc_id", "text")
     rows = digests(docs, tokenizer)
-    add_missing(docs, rows, tokenizer, cache)
+    firsts = add_missing(docs, rows, tokenizer, cache)
     known = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == tokenizer.version)
-    return rows.join(known.select("content", "n_tokens"), "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    known = known.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))  # one row a content, should two writers have met
+    counts = written(firsts.select("content", "rows").join(known, "content"), "token-counts")
+    found = looked_up(rows, counts, "content", "rows", rows.count())
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

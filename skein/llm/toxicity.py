@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import SpanHash, byte_view, labelled_sample, map_arrow, slices, words
+from skein.llm.common import SpanHash, byte_view, labelled_sample, map_arrow, slices, within_bytes, words
 
 #: Score tables have fixed sizes, whatever the vocabulary: whole words, and beginnings of so many bytes.
 TABLES = ((0, 1 << 19), (7, 1 << 18), (6, 1 << 17), (5, 1 << 17), (4, 1 << 16))
@@ -192,17 +192,18 @@ def log_odds(clean: Column, toxic: Column, all_clean: int, all_toxic: int) -> Co
     return F.signum(delta) * F.greatest(F.lit(0.0), F.abs(delta) - DOUBT * spread)
 
 
-def trained(docs: DataFrame, labels: DataFrame, held_out: Column, most: int = 20_000, max_chars: int = 50_000) -> SegmentModel | None:
-    """A model fitted on about `most` labelled texts at most (none of over max_chars, none twice); None without both labels."""
-    sample = labelled_sample(docs, labels, "toxic", held_out, most, max_chars)
-    sample = sample.withColumn("text", F.lower("text")).dropDuplicates(["text", "y"]).persist()
+def trained(docs: DataFrame, labels: DataFrame, held_out: Column, most: int = 20_000, most_bytes: int = 256 << 20) -> SegmentModel | None:
+    """A model fitted on whole labelled texts, none twice: about `most` of them at most, with about so many bytes in all; None without both labels."""
+    whole = labelled_sample(docs, labels, "toxic", held_out, most)
+    whole = whole.withColumn("text", F.lower("text")).groupBy("text", "y").agg(F.min("doc_id").alias("doc_id")).persist()
     try:
+        sample = within_bytes(whole, most_bytes)
         sizes = dict(map(tuple, sample.groupBy("y").count().collect()))
         if not sizes.get(0) or not sizes.get(1):
             return None
         return _calibrated(SegmentModel(_tables(sample, (sizes[0], sizes[1]))), sample)
     finally:
-        sample.unpersist()
+        whole.unpersist()
 
 
 def _calibrated(model: SegmentModel, sample: DataFrame) -> SegmentModel:
