@@ -24,60 +24,96 @@ SECTION = 8
 _RUN = re.compile(r"\s*(?:\S+\s*){1,%d}|\s+" % LEAF)
 #: Hexadecimal digits of a leaf's digest, and of a section's.
 WIDTH, SECTION_WIDTH = 8, 16
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_paragraphs array<int>"
+
+
+#: A section: its digest and its paragraphs, each the run of its leaves' digests.
+Sections = list[tuple[str, list[str]]]
 
 
 class Tree:
     """A text's tree; paragraphs that two texts share are hashed once by passing the other's memo."""
 
-    def __init__(self, text: str, memo: dict[str, tuple[bytes, list[str]]] | None = None):
+    def __init__(self, text: str, memo: dict[str, tuple[bytes, str]] | None = None):
         self.memo = {} if memo is None else memo
-        sha, sections, now = hashlib.sha256, [], []
+        sha, self.sections, now = hashlib.sha256, [], []
         root = sha(b"text")
-        self.leaves: list[str] = []
+
+        def end() -> None:
+            digest = sha(b"".join(p[0] for p in now)).hexdigest()
+            root.update(digest.encode())
+            self.sections.append((digest[:SECTION_WIDTH], [p[1] for p in now]))
+            now.clear()
+
         for paragraph in text.split("\n"):
             got = self.memo.get(paragraph)
             if got is None:
-                digests = [sha(run.encode("utf-8", "surrogatepass")).hexdigest()[:WIDTH] for run in _RUN.findall(paragraph)]
-                got = self.memo[paragraph] = (sha("".join(digests).encode()).digest(), digests)
+                run = "".join([sha(leaf.encode("utf-8", "surrogatepass")).hexdigest()[:WIDTH] for leaf in _RUN.findall(paragraph)])
+                got = self.memo[paragraph] = (sha(run.encode()).digest(), run)
             now.append(got)
-            self.leaves += got[1]
             if got[0][0] % SECTION == 0:
-                sections.append(now)
-                now = []
-        sections.append(now)
-        parts = []
-        for section in sections:
-            digest = sha(b"".join(p[0] for p in section)).hexdigest()
-            root.update(digest.encode())
-            parts.append(digest[:SECTION_WIDTH] + "=" + ",".join(["".join(p[1]) for p in section]))
+                end()
+        end()
         self.root = root.hexdigest()
-        self.written = self.root + "|" + ";".join(parts)
 
+    @property
+    def written(self) -> str:
+        return self.root + "|" + ";".join([digest + "=" + ",".join(runs) for digest, runs in self.sections])
 
-def _shared(a: list[str], b: list[str]) -> float:
-    if not a and not b:
-        return 1.0
-    return 2 * sum((Counter(a) & Counter(b)).values()) / (len(a) + len(b))
 
+def compared(a: Sections, b: Sections) -> tuple[float, list[int]]:
+    """Two trees whose roots differ, from the top down: the share of leaves in branches that both have (Dice), and the numbers of b's paragraphs that a lacks.
 
-def leaves_of(written: str) -> list[str]:
-    return [run[k : k + WIDTH] for section in written.split("|", 1)[1].split(";") for run in section.split("=", 1)[1].split(",") for k in range(0, len(run), WIDTH)]
+    Sections of equal digest are not opened; in the others, paragraphs are compared, and in those that differ, leaves.
+    """
+    left = Counter(digest for digest, _ in a)
+    shared, at, open_b = 0, 0, []
+    for digest, runs in b:
+        if left[digest] > 0:
+            left[digest] -= 1
+            shared += sum(map(len, runs)) // WIDTH
+        else:
+            open_b += enumerate(runs, at)
+        at += len(runs)
+    open_a: Counter[str] = Counter()
+    for digest, runs in a:
+        if left[digest] > 0:
+            left[digest] -= 1
+            open_a.update(runs)
+    changed = []
+    for k, run in open_b:
+        if open_a[run] > 0:
+            open_a[run] -= 1
+            shared += len(run) // WIDTH
+        else:
+            changed.append((k, run))
+    leaves = lambda run: [run[k : k + WIDTH] for k in range(0, len(run), WIDTH)]
+    mine: Counter[str] = Counter()
+    for run, times in open_a.items():
+        for leaf in leaves(run):
+            mine[leaf] += times
+    theirs = Counter(leaf for _, run in changed for leaf in leaves(run))
+    shared += sum((mine & theirs).values())
+    total = sum(len(run) for tree in (a, b) for _, runs in tree for run in runs) // WIDTH
+    return (2 * shared / total if total else 1.0), [k for k, _ in changed]
+
+
+def sections_of(written: str) -> Sections:
+    return [(digest, runs.split(",")) for digest, runs in (part.split("=", 1) for part in written.split("|", 1)[1].split(";"))]
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of leaves that two written fingerprints have in common (Dice), 1.0 for equal roots."""
-    return 1.0 if a.split("|", 1)[0] == b.split("|", 1)[0] else _shared(leaves_of(a), leaves_of(b))
+    """Share of leaves that two written fingerprints have in common, 1.0 for equal roots."""
+    return 1.0 if a.split("|", 1)[0] == b.split("|", 1)[0] else compared(sections_of(a), sections_of(b))[0]
 
 
 def edits(a: str, b: str) -> list[int]:
-    """Numbers of the sections of b whose branch a doesn't have: where b was edited."""
-    known = {s.split("=", 1)[0] for s in a.split("|", 1)[1].split(";")}
-    return [k for k, s in enumerate(b.split("|", 1)[1].split(";")) if s.split("=", 1)[0] not in known]
+    """Numbers of the paragraphs of b that are in no branch of a: where b was edited."""
+    return [] if a.split("|", 1)[0] == b.split("|", 1)[0] else compared(sections_of(a), sections_of(b))[1]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Of each row: its fingerprint, that of its edited text, and both likenesses.
+    """Of each row: its fingerprint, that of its edited text, both likenesses, and the paragraphs of the edited text (from 0) that its own tree lacks.
 
     The edited text has the last half of the code points replaced by the first as many of the next document in order of
     doc_id (after the last, the first). Rows are put into ranges of doc_id, one a partition, sorted, and read with the
@@ -109,9 +145,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         edited = text[: len(text) - half] + following[:half]
         other = Tree(edited, tree.memo)
         nxt = Tree(following)
-        near = 1.0 if other.root == tree.root else _shared(tree.leaves, other.leaves)
-        near_next = 1.0 if nxt.root == tree.root else _shared(tree.leaves, nxt.leaves)
-        return (doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), tree.written, other.written, near, near_next), nxt
+        near, changed = (1.0, []) if other.root == tree.root else compared(tree.sections, other.sections)
+        near_next = 1.0 if nxt.root == tree.root else compared(tree.sections, nxt.sections)[0]
+        return (doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), tree.written, other.written, near, near_next, changed), nxt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -143,5 +179,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return sorted_rows.select("extra", "doc_id", "text").mapInArrow(run, SCHEMA)
 
 
-_KINDS = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
+_KINDS = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "array<int>": pa.list_(pa.int32())}
 _ARROW = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in SCHEMA.split(", ")])
