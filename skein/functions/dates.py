@@ -7,32 +7,44 @@ from pyspark.sql import functions as F
 
 # English month names; a name may be cut to three letters, and September to four.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
-_DAY = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})(?:[T ].*)?$"
-_WRITTEN = r"^([A-Za-z]+)\s+([0-9]{1,2}),\s*([0-9]{4})$"
-_MONTH = r"(?i)^([0-9]{4})-([0-9]{2})(?:-(?:\?\?|xx|[0-9]{4}))?$"
-_YEAR = r"^([0-9]{4})(?:-\?\?)*$"
+#: What stands for a part that is not known.
+UNKNOWN = ("??", "xx")
 
 
 def _date(year: Column, month: Column, day: Column) -> Column:
     """The date, or null where there is none such."""
-    return F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0")).try_cast("date")
+    return F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")).try_cast("date")
 
 
 def published(raw: Column) -> Column:
-    """struct(date, precision) of a source's date: a day, a month or year (its first day), or none."""
-    text, one = F.trim(raw), F.lit("01")
-    part = lambda pattern, k: F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
+    """struct(date, precision) of a source's date: a day, a month or year (its first day), or none.
+
+    A date is written as a month's name with day and year, or as parts between hyphens, of which the later ones may be
+    unknown; after a whole day a time may follow. The parts are split off once, and the known ones say how precise it is.
+    """
+    text = F.trim(raw)
+    parts = F.split(text, "-", 3)
+    part = lambda k: F.try_element_at(parts, F.lit(k))
+    year, month, rest = part(1), part(2), F.lower(part(3))
+    digits = lambda x, n: F.length(F.coalesce(x, F.lit(""))).eqNullSafe(n) & F.translate(x, "0123456789", "").eqNullSafe("")
+    day = F.left(rest, F.lit(2))
+    timed = F.length(rest).eqNullSafe(2) | F.substring(rest, 3, 1).isin("t", " ")
+    open_day = rest.isNull() | rest.isin(*UNKNOWN) | digits(rest, 4)
+    open_month = month.isNull() | (month == "??") & F.coalesce(rest == "??", F.lit(True))
     names = F.array(*[F.lit(x) for m in MONTHS for x in (m, m[:3], m[:4] if m == "september" else m)])
-    at = F.array_position(names, F.lower(part(_WRITTEN, 1)))
-    month = F.when(at > 0, (F.floor((at - 1) / 3) + 1).cast("string"))
-    written = F.when(month.isNotNull(), _date(part(_WRITTEN, 3), month, part(_WRITTEN, 2)))
-    found = [
-        (F.when(text.rlike(_DAY), _date(part(_DAY, 1), part(_DAY, 2), part(_DAY, 3))), "day"),
-        (written, "day"),
-        (F.when(text.rlike(_MONTH), _date(part(_MONTH, 1), part(_MONTH, 2), one)), "month"),
-        (F.when(text.rlike(_YEAR), _date(part(_YEAR, 1), one, one)), "year"),
-    ]
-    return F.coalesce(*[F.when(d.isNotNull(), F.struct(d.alias("date"), F.lit(p).alias("precision"))) for d, p in found], F.struct(F.lit(None).cast("date").alias("date"), F.lit("none").alias("precision")))
+    words = F.split(F.lower(text), r"\s+|,\s*")
+    named = F.floor((F.nullif(F.array_position(names, words[0]), F.lit(0)) - 1) / 3) + 1
+    spelt = text.rlike(r"^[A-Za-z]+\s+[0-9]{1,2},\s*[0-9]{4}$") & named.isNotNull()
+    found = lambda d, precision: F.when(d.isNotNull(), F.struct(d.alias("date"), F.lit(precision).alias("precision")))
+    none = F.struct(F.lit(None).cast("date").alias("date"), F.lit("none").alias("precision"))
+    first = F.lit("01")
+    return F.coalesce(
+        F.when(spelt, found(_date(words[2], named.cast("string"), words[1]), "day"))
+        .when(digits(year, 4) & digits(month, 2) & digits(day, 2) & timed, found(_date(year, month, day), "day"))
+        .when(digits(year, 4) & digits(month, 2) & open_day, found(_date(year, month, first), "month"))
+        .when(digits(year, 4) & open_month, found(_date(year, first, first), "year")),
+        none,
+    )
 
 
 def valid_until(dated: Column, kind: Column, days: dict[str, int]) -> Column:

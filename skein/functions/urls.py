@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Public suffixes of two parts under which names are registered.
-COMPOUND = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "co.jp", "co.kr", "com.br", "com.cn", "com.tr", "co.in", "co.nz", "com.mx", "com.sg", "co.za")
+COMPOUND = (
+    "co.uk", "org.uk", "ac.uk", "gov.uk", "co.jp", "or.jp", "ne.jp", "co.kr", "com.au", "net.au", "org.au",
+    "com.br", "com.cn", "com.hk", "com.sg", "com.tr", "co.in", "co.il", "co.nz", "com.mx", "com.ar", "co.za",
+)
 
 
 def host(url: Column) -> Column:
@@ -24,15 +27,6 @@ def slug(text: Column, most: int = 60) -> Column:
     return F.left(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-")), F.lit(most))
 
 
-def without_tracking(url: Column) -> Column:
-    """The URL without fragment, tracking parameters and a last slash, its host in lower case."""
-    bare = F.regexp_replace(url, r"#.*$", "")
-    bare = F.regexp_replace(bare, r"(?<=[?&])(utm_[a-z]+|ref|fbclid|gclid)=[^&]*&?", "")
-    bare = F.regexp_replace(bare, r"[?&]$", "")
-    low = F.concat(F.lower(F.regexp_extract(bare, r"^(https?://[^/?#]*)", 1)), F.regexp_replace(bare, r"^https?://[^/?#]*", ""))
-    return F.regexp_replace(low, r"/$", "")
-
-
 def deterministic_id(prefix: str, namespace: str, key: Column) -> Column:
     return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(F.concat(F.lit(f"{namespace}:"), key), 256), 1, 24))
 
@@ -55,14 +49,18 @@ def locale(url: Column) -> Column:
 def url_key(url: Column) -> Column:
     """What makes two URLs the same page: https, host without www, path without locale and amp, other query pairs in order; empty without a host.
 
-    Query pairs are compared as they are written, escapes included.
+    Query pairs are decoded and encoded again, so that pairs written with other escapes are the same.
     """
     server = F.regexp_replace(F.lower(F.regexp_extract(url, r"^https?://([^/?#]+)", 1)), r"^www\.", "")
     parts = _segments(url)
     parts = F.when(locale(url).isNotNull(), F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))).otherwise(parts)
     path = F.regexp_replace(F.concat(F.lit("/"), F.array_join(parts, "/")), r"(?i:(^|/)amp$)|\.amp$", "$1")
     path = F.regexp_replace(path, r"(.)/$", "$1")
+    plus = lambda x: F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%20")))
     key = lambda pair: F.lower(F.split_part(pair, F.lit("="), F.lit(1)))
-    pairs = F.filter(F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&"), lambda p: (p != "") & ~key(p).startswith("utm_") & ~key(p).isin(*TRACKING) & (F.lower(p) != "output=amp"))
+    value = lambda pair: F.when(F.instr(pair, "=") > 0, F.substr(pair, F.instr(pair, "=") + 1)).otherwise("")
+    decoded = lambda x: F.url_encode(F.coalesce(plus(x), x))
+    kept = F.filter(F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&"), lambda p: (p != "") & ~key(p).startswith("utm_") & ~key(p).isin(*TRACKING) & (F.lower(p) != "output=amp"))
+    pairs = F.transform(kept, lambda p: F.concat(decoded(F.split_part(p, F.lit("="), F.lit(1))), F.lit("="), decoded(value(p))))
     query = F.array_join(F.array_sort(pairs), "&")
     return F.when(server == "", "").otherwise(F.concat(F.lit("https://"), server, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
