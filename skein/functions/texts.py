@@ -92,3 +92,13 @@ def cut_at_word(text: Column, most: int) -> Column:
     start = F.left(text, F.lit(most - 1))
     whole = F.rtrim(F.regexp_replace(start, r" [^ ]*$", ""))
     return F.when(F.length(text) <= most, text).otherwise(F.concat(whole, F.lit("…")))
+
+
+def one_paragraph(text: Column, most: int) -> Column:
+    bare = F.trim(text)
+    return ~bare.contains("\n\n") & F.length(bare).between(1, most)
+
+
+def first_sentence(text: Column) -> Column:
+    """The text up to its first sentence end that white space follows; empty without one."""
+    return F.regexp_extract(text, r"(?s)^(.*?[.!?])(\s|$)", 1)

@@ -64,3 +64,7 @@ def url_key(url: Column) -> Column:
     pairs = F.transform(kept, lambda p: F.concat(decoded(F.split_part(p, F.lit("="), F.lit(1))), F.lit("="), decoded(value(p))))
     query = F.array_join(F.array_sort(pairs), "&")
     return F.when(server == "", "").otherwise(F.concat(F.lit("https://"), server, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
+
+
+def path(url: Column) -> Column:
+    return F.regexp_extract(url, r"^https?://[^/?#]+([^?#]*)", 1)

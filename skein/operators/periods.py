@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,3 +29,17 @@ def with_previous_day(daily: DataFrame, day: str, value: str) -> DataFrame:
     w = Window.orderBy(day)
     before = F.lag(value).over(w)
     return daily.select(day, F.lag(day).over(w).alias("previous"), value, before.alias(f"{value}_before"), (F.col(value) - F.coalesce(before, F.lit(0))).alias("change"))
+
+
+def optional_filters(rows: DataFrame, equal: dict[str, tuple], least: dict[str, object], search: tuple[str | None, list[str]]) -> DataFrame:
+    """rows under the filters that are given: None is no filter, nor is a value outside the allowed ones; the search term is in any of its columns."""
+    for column, (value, allowed) in equal.items():
+        if value is not None and (allowed is None or value in allowed):
+            rows = rows.where(F.col(column) == value)
+    for column, value in least.items():
+        if value is not None:
+            rows = rows.where(F.col(column) >= value)
+    term, columns = search
+    if term:
+        rows = rows.where(reduce(lambda a, b: a | b, [F.lower(c).contains(term.lower()) for c in columns]))
+    return rows

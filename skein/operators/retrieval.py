@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,33 +39,6 @@ def bm25(docs: DataFrame, key: str, text: str, terms: list[str], k1: float = K1,
     return joined.select(key, reduce(lambda x, y: x + y, part).alias("score"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two float arrays, in doubles."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
-def nearest(df: DataFrame, key: str, vector: str, query: list[float], k: int) -> DataFrame:
-    """The k rows most like one vector; ties by key. One scan that keeps k rows a task."""
-    like = cosine(F.col(vector), F.array(*[F.lit(float(x)) for x in query]))
-    return df.select(key, like.alias("cosine")).orderBy(F.desc("cosine"), key).limit(k)
-
-
-def neighbours_within(df: DataFrame, key: str, group: str, vector: str, k: int, most_distance: float) -> DataFrame:
-    """(a, b, distance) of each row's k nearest rows with a larger key in the same group, at most so far away.
-
-    Norms are computed once a row; the join is on the group only, with the order of keys as a residual.
-    """
-    rows = df.select(F.col(key), F.col(group), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    rows = rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
-    unit = rows.select(key, group, F.transform("v", lambda x: x / F.col("norm")).alias("v"))
-    left, right = unit.select(F.col(key).alias("a"), group, F.col("v").alias("va")), unit.select(F.col(key).alias("b"), group, F.col("v").alias("vb"))
-    dot = F.aggregate(F.zip_with("va", "vb", lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
-    pairs = left.join(right, group).where("a < b").select("a", "b", (1 - dot).alias("distance")).where(F.col("distance") <= most_distance)
-    ranked = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b")))
-    return ranked.where(F.col("nth") <= k)
-
-
 def fused(arms: dict[str, DataFrame], key: str, k: int = RRF_K) -> DataFrame:
     """(key, score, arms): reciprocal rank fusion of arms with (key, r), as a union and one sum."""
     parts = [df.select(key, (1.0 / (k + F.col("r"))).alias("part"), F.lit(name).alias("arm")) for name, df in arms.items()]
@@ -86,3 +62,59 @@ def package(hits: DataFrame, key: str, score: str, size: int, floor: float) -> D
     """The strongest hits from a floor on, numbered from 1; only so many rows reach the numbering."""
     chosen = hits.where(F.col(score) >= floor).orderBy(F.desc(score), key).limit(size)
     return chosen.withColumn("ordinal", F.row_number().over(Window.orderBy(F.desc(score), key)))
+
+
+#: Vectors of a block, and queries that are sent at a time.
+BLOCK, QUERIES = 2048, 4096
+
+
+def nearest_to_queries(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, group: str | None = None, most_distance: float | None = None, larger_only: bool = False) -> DataFrame:
+    """(query, hit, cosine, nth): the k vectors most like each query, ties by key, a query itself left out; within the query's group if one is given.
+
+    Queries go out in blocks of QUERIES by broadcast; a task multiplies its vectors, a block at a time, with the queries
+    and keeps k hits a query, so only those are shuffled, and no pair of rows is ever made. With larger_only a hit's key
+    must be larger than the query's.
+    """
+    total, spark, parts = queries.count(), vectors.sparkSession, []
+    many = max(1, -(-total // QUERIES))
+    place = F.pmod(F.xxhash64(key), F.lit(many))
+    columns = [key, F.col(group).cast("long") if group else F.lit(0).cast("long"), F.col(vector).cast("array<float>")]
+    for n in range(many):
+        asked = queries.where(place == n).select(*columns).toPandas()  # about QUERIES
+        sent = spark.sparkContext.broadcast((asked.iloc[:, 0].to_numpy(), asked.iloc[:, 1].to_numpy(), _unit(asked.iloc[:, 2].tolist())))
+        found = vectors.select(F.col(key).alias("key"), columns[1].alias("part"), columns[2].alias("v")).mapInArrow(_nearest_in_task(sent, k, most_distance, larger_only), "query long, hit long, cosine double")
+        parts.append(found)
+    both = reduce(DataFrame.unionByName, parts)
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "hit"))  # k rows of a query from each task
+    return both.withColumn("nth", best).where(F.col("nth") <= k)
+
+
+def _unit(rows: list) -> np.ndarray:
+    v = np.array([np.asarray(r, np.float64) for r in rows]) if len(rows) else np.zeros((0, 1))
+    return v / np.maximum(1e-300, np.sqrt((v * v).sum(axis=1, keepdims=True)))
+
+
+def _nearest_in_task(sent, k: int, most_distance: float | None, larger_only: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, groups, asked = sent.value
+        best = [np.zeros((0, 2)) for _ in ids]  # rows of (cosine, key), of each query
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                keys, own = part.column("key").to_numpy(), part.column("part").to_numpy()
+                like = asked @ _unit(part.column("v").to_pylist()).T if len(asked) else np.zeros((0, len(keys)))
+                fits = (groups[:, None] == own[None, :]) & (keys[None, :] > ids[:, None] if larger_only else keys[None, :] != ids[:, None])
+                if most_distance is not None:
+                    fits &= 1 - like <= most_distance
+                for q in np.flatnonzero(fits.any(axis=1)):
+                    some = np.flatnonzero(fits[q])
+                    if len(some) > 4 * k:
+                        least = np.partition(like[q, some], len(some) - k)[len(some) - k]
+                        some = some[like[q, some] >= least]
+                    rows = np.concatenate([best[q], np.column_stack([like[q, some], keys[some]])])
+                    best[q] = rows[np.lexsort((rows[:, 1], -rows[:, 0]))[:k]]
+        query = np.repeat(ids, [len(b) for b in best]) if len(ids) else np.zeros(0, np.int64)
+        rows = np.concatenate(best) if len(best) else np.zeros((0, 2))
+        yield pa.RecordBatch.from_pydict({"query": pa.array(query, pa.int64()), "hit": pa.array(rows[:, 1].astype(np.int64)), "cosine": pa.array(rows[:, 0])})
+
+    return run

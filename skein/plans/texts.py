@@ -34,24 +34,25 @@ def card_search_all_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0)
-SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 5) AS cosine FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) DESC, vec_id LIMIT 50
+WITH p AS (SELECT q.vec_id AS query, v.vec_id AS hit, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS c FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)
+SELECT query, hit, round(c, 5) AS cosine, nth FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY c DESC, hit) AS nth FROM p) WHERE nth <= 50
 """)
 def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 50 vectors most like one query vector."""
+    """The 50 vectors most like each vector whose id is divisible by 50."""
     vectors = table(spark, sf_dir, "embeddings")
-    asked = vectors.where("vec_id = 0").first()["embedding"]
-    return retrieval.nearest(vectors, "vec_id", "embedding", asked, 50).select("vec_id", F.round("cosine", 5).alias("cosine"))
+    found = retrieval.nearest_to_queries(vectors, vectors.where("vec_id % 50 = 0"), "vec_id", "embedding", 50)
+    return found.select("query", "hit", F.round("cosine", 5).alias("cosine"), "nth")
 
 
 @query("""
-WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)
+WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 50 = 0)
 SELECT a, b, round(d, 5) AS distance, nth FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS nth FROM p WHERE d <= 0.9) WHERE nth <= 3
 """)
 def nearest_within_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three nearest vectors of the same label with a larger id."""
-    found = retrieval.neighbours_within(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding", 3, 0.9)
-    return found.select("a", "b", F.round("distance", 5).alias("distance"), "nth")
+    """The three nearest vectors of the same label with a larger id, of every vector whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    found = retrieval.nearest_to_queries(vectors, vectors.where("vec_id % 50 = 0"), "vec_id", "embedding", 3, group="label", most_distance=0.9, larger_only=True)
+    return found.select(F.col("query").alias("a"), F.col("hit").alias("b"), F.round(1 - F.col("cosine"), 5).alias("distance"), "nth")
 
 
 @query(rf"""
