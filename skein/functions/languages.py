@@ -21,7 +21,8 @@ def by_marks(text: Column) -> Column:
 
 def by_function_words(words: Column) -> Column:
     """struct(language, hits, share, sure) of an array of lower-case words: the language with the most function words, equals in the order given; sure with three hits or more and twice the next one's."""
-    hits = [F.size(F.filter(words, lambda w, ws=ws: w.isin(*ws))) for ws in FUNCTION_WORDS.values()]
+    known = lambda ws: F.size(F.filter(words, lambda w: w.isin(*ws)))
+    hits = [known(ws) for ws in FUNCTION_WORDS.values()]
     ranked = F.array_sort(F.array(*[F.struct((-h).alias("less"), F.lit(k).alias("k"), F.lit(lang).alias("lang")) for k, (lang, h) in enumerate(zip(FUNCTION_WORDS, hits, strict=True))]))
     best, second = -ranked[0]["less"], -ranked[1]["less"]
     return F.struct(

@@ -32,7 +32,7 @@ def claimed_with_leases(tasks: DataFrame, key: str, host: str, now: Column, per_
     """
     from skein.operators.frames import top_of_each
 
-    running = (F.col("status") == "running") & (F.col("lease") >= now)
+    running = (F.col("status") == "running") & (F.col("lease") >= now) & (F.col("due") <= now)
     busy = tasks.groupBy(host).agg(F.count_if(running).alias("_busy"))
     free = tasks.where(((F.col("status") == "queued") | (F.col("status") == "running") & (F.col("lease") < now)) & (F.col("due") <= now))
     ranked = top_of_each(free, [host], [F.col("due"), F.col(key)], per_host, key)

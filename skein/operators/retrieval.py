@@ -7,10 +7,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skein.tables import broadcast_below, written
+
 #: Letters, digits and underscore of any script, in Java's notation.
 WORD = r"[\p{L}\p{N}_]+"
 RRF_K = 60
@@ -21,24 +23,78 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), 1)
 
 
+def term_counts(text: Column, terms: list[str]) -> list[Column]:
+    """How often each term stands in a text as a word of its own."""
+    low = F.lower(text)
+    edge = WORD[:-1]
+    return [F.when(low.contains(t), F.regexp_count(low, F.lit(f"(?<!{edge})\\Q{t}\\E(?!{edge})"))).otherwise(0) for t in terms]
+
+
 def bm25(docs: DataFrame, key: str, text: str, terms: list[str], k1: float = K1, b: float = B) -> DataFrame:
     """(key, score) of documents with any of the terms.
 
-    Documents are reduced to their length and the terms' counts in one pass; corpus counts are one row, so the second
-    pass needs no shuffle of postings.
+    The texts are read once: their length and the terms' counts are written as narrow rows, from which the totals (one
+    row) and the scores are taken.
     """
-    counted = docs.select(key, tokens(F.col(text)).alias("t"))
-    occurrences = lambda term: F.size(F.filter("t", lambda x: x == F.lit(term)))
-    rows = counted.select(key, F.size("t").alias("length"), *[occurrences(t).alias(f"tf{k}") for k, t in enumerate(terms)])
+    rows = written(docs.select(key, F.regexp_count(text, F.lit(WORD)).alias("length"), *[c.alias(f"tf{k}") for k, c in enumerate(term_counts(F.col(text), terms))]), "bm25")
     totals = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
     joined = rows.where(reduce(lambda x, y: x | y, [F.col(f"tf{k}") > 0 for k in range(len(terms))])).join(F.broadcast(totals))
-    part = [
-        F.log(1 + (F.col("n") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5)) * F.col(f"tf{k}") * (k1 + 1) / (F.col(f"tf{k}") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-        for k in range(len(terms))
-    ]
+    part = [weight(F.col(f"tf{k}"), F.col(f"df{k}"), F.col("length"), F.col("n"), F.col("mean"), k1, b) for k in range(len(terms))]
     return joined.select(key, reduce(lambda x, y: x + y, part).alias("score"))
 
 
+def weight(tf: Column, df: Column, length: Column, n: Column, mean: Column, k1: float = K1, b: float = B) -> Column:
+    """What a term adds to a document's BM25 score."""
+    return F.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
+
+
+def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(term, key, tf, length) of every word of every document: a document's words are counted before they leave its task."""
+    words = docs.select(key, tokens(F.col(text)).alias("t"))
+    flat = words.select(key, F.size("t").alias("length"), F.explode("t").alias("term"))
+    return flat.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+
+
+def indexed(docs: DataFrame, key: str, text: str, folder: str, buckets: int = 64) -> None:
+    """Writes the postings as an index: parted by a hash of the term and sorted by term in each part, so a search reads a few row groups."""
+    rows = postings(docs, key, text).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    lengths = docs.select(F.regexp_count(text, F.lit(WORD)).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    # a salt parts each bucket into several files, so no task holds the postings of all frequent terms
+    rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(8))).sortWithinPartitions("bucket", "term", key).write.partitionBy("bucket").parquet(f"{folder}/postings")
+    lengths.write.parquet(f"{folder}/totals")
+
+
+def from_index(spark: SparkSession, folder: str, key: str, terms: list[str], buckets: int = 64) -> DataFrame:
+    """(key, score) of documents with any of the terms, from an index: only the terms' parts are read."""
+    rows = spark.read.parquet(f"{folder}/postings")
+    asked = rows.where(F.col("term").isin(terms) & F.col("bucket").isin([_bucket(spark, t, buckets) for t in terms]))
+    totals = spark.read.parquet(f"{folder}/totals")
+    df = asked.groupBy("term").agg(F.count("*").alias("df"))  # as many rows as terms
+    scored = asked.join(F.broadcast(df), "term").join(F.broadcast(totals))
+    return scored.groupBy(key).agg(F.sum(weight(F.col("tf"), F.col("df"), F.col("length"), F.col("n"), F.col("mean"))).alias("score"))
+
+
+def _bucket(spark: SparkSession, term: str, buckets: int) -> int:
+    return spark.range(1).select(F.pmod(F.xxhash64(F.lit(term)), F.lit(buckets)).cast("int").alias("b")).first()["b"]
+
+
+def batch_search(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int) -> DataFrame:
+    """(query, key, score, nth): the k best documents by BM25 of each of queries(query, terms).
+
+    The queries' distinct terms restrict the postings first; scores are cut to k a query within salted parts.
+    """
+    from skein.operators.frames import top_of_each
+
+    asked = queries.select("query", F.explode(F.array_distinct("terms")).alias("term"))
+    wanted = broadcast_below(asked.select("term").distinct(), 200_000)
+    rows = written(docs.select(key, tokens(F.col(text)).alias("t")).select(key, F.size("t").alias("length"), F.explode("t").alias("term")).join(wanted, "term").groupBy(key, "length", "term").agg(F.count("*").alias("tf")), "postings")
+    totals = docs.select(F.regexp_count(text, F.lit(WORD)).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    df = rows.groupBy("term").agg(F.count("*").alias("df"))
+    weighted = rows.join(broadcast_below(df, 200_000), "term").join(F.broadcast(totals)).select(key, "term", weight(F.col("tf"), F.col("df"), F.col("length"), F.col("n"), F.col("mean")).alias("w"))
+    scores = weighted.join(asked, "term").groupBy("query", key).agg(F.round(F.sum("w"), 6).alias("score"))
+    return top_of_each(scores, ["query"], [F.desc("score"), F.col(key)], k, key)
+
+
 def fused(arms: dict[str, DataFrame], key: str, k: int = RRF_K) -> DataFrame:
     """(key, score, arms): reciprocal rank fusion of arms with (key, r), as a union and one sum."""
     parts = [df.select(key, (1.0 / (k + F.col("r"))).alias("part"), F.lit(name).alias("arm")) for name, df in arms.items()]

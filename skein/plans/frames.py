@@ -23,12 +23,12 @@ def moving_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, rank() OVER w AS r, dense_rank() OVER w AS dr, ntile(3) OVER t AS third, lead(l_quantity) OVER t AS next, first_value(l_partkey) OVER t AS first, last_value(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last, round(percent_rank() OVER w, 6) AS pr FROM lineitem
-WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_returnflag), t AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)
+SELECT l_orderkey, l_linenumber, rank() OVER w AS r, dense_rank() OVER w AS dr, ntile(3) OVER t AS third, lead(l_quantity) OVER t AS next, first_value(l_partkey) OVER t AS first, last_value(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last, round(percent_rank() OVER w, 6) AS pr FROM lineitem
+WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_returnflag), t AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)
 """)
 def ranking_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ranks and neighbours of a line within its order, from one sort for each order of rows."""
-    by_flag, by_line = Window.partitionBy("l_orderkey").orderBy("l_returnflag"), Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    by_flag, by_line = Window.partitionBy("l_orderkey").orderBy("l_returnflag"), Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     whole = by_line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", F.rank().over(by_flag).alias("r"), F.dense_rank().over(by_flag).alias("dr"), F.ntile(3).over(by_line).alias("third"), F.lead("l_quantity").over(by_line).alias("next"),

@@ -83,8 +83,8 @@ def best_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT o_orderkey AS id, o_orderdate::DATE AS at FROM orders), u AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_quantity > 49), n AS (SELECT id FROM r ORDER BY at DESC, id DESC LIMIT 10), m AS (SELECT max(at) AS today FROM r)
-SELECT id, CASE WHEN id IN (SELECT id FROM u) THEN 'referred to' WHEN id IN (SELECT id FROM n) THEN 'newest' WHEN at > today - 365 THEN 'young' ELSE 'eligible' END AS state FROM r, m
+WITH r AS (SELECT o_orderkey AS id, o_orderdate::DATE AS day FROM orders), u AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_quantity > 49), n AS (SELECT id FROM r ORDER BY day DESC, id DESC LIMIT 10), m AS (SELECT max(day) AS today FROM r)
+SELECT id, CASE WHEN id IN (SELECT id FROM u) THEN 'referred to' WHEN id IN (SELECT id FROM n) THEN 'newest' WHEN day > today - 365 THEN 'young' ELSE 'eligible' END AS state FROM r, m
 """)
 def retention_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What may be removed: nothing that is referred to, among the newest or young."""
@@ -114,7 +114,7 @@ def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_LEASES}, r AS (SELECT t.*, status = 'queued' OR status = 'running' AND lease < now AS free, now FROM t, n), b AS (SELECT host, count(*) FILTER (WHERE status = 'running' AND lease >= now) AS busy FROM r GROUP BY host),
+WITH {_LEASES}, r AS (SELECT t.*, status = 'queued' OR status = 'running' AND lease < now AS free, now FROM t, n), b AS (SELECT host, count(*) FILTER (WHERE status = 'running' AND lease >= now AND due <= now) AS busy FROM r GROUP BY host),
 q AS (SELECT event_id, r.host, row_number() OVER (PARTITION BY r.host ORDER BY due, event_id) AS nth, busy, due FROM r JOIN b USING (host) WHERE free AND due <= now) SELECT event_id, host, nth FROM q WHERE nth + busy <= 12 ORDER BY due, event_id LIMIT 50
 """)
 def claim_with_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
