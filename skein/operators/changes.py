@@ -30,12 +30,6 @@ def applied(base: DataFrame, changes: DataFrame, target: DataFrame, key: str) ->
     return kept.unionByName(target.join(changed, key, "left_semi").select(*base.columns))
 
 
-def table_hash(df: DataFrame, key: str) -> DataFrame:
-    """One digest of a table that doesn't depend on row order: a sum and an xor of row digests, folded in every task before they meet."""
-    h = F.xxhash64(F.col(key), row_hash(df.columns))
-    return df.select(h.alias("h")).agg(F.count("*").alias("rows"), F.bit_xor("h").alias("mixed"), F.sum(F.pmod("h", F.lit(1 << 31))).alias("summed"))
-
-
 def reconciled(ours: DataFrame, theirs: DataFrame, key: str, value: str) -> DataFrame:
     """(key, state): missing, unexpected or changed."""
     both = ours.select(key, F.col(value).alias("x")).withColumn("o", F.lit(1)).join(theirs.select(key, F.col(value).alias("y")).withColumn("t", F.lit(1)), key, "full")

@@ -110,13 +110,19 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.components(near.where("a % 5 = b % 5 and a <> b").select("a", "b").distinct())
 
 
-@query(r"""
-SELECT page_id, regexp_replace(lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)), '^www\.', '') AS host, array_to_string((string_split(regexp_replace(lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)), '^www\.', ''), '.'))[-2:], '.') AS domain,
-left(trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-'), 60) AS slug, 'page_' || left(sha256('pages:' || url), 24) AS id FROM pages
+_SUFFIXES = ", ".join(f"'{x}'" for x in urls.COMPOUND)
+
+
+@query(rf"""
+WITH h AS (SELECT page_id, url, regexp_replace(lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)), '^www\.', '') AS host FROM pages), r AS (SELECT *, string_split(host || '.' || ([{_SUFFIXES}])[1 + page_id % {len(urls.COMPOUND)}], '.') AS p FROM h)
+SELECT page_id, host, array_to_string((string_split(host, '.'))[-2:], '.') AS domain, array_to_string(CASE WHEN array_to_string(p[-2:], '.') IN ({_SUFFIXES}) THEN p[-3:] ELSE p[-2:] END, '.') AS regional, left(trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-'), 60) AS slug, 'page_' || left(sha256('pages:' || url), 24) AS id FROM r
 """)
 def page_hosts_and_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts, the domains under which they are registered (also of the same hosts under every compound suffix), slugs and ids."""
     name = urls.host(F.col("url"))
-    return table(spark, sf_dir, "pages").select("page_id", name.alias("host"), urls.registrable_domain(name).alias("domain"), urls.slug(F.col("url")).alias("slug"), urls.deterministic_id("page", "pages", F.col("url")).alias("id"))
+    suffix = F.element_at(F.array(*[F.lit(x) for x in urls.COMPOUND]), (1 + F.col("page_id") % len(urls.COMPOUND)).cast("int"))
+    regional = urls.registrable_domain(F.concat(name, F.lit("."), suffix))
+    return table(spark, sf_dir, "pages").select("page_id", name.alias("host"), urls.registrable_domain(name).alias("domain"), regional.alias("regional"), urls.slug(F.col("url")).alias("slug"), urls.deterministic_id("page", "pages", F.col("url")).alias("id"))
 
 
 @query("""
@@ -155,7 +161,7 @@ def conversation_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT source, count(*) AS n, sum(n_chars) AS chars, count(DISTINCT text) AS texts, count(quality) AS judged, round(avg(quality), 6) AS quality, count(*) FILTER (WHERE toxic = 1) AS toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source
 """)
 def source_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.xxhash64("text").alias("digest"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.sha2("text", 256).alias("digest"))
     return docs.join(table(spark, sf_dir, "labels"), "doc_id", "left").groupBy("source").agg(
         F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.countDistinct("digest").alias("texts"), F.count("quality").alias("judged"), F.round(F.avg("quality"), 6).alias("quality"), F.count_if(F.col("toxic") == 1).alias("toxic")
     )
