@@ -68,3 +68,60 @@ def url_key(url: Column) -> Column:
 
 def path(url: Column) -> Column:
     return F.regexp_extract(url, r"^https?://[^/?#]+([^?#]*)", 1)
+
+
+# Query keys that say where a visitor came from.
+CAMPAIGN = ("utm_source", "utm_medium", "utm_campaign", "utm_content", "utm_term", "fbclid", "gclid", "yclid", "mc_cid", "mc_eid")
+# Query keys, beside all that begin with utm_, that a fetcher leaves out.
+UNFETCHED = ("fbclid", "gclid", "mc_cid", "mc_eid", "ref", "ref_src", "source", "yclid", "ysclid")
+
+
+def _pairs(url: Column, dropped: tuple[str, ...], fetched: bool) -> Column:
+    """The query with its pairs decoded and encoded again, in their order; without dropped keys. To be fetched, pairs of no value stay and all utm_ keys go."""
+    text = lambda x: F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%20"))), x)
+    split = F.transform(
+        F.filter(F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&"), lambda p: p != ""),
+        lambda p: F.struct(text(F.split_part(p, F.lit("="), F.lit(1))).alias("k"), F.when(F.instr(p, "=") > 0, text(F.substr(p, F.instr(p, "=") + 1))).otherwise("").alias("v")),
+    )
+    kept = F.filter(split, lambda p: ~F.lower(p["k"]).isin(*dropped) & ~(F.lit(fetched) & F.startswith(F.lower(p["k"]), F.lit("utm_"))) & (F.lit(fetched) | (p["v"] != "")))
+    query = F.array_join(F.transform(kept, lambda p: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(p["v"]))), "&")
+    return F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")
+
+
+def collected_url(url: Column) -> Column:
+    """A URL as collectors keep it: server in lower case without www, no doubled or final slash, no fragment, no campaign keys, no empty values; empty stays empty."""
+    clean = F.trim(F.when(F.startswith(url, F.lit("/")), F.concat(F.lit("https://example.invalid"), url)).otherwise(url))
+    scheme = F.lower(F.regexp_extract(clean, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    server = F.regexp_replace(F.lower(F.regexp_extract(clean, r"^[^:/?#]+://([^/?#]*)", 1)), r"^www\.", "")
+    parts = F.regexp_replace(F.regexp_extract(clean, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1), "/{2,}", "/")
+    parts = F.when(parts.isin("", "/"), "/").otherwise(F.regexp_replace(parts, "/+$", ""))
+    return F.when(F.coalesce(url, F.lit("")) == "", "").otherwise(F.concat(scheme, F.lit("://"), server, parts, _pairs(clean, CAMPAIGN, False)))
+
+
+def reported_url(url: Column) -> Column:
+    """A URL found in running text: without the punctuation that follows it, and then as collectors keep it."""
+    return collected_url(F.regexp_replace(F.trim(url), r"[.,);]+$", ""))
+
+
+def fetchable_url(url: Column) -> Column:
+    """struct(url, error): a URL that may be fetched, with www, its own slashes and empty values, without a default port, fragment, utm_ or other unfetched keys; or why it may not.
+
+    Hosts outside ASCII must come in their encoded (xn--) form; others are an error.
+    """
+    clean = F.trim(url)
+    scheme = F.lower(F.regexp_extract(clean, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    server = F.regexp_extract(clean, r"^[^:/?#]+://([^/?#]*)", 1)
+    name = F.lower(F.regexp_replace(F.regexp_replace(server, r":[^:]*$", ""), r"\.+$", ""))
+    port = F.regexp_extract(server, r":([^:]*)$", 1)
+    number = port.try_cast("int")
+    error = (
+        F.when(clean.isNull() | ~scheme.isin("http", "https"), "scheme")
+        .when(F.contains(server, F.lit("@")), "user information")
+        .when(name == "", "no host")
+        .when(F.rlike(name, F.lit(r"[^\x00-\x7F]")), "host not encoded")
+        .when((port != "") & (number.isNull() | ~number.between(1, 65535)), "port")
+    )
+    usual = (port == "") | ((scheme == "http") & (number == 80)) | ((scheme == "https") & (number == 443))
+    path_ = F.regexp_extract(clean, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
+    made = F.concat(scheme, F.lit("://"), name, F.when(usual, "").otherwise(F.concat(F.lit(":"), number.cast("string"))), F.when(path_ == "", "/").otherwise(path_), _pairs(clean, UNFETCHED, True))
+    return F.struct(F.when(error.isNull(), made).alias("url"), error.alias("error"))

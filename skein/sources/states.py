@@ -39,6 +39,25 @@ class State:
         self._point(version)
         return version
 
+    def replace_if_new(self, rows: DataFrame, identity: str) -> bool:
+        """Writes rows as the version that their identity names, unless it is there already, and points to it unless it is current; whether it was written.
+
+        A folder without its _SUCCESS mark is what a lost run left, and is written again.
+        """
+        version = f"v-{identity}"
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{version}/_SUCCESS")
+        new = not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        if new:
+            rows.write.mode("overwrite").parquet(f"{self.folder}/{version}")
+        if self.current() != version:
+            self._point(version)
+        return new
+
+    def history(self) -> DataFrame:
+        """(sequence, version) of all moves of the pointer."""
+        found = self._pointers()
+        return self.spark.createDataFrame([], "sequence long, version string") if found is None else found
+
     def _point(self, version: str) -> None:
         found = self._pointers()
         sequence = 0 if found is None else 1 + (found.agg(F.max("sequence")).first()[0] or 0)
