@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from skein.operators import ranges
+
 SALTS = 64
 
 
@@ -38,8 +40,8 @@ def page(rows: DataFrame, order: list[Column], asked: int, most: int) -> DataFra
     return rows.orderBy(*order).limit(min(max(asked, 1), most))
 
 
-def within_budget(rows: DataFrame, keys: list[str], order: list[Column], size: str, budget: int) -> DataFrame:
-    """Rows of each key, in order, while their sizes fit a budget, with `kept`: the size, of the last one what is left of the budget."""
-    upto = F.sum(size).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    taken = rows.withColumn("_upto", upto).where(F.col("_upto") - F.col(size) < budget)
+def within_budget(rows: DataFrame, keys: list[str], order: list[str], size: str, budget: int) -> DataFrame:
+    """Rows of each key, in order, while their sizes (whole numbers) fit a budget, with `kept`: the size, of the last one what is left of the budget."""
+    upto = ranges.running(ranges.ranged(rows, keys, order), keys, order, size, "_upto").drop(ranges.PART)
+    taken = upto.where(F.col("_upto") - F.col(size) < budget)
     return taken.withColumn("kept", F.when(F.col("_upto") <= budget, F.col(size)).otherwise(F.col(size) - (F.col("_upto") - budget))).drop("_upto")

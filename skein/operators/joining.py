@@ -4,23 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from skein.operators import ranges
 from skein.tables import broadcast_below
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, values: list[str]) -> DataFrame:
     """left with the values of the last row of right with the same keys and a time not after its own; null before the first.
 
-    Both sides are put into one sequence a key, and the values are carried forward along it: one shuffle and one sort,
-    and no pair of rows is made. Right rows come before left rows of the same time.
+    Both sides are put into one sequence a key, and the values are carried forward along it, from part to part where a
+    key has many rows; no pair of rows is made. Right rows come before left rows of the same time.
     """
     carried = F.struct(*values)
     marked = left.withColumns({"_side": F.lit(1), "_carried": F.lit(None).cast(right.select(carried.alias("s")).schema[0].dataType)})
     given = right.select(*keys, at, F.lit(0).alias("_side"), carried.alias("_carried"))
     both = marked.unionByName(given, allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_last", F.last("_carried", ignorenulls=True).over(order)).where("_side = 1")
+    order = [at, "_side"]
+    found = ranges.latest_known(ranges.ranged(both, keys, order), keys, order, "_carried", "_last").where("_side = 1")
     return found.select(*left.columns, *[F.col(f"_last.{v}").alias(v) for v in values])
 
 

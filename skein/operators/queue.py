@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def retry_minutes(attempt: Column, base: int = 5, most: int = 1440) -> Column:
@@ -13,9 +12,10 @@ def retry_minutes(attempt: Column, base: int = 5, most: int = 1440) -> Column:
 
 
 def claimable(tasks: DataFrame, key: str, host: str, due: str, now: Column, per_host: int, most: int) -> DataFrame:
-    """The tasks to take now: due ones, so many of a host, the longest waiting first. Each host is cut in its own partition, before the overall limit."""
-    turn = F.row_number().over(Window.partitionBy(host).orderBy(due, key))
-    return tasks.where(F.col(due) <= now).withColumn("turn", turn).where(F.col("turn") <= per_host).orderBy(due, key).limit(most).drop("turn")
+    """The tasks to take now: due ones, so many of a host, the longest waiting first. A host's tasks are cut in salted parts, then together, before the overall limit."""
+    from skein.operators.frames import top_of_each
+
+    return top_of_each(tasks.where(F.col(due) <= now), [host], [F.col(due), F.col(key)], per_host, key).orderBy(due, key).limit(most).drop("nth")
 
 
 def carried_over(deferred: DataFrame, fresh: DataFrame, key: str, count: str) -> DataFrame:

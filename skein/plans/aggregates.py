@@ -214,14 +214,14 @@ def approximate_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH l AS (SELECT l_orderkey AS a, l_partkey AS b FROM lineitem WHERE l_partkey % 7 = 0 UNION SELECT l_orderkey, l_suppkey FROM lineitem WHERE l_suppkey % 3 = 0), s AS (SELECT a, count(DISTINCT b) AS confirmed FROM l GROUP BY a)
-SELECT a AS o_orderkey, confirmed, confirmed >= 2 AS promoted FROM s WHERE confirmed >= 2 OR a % 10 = 0
+SELECT a AS o_orderkey, confirmed, confirmed >= 2 AS promoted FROM s
 """)
 def promotion_confirmations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct confirmations over both ends of links, with a floor of two."""
     lines = table(spark, sf_dir, "lineitem")
     ends = F.array_compact(F.array(F.when(F.col("l_partkey") % 7 == 0, F.col("l_partkey")), F.when(F.col("l_suppkey") % 3 == 0, F.col("l_suppkey"))))
     seen = lines.select(F.col("l_orderkey").alias("o_orderkey"), F.explode(ends).alias("b")).groupBy("o_orderkey").agg(F.countDistinct("b").alias("confirmed"))
-    return seen.where("confirmed >= 2 or o_orderkey % 10 = 0").withColumn("promoted", F.col("confirmed") >= 2)
+    return seen.withColumn("promoted", F.col("confirmed") >= 2)
 
 
 @query("""

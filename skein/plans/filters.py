@@ -47,14 +47,14 @@ def period_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, lower(concat_ws(' ', source, lang, left(text, 80), array_to_string((list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{9,}'))))[1:3], ' '))) AS card FROM documents WHERE list_contains((list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{9,}'))))[1:40], 'ablewhion') OR doc_id % 3 = 0
+SELECT doc_id, lower(concat_ws(' ', source, lang, left(text, 80), array_to_string((list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{9,}'))))[1:3], ' '))) AS card, coalesce(list_contains(regexp_extract_all(lower(text), '[a-z]{9,}'), 'ablewhion'), false) AS asked FROM documents
 """)
 def card_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The searched text of a card: its labels, its shown text and its first three subjects; rows by a subject they contain."""
+    """The searched text of a card: its labels, its shown text and its first three subjects; whether it has a subject that is asked for."""
     subjects = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{9,})"), 1)))
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.left("text", F.lit(80)).alias("shown"), subjects.alias("subjects"))
-    chosen = docs.where(F.array_contains(F.slice("subjects", 1, 40), "ablewhion") | (F.col("doc_id") % 3 == 0))
-    return chosen.select("doc_id", F.lower(F.concat_ws(" ", "source", "lang", "shown", F.array_join(F.slice("subjects", 1, 3), " "))).alias("card"))
+    card = F.lower(F.concat_ws(" ", "source", "lang", "shown", F.array_join(F.slice("subjects", 1, 3), " ")))
+    return docs.select("doc_id", card.alias("card"), F.coalesce(F.array_contains("subjects", "ablewhion"), F.lit(False)).alias("asked"))
 
 
 @query("""

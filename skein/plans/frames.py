@@ -118,8 +118,8 @@ WITH c AS (SELECT conv_id, turn, length(text) AS chars, sum(length(text)) OVER (
 """)
 def budget_fitting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last turns of a conversation that fit a budget of characters, the earliest of them cut to what is left."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("chars"))
-    return frames.within_budget(rows, ["conv_id"], [F.desc("turn")], "chars", 1200).select("conv_id", "turn", "kept")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("chars"), (-F.col("turn")).alias("back"))
+    return frames.within_budget(rows, ["conv_id"], ["back"], "chars", 1200).select("conv_id", "turn", "kept")
 
 
 @query("""

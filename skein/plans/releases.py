@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.functions import urls
-from skein.operators import folding, releases
+from skein.operators import folding, ranges, releases
 from skein.plans.registry import query
 from skein.session import table
 from skein.sources import files
@@ -211,8 +211,9 @@ SELECT o_orderkey, CASE WHEN prior >= o_orderdate - INTERVAL 45 DAY THEN before
 """)
 def history_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest earlier item of the same event within 45 days is the parent; within 7 days the later one is not shown."""
-    seen = Window.partitionBy("o_custkey", "o_orderpriority").orderBy("o_orderdate", "o_orderkey")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", F.lag("o_orderkey").over(seen).alias("before"), F.lag("o_orderdate").over(seen).alias("at"))
+    same, order = ["o_custkey", "o_orderpriority"], ["o_orderdate", "o_orderkey"]
+    parted = ranges.ranged(table(spark, sf_dir, "orders").select(*same, *order), same, order)
+    orders = ranges.previous(parted, same, order, order).select(*order, F.col("previous.o_orderkey").alias("before"), F.col("previous.o_orderdate").alias("at"))
     within = lambda days: F.col("at") >= F.col("o_orderdate") - F.expr(f"INTERVAL {days} DAYS")
     return orders.select("o_orderkey", F.when(within(45), F.col("before")).alias("parent"), F.coalesce(within(7), F.lit(False)).alias("suppressed"))
 

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from skein.operators import changes, merging, queue, rates
+from skein.operators import changes, merging, queue, ranges, rates
 from skein.plans.registry import query
 from skein.session import table
 
@@ -95,12 +94,12 @@ def retention_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT user_id, list(DISTINCT event_type) AS tried, bool_or(event_type = 'purchase' AND value > 495) AS done FROM events WHERE event_id % 37 < 4 GROUP BY user_id), n AS (SELECT *, list_filter(['view', 'click', 'signup', 'purchase'], lambda r: NOT list_contains(tried, r)) AS untried FROM t)
+WITH t AS (SELECT user_id, list(DISTINCT event_type) AS tried, bool_or(event_type = 'purchase' AND value > 200) AS done FROM events WHERE value >= 90 GROUP BY user_id), n AS (SELECT *, list_filter(['view', 'click', 'signup', 'purchase'], lambda r: NOT list_contains(tried, r)) AS untried FROM t)
 SELECT user_id, CASE WHEN NOT done THEN untried[1] END AS next, CASE WHEN done THEN 'done' WHEN len(untried) > 0 THEN 'try' ELSE 'give up' END AS decision FROM n
 """)
 def acquisition_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What to try next for each row: the first rung it hasn't tried, until one succeeds or none is left."""
-    rows = table(spark, sf_dir, "events").where("event_id % 37 < 4").groupBy("user_id").agg(F.collect_set("event_type").alias("tried"), F.bool_or((F.col("event_type") == "purchase") & (F.col("value") > 495)).alias("done"))
+    """What to try next for each user, whose costly events are the tries: the first rung it hasn't tried, until one succeeds or none is left."""
+    rows = table(spark, sf_dir, "events").where("value >= 90").groupBy("user_id").agg(F.collect_set("event_type").alias("tried"), F.bool_or((F.col("event_type") == "purchase") & (F.col("value") > 200)).alias("done"))
     return merging.laddered(rows, "tried", ["view", "click", "signup", "purchase"], "done").select("user_id", "next", "decision")
 
 
@@ -238,12 +237,11 @@ def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH l AS (SELECT event_id AS seq, event_type || ':' || coalesce(value::INT, 0) AS entry FROM events WHERE user_id = (SELECT min(user_id) FROM events)) SELECT seq, sha256(string_agg(entry, '|') OVER (ORDER BY seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) AS link FROM l
+WITH l AS (SELECT user_id, event_id AS seq, event_type || ':' || coalesce(floor(value)::INT, 0) AS entry FROM events) SELECT user_id, seq, sha256(string_agg(entry, '|') OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) AS link FROM l
 """)
 def audit_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A log in which each entry is bound to the two before it by a digest."""
-    events = table(spark, sf_dir, "events")
-    chosen = F.broadcast(events.agg(F.min("user_id").alias("user_id")))
-    log = events.join(chosen, "user_id").select("user_id", F.col("event_id").alias("seq"), F.concat_ws(":", "event_type", F.coalesce(F.round("value", 0).cast("int"), F.lit(0)).cast("string")).alias("entry"))
-    before = Window.partitionBy("user_id").orderBy("seq")
-    return log.select("seq", F.sha2(F.concat_ws("|", F.lag("entry", 2).over(before), F.lag("entry", 1).over(before), "entry"), 256).alias("link"))
+    """The log of each user, in which each entry is bound to the two before it by a digest."""
+    log = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), F.concat_ws(":", "event_type", F.coalesce(F.floor("value").cast("int"), F.lit(0)).cast("string")).alias("entry"))
+    one = ranges.previous(ranges.ranged(log, ["user_id"], ["seq"]), ["user_id"], ["seq"], ["entry"], "one")
+    two = ranges.previous(one, ["user_id"], ["seq"], ["one"], "two")
+    return two.select("user_id", "seq", F.sha2(F.concat_ws("|", "two.one.entry", "one.entry", "entry"), 256).alias("link"))

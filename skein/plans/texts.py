@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.functions import urls
-from skein.operators import changes, duplicates, retrieval
+from skein.operators import changes, duplicates, ranges, retrieval
 from skein.plans.registry import query
 from skein.session import table
 
@@ -150,10 +150,10 @@ WITH o AS (SELECT conv_id, turn, role, text, lag(role) OVER (PARTITION BY conv_i
 SELECT conv_id, count(*) AS turns, sum(length(text)) AS chars, count(*) FILTER (WHERE role = before) AS repeats, string_agg(DISTINCT role, ',' ORDER BY role) AS roles, bool_or(text = '') AS has_empty FROM o GROUP BY conv_id
 """)
 def conversation_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "role", "text", F.lag("role").over(w).alias("before"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").alias("chars"), (F.col("text") == "").alias("empty"))
+    rows = ranges.previous(ranges.ranged(turns, ["conv_id"], ["turn"]), ["conv_id"], ["turn"], ["role"]).withColumn("before", F.col("previous.role"))
     return rows.groupBy("conv_id").agg(
-        F.count("*").alias("turns"), F.sum(F.length("text")).alias("chars"), F.count_if(F.col("role") == F.col("before")).alias("repeats"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"), F.bool_or(F.col("text") == "").alias("has_empty")
+        F.count("*").alias("turns"), F.sum("chars").alias("chars"), F.count_if(F.col("role") == F.col("before")).alias("repeats"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"), F.bool_or("empty").alias("has_empty")
     )
 
 

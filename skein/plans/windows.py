@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skein.operators import frames, ranges
 from skein.operators.periods import anchored, day_spine, with_previous_day
 from skein.plans.registry import query
 from skein.session import table
@@ -82,10 +83,11 @@ SELECT user_id, session, min(ts) AS started, max(ts) AS ended, count(*) AS n FRO
 """)
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of a user: events no more than 30 minutes after the one before."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.col("ts") - F.lag("ts").over(w)
-    fresh = table(spark, sf_dir, "events").withColumn("fresh", F.when(gap <= F.expr("INTERVAL '30' MINUTE"), 0).otherwise(1))
-    numbered = fresh.withColumn("session", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    order = ["ts", "event_id"]
+    parted = ranges.ranged(table(spark, sf_dir, "events").select("user_id", *order), ["user_id"], order)
+    gap = F.col("ts") - F.col("previous.ts")
+    fresh = ranges.previous(parted, ["user_id"], order, ["ts"]).withColumn("fresh", F.when(gap <= F.expr("INTERVAL '30' MINUTE"), 0).otherwise(1))
+    numbered = ranges.running(fresh, ["user_id"], order, "fresh", "session")
     return numbered.groupBy("user_id", "session").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("n"))
 
 
@@ -94,8 +96,7 @@ SELECT event_id, user_id, ts, event_type FROM events QUALIFY row_number() OVER (
 """)
 def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The current view of an append-only log: the latest row of each key wins."""
-    w = Window.partitionBy("user_id", "event_type").orderBy(F.desc("ts"), F.desc("event_id"))
-    return table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", F.row_number().over(w).alias("nth")).where("nth = 1").drop("nth")
+    return frames.latest(table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"], ["event_id", "ts"])
 
 
 @query("""
@@ -104,8 +105,8 @@ SELECT o_custkey, o_orderkey, o_totalprice, nth FROM r WHERE nth <= 6
 """)
 def top_six_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most six samples of each group, the best first."""
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", F.row_number().over(w).alias("nth")).where("nth <= 6")
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return frames.top_of_each(rows, ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 6, "o_orderkey")
 
 
 @query("""
@@ -113,8 +114,8 @@ WITH e AS (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id OR
 SELECT user_id, count(*) AS n, count(*) FILTER (WHERE before IS NOT NULL AND event_id <> before + 1) AS gaps FROM e GROUP BY user_id
 """)
 def contiguity_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", before.alias("before"))
+    parted = ranges.ranged(table(spark, sf_dir, "events").select("user_id", "event_id"), ["user_id"], ["event_id"])
+    rows = ranges.previous(parted, ["user_id"], ["event_id"], ["event_id"]).withColumn("before", F.col("previous.event_id"))
     return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("before").isNotNull() & (F.col("event_id") != F.col("before") + 1)).alias("gaps"))
 
 
