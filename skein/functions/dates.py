@@ -51,3 +51,14 @@ def valid_until(dated: Column, kind: Column, days: dict[str, int]) -> Column:
     """The last day on which a fact of a kind holds, counted from its own date; null for a kind without a term."""
     terms = F.create_map(*[F.lit(x) for pair in days.items() for x in pair])
     return F.date_add(F.to_date(dated), F.element_at(terms, kind))
+
+
+def label(day: Column, months: list[str]) -> Column:
+    """A day as `3 May 1998`, with names of the months in the order of the year; null without a day."""
+    return F.concat(F.day(day).cast("string"), F.lit(" "), F.element_at(F.array(*[F.lit(m) for m in months]), F.month(day)), F.lit(" "), F.year(day).cast("string"))
+
+
+def after(day: Column, days: Column) -> Column:
+    """The day so many days later, counted as whole years of 365 days, whole months of 30, and single days."""
+    left = days % 365
+    return (day + F.make_interval((days / 365).cast("int"), (left / 30).cast("int"), F.lit(0), (left % 30).cast("int"))).cast("date")

@@ -102,3 +102,28 @@ def one_paragraph(text: Column, most: int) -> Column:
 def first_sentence(text: Column) -> Column:
     """The text up to its first sentence end that white space follows; empty without one."""
     return F.regexp_extract(text, r"(?s)^(.*?[.!?])(\s|$)", 1)
+
+
+def block(text: Column, labels: list[str], ends: list[str]) -> Column:
+    """What follows the first of the labels (with a colon, at a line's start) up to a line that begins with one of the ends; null if there is none or it is blank."""
+    either = lambda names: "|".join(rf"\Q{n}\E" for n in names)
+    found = F.regexp_extract(text, rf"(?is)(?:^|\n)[ \t]*(?:{either(labels)})[ \t]*:(.*?)(?=\n[ \t]*(?:{either(ends)})[ \t]*:|\z)", 1)
+    return F.nullif(F.regexp_replace(found, r"^\s+|\s+\z", ""), F.lit(""))
+
+
+def counter(text: Column, label: str) -> Column:
+    """The first number after a label, blanks within it taken out, or null."""
+    found = F.regexp_extract(text, rf"(?i)\Q{label}\E[ \t]*:?[ \t]*([0-9]+(?:[ \x{{A0}}][0-9]{{3}})*)", 1)
+    return F.regexp_replace(found, r"[ \x{A0}]", "").try_cast("long")
+
+
+def plural(n: Column, one: str, few: str, many: str) -> Column:
+    """The Slavic form of a noun after a number: one (1, 21), few (2-4, 22-24) or many (0, 5-20, 25)."""
+    ten, hundred = n % 10, n % 100
+    return F.when((ten == 1) & (hundred != 11), one).when(ten.between(2, 4) & ~hundred.between(12, 14), few).otherwise(many)
+
+
+def word_shingles(words: Column, width: int) -> Column:
+    """The distinct runs of so many words, joined by blanks; none of fewer words. Give it a column, not an expression."""
+    last = F.size(words) - (width - 1)
+    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda k: F.array_join(F.slice(words, k, F.lit(width)), " ")))).otherwise(F.array().cast("array<string>"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,3 +28,19 @@ def interleaved(left: DataFrame, right: DataFrame, key: str, most: int) -> DataF
 
     both = placed(left, 0).unionByName(placed(right, 1))
     return both.groupBy(key).agg(F.min("place").alias("place")).orderBy("place").limit(most)
+
+
+def cursor(query: str, **place: Column) -> Column:
+    """An opaque mark of a row's place in a query's order: its values and what the query asks, as base64 of JSON."""
+    return F.base64(F.to_json(F.struct(F.lit(_signature(query)).alias("query"), *[p.cast("string").alias(n) for n, p in sorted(place.items())])).cast("binary"))
+
+
+def opened(mark: Column, query: str, names: list[str]) -> Column:
+    """The place that a cursor names, as a struct of strings; null for marks of another query and for what is no mark."""
+    text = F.try_to_binary(mark, F.lit("base64")).cast("string")
+    held = F.from_json(text, "struct<query: string, " + ", ".join(f"{n}: string" for n in sorted(names)) + ">")
+    return F.when(held["query"] == _signature(query), F.struct(*[held[n].alias(n) for n in names]))
+
+
+def _signature(query: str) -> str:
+    return hashlib.sha256(query.encode()).hexdigest()[:16]

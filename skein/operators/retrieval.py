@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -30,6 +31,13 @@ def term_counts(text: Column, terms: list[str]) -> list[Column]:
     return [F.when(low.contains(t), F.regexp_count(low, F.lit(f"(?<!{edge})\\Q{t}\\E(?!{edge})"))).otherwise(0) for t in terms]
 
 
+def prefixes_matched(text: Column, asked: str, most: int = 8) -> Column:
+    """How many of the asked words, the first `most` of them, begin a word of the text."""
+    low, edge = F.lower(text), WORD[:-1]
+    prefixes = list(dict.fromkeys(re.findall(r"\w+", asked.lower())))[:most]
+    return reduce(lambda x, y: x + y, [F.coalesce(low.rlike(rf"(?<!{edge})\Q{p}\E").cast("int"), F.lit(0)) for p in prefixes], F.lit(0))
+
+
 def bm25(docs: DataFrame, key: str, text: str, terms: list[str], k1: float = K1, b: float = B) -> DataFrame:
     """(key, score) of documents with any of the terms.
 

@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _loaded() -> None:
-    from skein.plans import aggregates, documents, filters, frames, joins, prose, queues, relational, releases, searches, star, states, texts, windows  # noqa: F401
+    from skein.plans import aggregates, documents, filters, frames, joins, prose, queues, relational, releases, reviews, searches, star, states, texts, windows  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -123,3 +123,28 @@ def test_sessions_end_after_a_gap(spark):
     rows = [(1, start + dt.timedelta(minutes=m)) for m in (0, 10, 39, 80)] + [(2, start)]
     found = events.sessions(spark.createDataFrame(rows, "user_id long, ts timestamp")).orderBy("user_id", "started").collect()
     assert [(r.user_id, r.n) for r in found] == [(1, 3), (1, 1), (2, 1)]
+
+
+def test_labels_blocks_and_cursors(spark):
+    from skein.functions import dates, texts
+    from skein.operators import pages, retrieval
+
+    one = spark.range(1)
+    forms = spark.range(130).select("id", texts.plural(F.col("id"), "one", "few", "many").alias("f"))
+    found = {r.id: r.f for r in forms.collect()}
+    assert [k for k, f in found.items() if f == "one"] == [1, 21, 31, 41, 51, 61, 71, 81, 91, 101, 121]
+    assert [found[k] for k in (0, 2, 4, 5, 11, 12, 14, 22, 112, 122)] == ["many", "few", "few", "many", "many", "many", "many", "few", "many", "few"]
+    text = F.lit("Why:\n\n  first\nsecond\n\n End : x\nWhy: again\nSeen 1 234 567 8\nnone: -")
+    row = one.select(
+        texts.block(text, ["Reason", "Why"], ["End"]).alias("a"), texts.block(text, ["End"], ["Why"]).alias("b"), texts.block(text, ["Other"], ["End"]).alias("c"), texts.block(F.lit("Why: \nEnd: x"), ["Why"], ["End"]).alias("d"),
+        texts.counter(text, "seen").alias("e"), texts.counter(text, "none").alias("f"), texts.block(F.lit(None).cast("string"), ["Why"], ["End"]).alias("g"),
+    ).first()
+    assert tuple(row) == ("first\nsecond", "x", None, None, 1234567, None, None)
+    months = [f"m{k}" for k in range(1, 13)]
+    day = lambda x: F.lit(x).cast("date")
+    assert one.select(dates.label(day("2024-02-09"), months), dates.label(day(None), months)).first()[:] == ("9 m2 2024", None)
+    assert str(one.select(dates.after(day("2024-02-29"), F.lit(365 + 30 + 2))).first()[0]) == "2025-03-31"
+    mark = one.select(pages.cursor("q", key=F.lit(7), day=F.lit('a"b')).alias("m"))
+    opened = mark.select(pages.opened(F.col("m"), "q", ["key", "day"]), pages.opened(F.col("m"), "other", ["key", "day"]), pages.opened(F.lit("?not a mark"), "q", ["key"]), pages.opened(F.lit(None).cast("string"), "q", ["key"])).first()
+    assert tuple(opened[0]) == ("7", 'a"b') and opened[1:] == (None, None, None)
+    assert one.select(retrieval.prefixes_matched(F.lit("Über alles, x_que"), "über ALL que the"), retrieval.prefixes_matched(F.lit(None).cast("string"), "a")).first()[:] == (2, 0)
