@@ -2,7 +2,7 @@
 
 The standard library's streaming parser gives events; they make lines (the text of one block) with a text-to-tag ratio:
 characters outside links per tag of the line. Lines in menus, forms, adverts and the like (by element, role, class or
-id) have ratio zero; a heading or paragraph with such a name has a weaker one. The ratios are smoothed by a Gaussian
+id) have ratio zero, unless what is so named holds most of the page's text; a heading or paragraph with such a name has a weaker one. The ratios are smoothed by a Gaussian
 over the lines, and two-means clustering of the smoothed values sets the threshold above which lines form regions.
 The regions select: the block that holds most of their text is the article (with the <article> or <main> around it, if
 there is one) and stays whole; other lines stay only if they are dense themselves or lie beside a region's lines. Where
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import numpy as np
@@ -38,11 +39,17 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 SIGMA = 1.5
 #: Share of the regions' text that an element must hold for its other lines to stay too.
 HELD = 0.7
-#: Share of the page's text above which a class or id with other words besides those of MARKS is no sign of boilerplate.
+#: Share of the page's text above which an element's kind or name may be no sign of boilerplate.
 MOST = 0.5
+#: Characters outside links, for each one inside, that a list of links may hold.
+LABELS = 0.1
 #: What the ratio of a heading or paragraph with a word of MARKS is multiplied by.
 WEAK = 0.5
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are boilerplate by their kind, unless they hold the article.
+SOFT = frozenset("nav footer aside form dialog menu header".split())
+#: Elements that begin an article, and those that they end where these hold links only.
+BEGINS = frozenset("article main h1".split())
 TEXTS = HEADINGS | frozenset("p li dt dd pre blockquote figcaption".split())
 #: Elements that close one of their kind before them, and those whose names say nothing.
 CLOSED = frozenset("p li dt dd tr option".split())
@@ -73,7 +80,9 @@ class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         # blocks in the order of their start tags; block 0 stands for the page
-        self.tag, self.parent, self.bad, self.mark = [""], [0], [False], [0]
+        self.tag, self.parent, self.bad, self.soft, self.mark = [""], [0], [False], [False], [0]
+        self.began = [(0, 0)]  # characters outside and inside links before each block
+        self.chars = self.chars_linked = 0
         self.stack = [0]
         self.open: Counter[str] = Counter()
         self.line_text: list[str] = []
@@ -100,7 +109,8 @@ class _Page(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         block = tag in BLOCKS
-        bad = tag in DROPPED or bool(attrs) and _hidden(attrs)
+        soft = tag in SOFT
+        bad = tag in DROPPED and not soft or bool(attrs) and _hidden(attrs)
         mark = _named(attrs) if attrs and tag not in NEVER_MARKED else 0
         if block or bad or mark:
             self._flush()
@@ -111,17 +121,21 @@ class _Page(HTMLParser):
             return
         if tag == "a":
             self.links += 1
+        if tag in BEGINS:
+            self._end_menus()
         if tag in CLOSED or block:
             # what an opening block closes by itself
             while (last := self.tag[self.stack[-1]]) == "p" or last == tag and tag in CLOSED:
                 self._pop()
         if block or bad or mark:
-            bad = bad or tag == "header" and not (self.open["article"] or self.open["main"])
+            soft = soft and not (tag == "header" and (self.open["article"] or self.open["main"]))
             above = self.stack[-1]
             self.tag.append(tag)
             self.parent.append(above)
             self.bad.append(bad or self.bad[above])
+            self.soft.append(soft)
             self.mark.append(mark)
+            self.began.append((self.chars, self.chars_linked))
             self.open[tag] += 1
             self.stack.append(len(self.tag) - 1)
 
@@ -145,6 +159,30 @@ class _Page(HTMLParser):
         self.text.append(data)
         if self.links:
             self.linked += len(data)
+            self.chars_linked += len(data)
+        else:
+            self.chars += len(data.strip())
+
+    def parse_html_declaration(self, i: int) -> int:
+        """Marked sections (<![...) are no part of HTML: as browsers do, they are skipped up to the next ">"; one without an end is text."""
+        if not self.rawdata.startswith("<![", i):
+            return super().parse_html_declaration(i)
+        end = self.rawdata.find(">", i)
+        if end < 0:
+            self.handle_data("<![")
+            return i + 3
+        return end + 1
+
+    def _end_menus(self) -> None:
+        """Ends the outermost open element of SOFT that has held nothing but links so far: its end tag was left out."""
+        for at, k in enumerate(self.stack):
+            plain, linked = self.chars - self.began[k][0], self.chars_linked - self.began[k][1]
+            if self.soft[k] and linked > 0 and plain <= LABELS * linked:
+                self._flush()
+                while len(self.stack) > at:
+                    self._pop()
+                self.links = 0
+                return
 
     def within(self, values: np.ndarray) -> np.ndarray:
         """Of each block: the sum of the lines' values in it and in the blocks inside it."""
@@ -175,30 +213,45 @@ def _threshold(values: np.ndarray) -> float:
     return float(np.expm1((low + high) / 2))
 
 
-def _named_boilerplate(page: _Page, chars: np.ndarray) -> tuple[list[bool], list[bool]]:
-    """Of each block: whether a class or id makes it boilerplate, and whether it only weakens it (a heading or paragraph).
+def _boilerplate(page: _Page, chars: np.ndarray) -> tuple[list[bool], list[bool]]:
+    """Of each block: whether its kind, class or id makes it boilerplate, and whether a class or id only weakens it (a heading or paragraph).
 
-    A block with other words in its class too is none if it holds most of the page's text, unless an article lies beside it.
+    Names don't decide against the text: a block that holds most of the page's, with no article beside it, is none. For a
+    form, or a class with other words too, that is enough; other elements of SOFT, and blocks whose class says nothing
+    else, must also hold the article or the page's heading.
     """
     many = len(page.tag)
-    sure, weak = [False] * many, [False] * many
-    marked = [k for k in range(many) if page.mark[k]]
-    if marked:
-        held = page.within(chars)
-        total = held[0]
-        article = [t in ("article", "main") and held[k] > 0 for k, t in enumerate(page.tag)]
-        inside, around = list(map(int, article)), list(map(int, article))
-        for k in range(many - 1, 0, -1):
-            inside[page.parent[k]] += inside[k]
-        for k in range(1, many):
-            around[k] += around[page.parent[k]]
-        for k in marked:
-            if page.tag[k] in HEADINGS or page.tag[k] == "p":
-                weak[k] = True
-            else:
-                beside = inside[0] - inside[k] - (around[k] - article[k])
-                sure[k] = page.mark[k] == 2 or held[k] <= MOST * total or beside > 0
-    return page.inherited(sure), page.inherited(weak)
+    weak = [False] * many
+    article = [t in ("article", "main") for t in page.tag]
+    headed = [t in BEGINS for t in page.tag]
+    for k in range(many - 1, 0, -1):
+        headed[page.parent[k]] |= headed[k]
+
+    def decided(chosen: list[int], strict: Callable[[int], bool]) -> list[bool]:
+        sure = [False] * many
+        if chosen:
+            held = page.within(chars)
+            full = [a and held[k] > 0 for k, a in enumerate(article)]
+            inside, around = list(map(int, full)), list(map(int, full))
+            for k in range(many - 1, 0, -1):
+                inside[page.parent[k]] += inside[k]
+            for k in range(1, many):
+                around[k] += around[page.parent[k]]
+            for k in chosen:
+                beside = inside[0] - inside[k] - (around[k] - full[k])
+                sure[k] = held[k] <= MOST * held[0] or beside > 0 or strict(k) and not headed[k]
+        return page.inherited(sure)
+
+    by_kind = decided([k for k in range(many) if page.soft[k]], lambda k: page.tag[k] != "form")
+    chars = np.where(np.array(by_kind)[page.line_block], 0, chars)
+    by_name = []
+    for k in (k for k in range(many) if page.mark[k] and not by_kind[k]):
+        if page.tag[k] in HEADINGS or page.tag[k] == "p":
+            weak[k] = True
+        else:
+            by_name.append(k)
+    named = decided(by_name, lambda k: page.mark[k] == 2)
+    return [a or b for a, b in zip(by_kind, named, strict=True)], page.inherited(weak)
 
 
 def smoothed(ratio: np.ndarray) -> np.ndarray:
@@ -219,7 +272,7 @@ def main_blocks(html: str) -> list[str]:
     size, linked = np.array([len(t) for t in texts]), np.array(page.line_linked)
     bad = np.array(page.bad)[block]
     chars = np.where(bad, 0, np.maximum(0, size - linked)).astype(float)
-    by_name, by_weak = _named_boilerplate(page, chars)
+    by_name, by_weak = _boilerplate(page, chars)
     bad |= np.array(by_name)[block]
     weak = np.array(by_weak)[block]
     chars[bad] = 0

@@ -1,10 +1,11 @@
 """Document fingerprints: Merkle trees over words, paragraphs and sections.
 
-Leaves are runs of LEAF words of a paragraph (a line); a paragraph's digest hashes its leaves', a section's its
-paragraphs' (sections end after paragraphs whose digest says so, so an edit moves few of them), and the root the
-sections'. Equal roots mean equal texts; where roots differ, the branches that differ locate the edit.
+Leaves are runs of LEAF words of a paragraph (a line); a paragraph's digest hashes its leaves' whole digests, a section's
+its paragraphs' (sections end after paragraphs whose digest says so, so an edit moves few of them), and the root the
+sections', all by SHA-256: equal roots mean equal texts; where roots differ, the branches that differ locate the edit.
 
-A fingerprint is written as root|section=leaves,leaves;section=leaves... with one run of leaf digests a paragraph.
+A fingerprint is written as root|section=paragraph:leaves,paragraph:leaves;section=... with the first digits of the
+digests of sections, paragraphs and leaves; these serve likeness and edits only, equality is decided by whole roots.
 """
 
 from __future__ import annotations
@@ -22,34 +23,38 @@ LEAF = 3
 #: One paragraph in so many ends a section.
 SECTION = 8
 _RUN = re.compile(r"\s*(?:\S+\s*){1,%d}|\s+" % LEAF)
-#: Hexadecimal digits of a leaf's digest, and of a section's.
+#: Hexadecimal digits that are written of a leaf's digest, and of a section's or paragraph's.
 WIDTH, SECTION_WIDTH = 8, 16
+#: Bytes of text of a range of ids, about.
+RANGE_BYTES = 64 << 20
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_paragraphs array<int>"
 
 
-#: A section: its digest and its paragraphs, each the run of its leaves' digests.
-Sections = list[tuple[str, list[str]]]
+#: A paragraph: its digest and the run of its leaves' digests. A section: its digest and its paragraphs.
+Paragraph = tuple[str, str]
+Sections = list[tuple[str, list[Paragraph]]]
 
 
 class Tree:
     """A text's tree; paragraphs that two texts share are hashed once by passing the other's memo."""
 
-    def __init__(self, text: str, memo: dict[str, tuple[bytes, str]] | None = None):
+    def __init__(self, text: str, memo: dict[str, tuple[bytes, Paragraph]] | None = None):
         self.memo = {} if memo is None else memo
         sha, self.sections, now = hashlib.sha256, [], []
         root = sha(b"text")
 
         def end() -> None:
-            digest = sha(b"".join(p[0] for p in now)).hexdigest()
-            root.update(digest.encode())
-            self.sections.append((digest[:SECTION_WIDTH], [p[1] for p in now]))
+            digest = sha(b"".join([p[0] for p in now]))
+            root.update(digest.digest())
+            self.sections.append((digest.hexdigest()[:SECTION_WIDTH], [p[1] for p in now]))
             now.clear()
 
         for paragraph in text.split("\n"):
             got = self.memo.get(paragraph)
             if got is None:
-                run = "".join([sha(leaf.encode("utf-8", "surrogatepass")).hexdigest()[:WIDTH] for leaf in _RUN.findall(paragraph)])
-                got = self.memo[paragraph] = (sha(run.encode()).digest(), run)
+                leaves = [sha(leaf.encode("utf-8", "surrogatepass")).digest() for leaf in _RUN.findall(paragraph)]
+                whole = sha(b"".join(leaves)).digest()
+                got = self.memo[paragraph] = (whole, (whole[: SECTION_WIDTH // 2].hex(), b"".join([leaf[: WIDTH // 2] for leaf in leaves]).hex()))
             now.append(got)
             if got[0][0] % SECTION == 0:
                 end()
@@ -58,7 +63,7 @@ class Tree:
 
     @property
     def written(self) -> str:
-        return self.root + "|" + ";".join([digest + "=" + ",".join(runs) for digest, runs in self.sections])
+        return self.root + "|" + ";".join([digest + "=" + ",".join([f"{own}:{run}" for own, run in paragraphs]) for digest, paragraphs in self.sections])
 
 
 def compared(a: Sections, b: Sections) -> tuple[float, list[int]]:
@@ -68,38 +73,40 @@ def compared(a: Sections, b: Sections) -> tuple[float, list[int]]:
     """
     left = Counter(digest for digest, _ in a)
     shared, at, open_b = 0, 0, []
-    for digest, runs in b:
+    for digest, paragraphs in b:
         if left[digest] > 0:
             left[digest] -= 1
-            shared += sum(map(len, runs)) // WIDTH
+            shared += sum(len(run) for _, run in paragraphs) // WIDTH
         else:
-            open_b += enumerate(runs, at)
-        at += len(runs)
-    open_a: Counter[str] = Counter()
-    for digest, runs in a:
+            open_b += enumerate(paragraphs, at)
+        at += len(paragraphs)
+    open_a: Counter[Paragraph] = Counter()
+    for digest, paragraphs in a:
         if left[digest] > 0:
             left[digest] -= 1
-            open_a.update(runs)
+            open_a.update(paragraphs)
     changed = []
-    for k, run in open_b:
-        if open_a[run] > 0:
-            open_a[run] -= 1
-            shared += len(run) // WIDTH
+    for k, paragraph in open_b:
+        if open_a[paragraph] > 0:
+            open_a[paragraph] -= 1
+            shared += len(paragraph[1]) // WIDTH
         else:
-            changed.append((k, run))
+            changed.append((k, paragraph[1]))
     leaves = lambda run: [run[k : k + WIDTH] for k in range(0, len(run), WIDTH)]
     mine: Counter[str] = Counter()
-    for run, times in open_a.items():
-        for leaf in leaves(run):
-            mine[leaf] += times
+    for (_, run), times in open_a.items():
+        if times:
+            for leaf in leaves(run):
+                mine[leaf] += times
     theirs = Counter(leaf for _, run in changed for leaf in leaves(run))
     shared += sum((mine & theirs).values())
-    total = sum(len(run) for tree in (a, b) for _, runs in tree for run in runs) // WIDTH
+    total = sum(len(run) for tree in (a, b) for _, paragraphs in tree for _, run in paragraphs) // WIDTH
     return (2 * shared / total if total else 1.0), [k for k, _ in changed]
 
 
 def sections_of(written: str) -> Sections:
-    return [(digest, runs.split(",")) for digest, runs in (part.split("=", 1) for part in written.split("|", 1)[1].split(";"))]
+    parts = (part.split("=", 1) for part in written.split("|", 1)[1].split(";"))
+    return [(digest, [tuple(p.split(":", 1)) for p in paragraphs.split(",") if p]) for digest, paragraphs in parts]
 
 
 def likeness(a: str, b: str) -> float:
@@ -116,13 +123,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """Of each row: its fingerprint, that of its edited text, both likenesses, and the paragraphs of the edited text (from 0) that its own tree lacks.
 
     The edited text has the last half of the code points replaced by the first as many of the next document in order of
-    doc_id (after the last, the first). Rows are put into ranges of doc_id, one a partition, sorted, and read with the
+    doc_id (after the last, the first). Rows are put into ranges of doc_id (of about RANGE_BYTES of text, and as many as shuffles have partitions at least), one a partition, sorted, and read with the
     row after; the first row of each range is also sent to the range before. A null text is empty. Rows with equal ids
     follow each other in an order set by their text; rows without an id come first, and are no one's next but each other's.
     """
     spark = docs.sparkSession
-    many = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    many = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-size // RANGE_BYTES))
     # as many bounds as there are partitions, whatever the number of rows
     cuts = rows.agg(F.percentile_approx("doc_id", [k / many for k in range(1, many)] or [0.5], 10_000).alias("cuts")).first()["cuts"] or []
     cuts = sorted(set(cuts))
