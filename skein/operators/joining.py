@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators import ranges
-from skein.tables import broadcast_below
+from skein.tables import broadcast_below, written
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, values: list[str]) -> DataFrame:
@@ -48,15 +48,27 @@ def sharing(rows: DataFrame, key: str, items: str, least: int, most_common: int)
 
 
 def ancestors(nodes: DataFrame, key: str, parent: str) -> DataFrame:
-    """(node, ancestor, depth) of every node, itself included at depth 0, level by level until no node has a further ancestor."""
-    links = nodes.where(F.col(parent).isNotNull()).select(F.col(key).alias("child"), F.col(parent).alias("up"))
-    level = nodes.select(F.col(key).alias("node"), F.col(key).alias("ancestor"), F.lit(0).alias("depth"))
-    found = level
-    while True:
-        level = level.join(links, level["ancestor"] == links["child"]).select("node", F.col("up").alias("ancestor"), (F.col("depth") + 1).alias("depth"))
-        if not level.limit(1).count():
-            return found
-        found = found.unionByName(level)
+    """(node, ancestor, depth) of every node, itself included at depth 0. A node on a cycle of parents, or below one, has one row with neither ancestor nor depth.
+
+    Steps up are doubled on written tables: after n rounds each node knows the node 2^n levels above it, so the rounds
+    are the logarithm of the depth, or of the number of nodes where steps still lead on after as many as there are
+    nodes, which only a cycle allows. The ancestors of all other nodes are then gathered by the same steps.
+    """
+    own = written(nodes.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("node")).agg(F.max(parent).alias("up")), "nodes")
+    many, steps = own.count(), [written(own.where("up is not null").select("node", "up"), "steps")]
+    while 1 << (len(steps) - 1) <= many and steps[-1].limit(1).count():
+        last = steps[-1]
+        steps.append(written(last.join(last.select(F.col("node").alias("up"), F.col("up").alias("further")), "up").select("node", F.col("further").alias("up")), "steps"))
+    endless = steps[-1].select("node")
+    level = own.join(endless, "node", "left_anti").select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
+    found = written(level, "ancestors")
+    for n, step in enumerate(steps[:-1]):  # known: ancestors of a depth below 2^n
+        above = found.select(F.col("node").alias("up"), "ancestor", F.col("depth").alias("more"))
+        roots = step.join(own.select(F.col("node").alias("up")), "up", "left_anti").select("up").distinct().select("up", F.col("up").alias("ancestor"), F.lit(0).alias("more"))  # parents that are no nodes themselves
+        further = step.join(endless, "node", "left_anti").join(above.unionByName(roots), "up").select("node", "ancestor", (F.col("more") + (1 << n)).alias("depth"))
+        found = written(found.unionByName(further), "ancestors")
+    kind = found.schema["ancestor"].dataType
+    return found.unionByName(endless.select("node", F.lit(None).cast(kind).alias("ancestor"), F.lit(None).cast("int").alias("depth")))
 
 
 def differing(columns: list[str], a: str = "a", b: str = "b") -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skein.operators import tiling
 from skein.tables import broadcast_below, written
 
 #: Letters, digits and underscore of any script, in Java's notation.
@@ -128,57 +128,47 @@ def package(hits: DataFrame, key: str, score: str, size: int, floor: float) -> D
     return chosen.withColumn("ordinal", F.row_number().over(Window.orderBy(F.desc(score), key)))
 
 
-#: Vectors of a block, and queries that are sent at a time.
-BLOCK, QUERIES = 2048, 4096
-
-
 def nearest_to_queries(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, group: str | None = None, most_distance: float | None = None, larger_only: bool = False) -> DataFrame:
     """(query, hit, cosine, nth): the k vectors most like each query, ties by key, a query itself left out; within the query's group if one is given.
 
-    Queries go out in blocks of QUERIES by broadcast; a task multiplies its vectors, a block at a time, with the queries
-    and keeps k hits a query, so only those are shuffled, and no pair of rows is ever made. With larger_only a hit's key
-    must be larger than the query's.
+    Tiles of queries and vectors are multiplied in tasks, and each keeps k hits a query, so only those are shuffled and
+    no pair of rows is made. Rows without a key or vector, or with a component that is null or no number, take no part;
+    nor do rows without a group where groups are asked for. Vectors of another length end in zeros. With larger_only a
+    hit's key must be larger than the query's.
     """
-    total, spark, parts = queries.count(), vectors.sparkSession, []
-    many = max(1, -(-total // QUERIES))
-    place = F.pmod(F.xxhash64(key), F.lit(many))
-    columns = [key, F.col(group).cast("long") if group else F.lit(0).cast("long"), F.col(vector).cast("array<float>")]
-    for n in range(many):
-        asked = queries.where(place == n).select(*columns).toPandas()  # about QUERIES
-        sent = spark.sparkContext.broadcast((asked.iloc[:, 0].to_numpy(), asked.iloc[:, 1].to_numpy(), _unit(asked.iloc[:, 2].tolist())))
-        found = vectors.select(F.col(key).alias("key"), columns[1].alias("part"), columns[2].alias("v")).mapInArrow(_nearest_in_task(sent, k, most_distance, larger_only), "query long, hit long, cosine double")
-        parts.append(found)
-    both = reduce(DataFrame.unionByName, parts)
-    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "hit"))  # k rows of a query from each task
-    return both.withColumn("nth", best).where(F.col("nth") <= k)
+    part = F.xxhash64(group) if group else F.lit(0).cast("long")  # groups of any type
+
+    def fit(rows: DataFrame) -> DataFrame:
+        v = F.col(vector).cast("array<double>")
+        good = F.col(key).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+        return rows.where(good & F.col(group).isNotNull() if group else good).select(F.col(key).cast("long").alias("key"), part.alias("part"), v.alias("v"))
+
+    rows, asked = written(fit(vectors), "vectors"), written(fit(queries), "questions")
+    found = tiling.tiled(asked, rows, "key", _nearest_in_tile(k, most_distance, larger_only), "query long, hit long, cosine double")
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "hit"))  # k rows of a query from each tile, cut before the shuffle
+    return found.withColumn("nth", best).where(F.col("nth") <= k)
 
 
-def _unit(rows: list) -> np.ndarray:
-    v = np.array([np.asarray(r, np.float64) for r in rows]) if len(rows) else np.zeros((0, 1))
+def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(1e-300, np.sqrt((v * v).sum(axis=1, keepdims=True)))
 
 
-def _nearest_in_task(sent, k: int, most_distance: float | None, larger_only: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, groups, asked = sent.value
-        best = [np.zeros((0, 2)) for _ in ids]  # rows of (cosine, key), of each query
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                keys, own = part.column("key").to_numpy(), part.column("part").to_numpy()
-                like = asked @ _unit(part.column("v").to_pylist()).T if len(asked) else np.zeros((0, len(keys)))
-                fits = (groups[:, None] == own[None, :]) & (keys[None, :] > ids[:, None] if larger_only else keys[None, :] != ids[:, None])
-                if most_distance is not None:
-                    fits &= 1 - like <= most_distance
-                for q in np.flatnonzero(fits.any(axis=1)):
-                    some = np.flatnonzero(fits[q])
-                    if len(some) > 4 * k:
-                        least = np.partition(like[q, some], len(some) - k)[len(some) - k]
-                        some = some[like[q, some] >= least]
-                    rows = np.concatenate([best[q], np.column_stack([like[q, some], keys[some]])])
-                    best[q] = rows[np.lexsort((rows[:, 1], -rows[:, 0]))[:k]]
-        query = np.repeat(ids, [len(b) for b in best]) if len(ids) else np.zeros(0, np.int64)
-        rows = np.concatenate(best) if len(best) else np.zeros((0, 2))
-        yield pa.RecordBatch.from_pydict({"query": pa.array(query, pa.int64()), "hit": pa.array(rows[:, 1].astype(np.int64)), "cosine": pa.array(rows[:, 0])})
+def _nearest_in_tile(k: int, most_distance: float | None, larger_only: bool):
+    def run(asked: pa.Table, block: pa.Table) -> pa.Table:
+        width = max(1, int(tiling.widths(asked["v"]).max()), int(tiling.widths(block["v"]).max()))
+        names, groups, keys, own = asked["key"].to_numpy(), asked["part"].to_numpy(), block["key"].to_numpy(), block["part"].to_numpy()
+        queries, vectors = (_unit(tiling.matrix(t["v"], width, np.float64)) for t in (asked, block))
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for q in range(len(names)):
+            like = vectors @ queries[q]
+            fits = (own == groups[q]) & (keys > names[q] if larger_only else keys != names[q])
+            if most_distance is not None:
+                fits &= 1 - like <= most_distance
+            some = np.flatnonzero(fits)
+            if len(some) > 4 * k:
+                some = some[like[some] >= np.partition(like[some], len(some) - k)[len(some) - k]]
+            some = some[np.argsort(-like[some], kind="stable")][:k]  # keys ascend, so ties are in their order
+            out.append((np.full(len(some), names[q]), keys[some], like[some]))
+        return pa.table(dict(zip(("query", "hit", "cosine"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     return run

@@ -208,7 +208,7 @@ SELECT node, max(depth) AS depth, string_agg(ancestor, '/' ORDER BY depth DESC)
 def tree_of_any_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each node's depth, path from the root and branch below it; levels are followed until there is none."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.when(F.col("p_partkey") > 0, F.floor(F.col("p_partkey") / 3)).alias("up"))
-    found = joining.ancestors(parts, "k", "up")
+    found = joining.ancestors(parts, "k", "up").where("depth is not null")
     paths = found.groupBy("node").agg(F.max("depth").alias("depth"), F.sort_array(F.collect_list(F.struct("depth", "ancestor")), False).alias("p"))
     return paths.select("node", "depth", F.array_join(F.transform("p", lambda x: x["ancestor"].cast("string")), "/").alias("path"), F.when(F.size("p") > 1, F.col("p")[1]["ancestor"]).alias("branch"))
 
@@ -220,10 +220,22 @@ SELECT ancestor AS topic, count(*) AS members, round(sum(price), 2) AS total FRO
 def subtree_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and sums over whole subtrees, from the map of nodes to ancestors."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.when(F.col("p_partkey") > 0, F.floor(F.col("p_partkey") / 3)).alias("up"), "p_retailprice")
-    found = joining.ancestors(parts, "k", "up").join(parts.select(F.col("k").alias("node"), "p_retailprice"), "node")
+    found = joining.ancestors(parts, "k", "up").where("depth is not null").join(parts.select(F.col("k").alias("node"), "p_retailprice"), "node")
     return found.groupBy(F.col("ancestor").alias("topic")).agg(F.count("*").alias("members"), F.round(F.sum("p_retailprice"), 2).alias("total")).where("members > 1")
 
 
+@query("""
+WITH RECURSIVE n AS (SELECT p_partkey AS k, CASE p_partkey % 50 WHEN 1 THEN p_partkey + 1 WHEN 2 THEN p_partkey + 2 WHEN 4 THEN p_partkey - 3 ELSE p_partkey // 3 END AS up FROM part), c(node, ancestor) AS (SELECT k, up FROM n UNION SELECT node, up FROM c JOIN n ON n.k = c.ancestor), y AS (SELECT node FROM c WHERE node = ancestor)
+SELECT k AS node, bool_or(y.node IS NOT NULL) AS endless, CASE WHEN NOT bool_or(y.node IS NOT NULL) THEN count(c.ancestor) END AS depth FROM n LEFT JOIN c ON c.node = k AND c.ancestor IS NOT NULL LEFT JOIN y ON y.node = c.ancestor GROUP BY k
+""")
+def parent_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each node's depth, and the nodes whose parents lead into a cycle, which have none."""
+    k = F.col("p_partkey")
+    up = F.when(k % 50 == 1, k + 1).when(k % 50 == 2, k + 2).when(k % 50 == 4, k - 3).otherwise(F.floor(k / 3))
+    found = joining.ancestors(table(spark, sf_dir, "part").select(k.alias("k"), up.alias("up")), "k", "up")
+    return found.groupBy("node").agg(F.max("depth").cast("long").alias("depth")).select("node", F.col("depth").isNull().alias("endless"), "depth")
+
+
 @query("""
 WITH s AS (SELECT max(o_orderdate) AS moment FROM orders WHERE o_orderstatus = 'F'), m AS (SELECT o_orderkey, o_custkey FROM orders, s WHERE o_orderdate >= moment - INTERVAL 90 DAY), b AS (SELECT l_orderkey, max(l_shipdate) AS latest, arg_max(l_linenumber, (l_shipdate, l_linenumber)) AS best FROM lineitem GROUP BY 1)
 SELECT m.o_orderkey, best, latest::DATE AS latest, c_mktsegment FROM m JOIN b ON l_orderkey = m.o_orderkey JOIN customer ON c_custkey = o_custkey

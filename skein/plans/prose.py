@@ -90,25 +90,44 @@ def numbers_as_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", pages.number(F.format_string("%.2f", "l_extendedprice")).alias("plain"), pages.number(german).alias("german"), pages.number(english).alias("english"))
 
 
-@query("""
-WITH d AS (SELECT doc_id, text, substr(text, 1 + (doc_id % 50)::INT, 60) AS q, CASE WHEN doc_id % 5 = 0 THEN 'no such words anywhere' WHEN doc_id % 5 = 1 THEN left(text, 5) ELSE substr(text, 1 + (doc_id % 50)::INT, 60) END AS quote FROM documents WHERE length(text) >= 400 AND NOT contains(text, chr(10)))
-SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'not found' WHEN doc_id % 5 = 1 THEN 'too short' WHEN (length(lower(text)) - length(replace(lower(text), trim(lower(q)), ''))) / length(trim(q)) >= 2 THEN 'ambiguous' ELSE 'exact' END AS reason FROM d
+def _plain(column: str) -> str:
+    """SQL for a text in plain signs and single blanks."""
+    without = f"regexp_replace({column}, '[\\x{{feff}}\\x{{ad}}\\x{{200b}}-\\x{{200d}}]', '', 'g')"
+    signs = "'" + "“”„«»‘’‚–—−‐‑" + "', '" + '"' * 5 + "''" * 3 + "-" * 5 + "'"
+    return f"trim(regexp_replace(translate({without}, {signs}), '[\\s\\x{{a0}}\\x{{2007}}\\x{{202f}}\\x{{2009}}]+', ' ', 'g'))"
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, {_plain("coalesce(text, '')")} AS t, CASE doc_id % 7 WHEN 0 THEN 'no such words anywhere' WHEN 1 THEN left(text, 5) ELSE substr(text, 1 + (doc_id % 50)::INT, 60) END AS own FROM documents),
+q AS (SELECT doc_id, t, {_plain("own")} AS q FROM d), p AS (SELECT *, strpos(t, q) AS place FROM q)
+SELECT doc_id, CASE WHEN q IS NULL OR length(q) < 12 THEN 'too short' WHEN place = 0 THEN 'not found' WHEN strpos(substr(t, place + 1), q) > 0 THEN 'ambiguous' WHEN doc_id % 7 = 2 THEN 'outside the window' ELSE 'exact' END AS reason,
+CASE WHEN length(q) >= 12 AND place > 0 AND strpos(substr(t, place + 1), q) = 0 AND doc_id % 7 <> 2 THEN q END AS words FROM p
 """)
 def quote_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes with other marks, case and white space than their texts: found, ambiguous, too short or not found."""
+    """Quotes with other marks, dashes and white space than their texts: found, ambiguous, too short, outside a window, not found; and the words at the offsets."""
     k, text = F.col("doc_id"), F.col("text")
-    own = F.upper(F.substr(text, (1 + k % 50).cast("int"), F.lit(60)))
-    quote = F.when(k % 5 == 0, "no such words anywhere").when(k % 5 == 1, F.left(text, F.lit(5))).otherwise(F.concat(F.lit("  "), F.regexp_replace(own, " ", "  ")))
-    docs = table(spark, sf_dir, "documents").where((F.length("text") >= 400) & ~F.col("text").contains("\n"))
-    return docs.select("doc_id", quotes.aligned(text, quote).alias("q")).select("doc_id", F.col("q.reason").alias("reason"))
+    own = F.translate(F.regexp_replace(F.substr(text, (1 + k % 50).cast("int"), F.lit(60)), " ", "  \n"), "\"'-", "„’—")
+    quote = F.when(k % 7 == 0, "no such words anywhere").when(k % 7 == 1, F.left(text, F.lit(5))).otherwise(own)
+    window = (F.when(k % 7 == 2, 1_000_000_000).otherwise(0), F.lit(2_000_000_000))
+    found = table(spark, sf_dir, "documents").select("doc_id", "text", quotes.aligned(text, quote, window).alias("q"))
+    return found.select("doc_id", F.col("q.reason").alias("reason"), quotes.plain(F.substr("text", F.col("q.start") + 1, F.col("q.end") - F.col("q.start"))).alias("words"))
+
+
+@query(r"""
+SELECT key, count(*) AS claims, min(id) AS first FROM (SELECT conv_id * 100 + turn AS id, lower(trim(regexp_replace(concat_ws(' ', trim(role), trim(left(text, 40))), '[\s\x{a0}\x{2007}\x{202f}\x{2009}]+', ' ', 'g'))) AS key FROM conversations) GROUP BY key
+""")
+def claim_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims that are the same in their plain form: how many, and the first."""
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), quotes.claim_key(F.col("role"), F.left("text", F.lit(40))).alias("key"))
+    return turns.groupBy("key").agg(F.count("*").alias("claims"), F.min("id").alias("first"))
 
 
 @query()
 def widened_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of each text grown to whole sentences of their paragraph (tested against a plain version)."""
-    docs = table(spark, sf_dir, "documents").where("length(text) > 100")
     start = (F.length("text") / 3).cast("int")
-    return docs.select("doc_id", quotes.widened(F.col("text"), start, start + 40).alias("s")).select("doc_id", "s.start", "s.end", "s.reason")
+    end = F.least(start + 40, F.length("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", quotes.widened(F.col("text"), start, end).alias("s")).select("doc_id", "s.start", "s.end", "s.reason")
 
 
 @query(r"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.operators.pages import interleaved, keyset_page, offset_page
+from skein.operators import joining
 from skein.plans.registry import query
 from skein.session import table
 
@@ -99,16 +100,14 @@ UNION ALL SELECT x.id, x.name, x.parent, t.path || '/' || x.name, t.level + 1 FR
 SELECT id, name, parent, path, level FROM t
 """)
 def topic_tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The materialised path of every node of a three-level tree."""
+    """The materialised path of every node of a tree of regions, nations and suppliers."""
     region, nation, supplier = (table(spark, sf_dir, n) for n in ("region", "nation", "supplier"))
     node = lambda df, kind, key, name, parent: df.select(F.concat(F.lit(kind), key).alias("id"), F.col(name).alias("name"), parent.alias("parent"))
-    level = node(region, "r", F.col("r_regionkey"), "r_name", F.lit(None).cast("string")).withColumns({"path": F.col("name"), "level": F.lit(1)})
-    out = level
-    for depth, below in enumerate((node(nation, "n", F.col("n_nationkey"), "n_name", F.concat(F.lit("r"), "n_regionkey")), node(supplier, "s", F.col("s_suppkey"), "s_name", F.concat(F.lit("n"), "s_nationkey"))), 2):
-        up = level.select(F.col("id").alias("parent"), F.col("path").alias("above"))
-        level = below.join(up, "parent").select("id", "name", "parent", F.concat_ws("/", "above", "name").alias("path"), F.lit(depth).alias("level"))
-        out = out.unionByName(level)
-    return out
+    nodes = node(region, "r", F.col("r_regionkey"), "r_name", F.lit(None).cast("string"))
+    nodes = nodes.unionByName(node(nation, "n", F.col("n_nationkey"), "n_name", F.concat(F.lit("r"), "n_regionkey"))).unionByName(node(supplier, "s", F.col("s_suppkey"), "s_name", F.concat(F.lit("n"), "s_nationkey")))
+    above = joining.ancestors(nodes, "id", "parent").where("depth is not null").join(nodes.select(F.col("id").alias("ancestor"), F.col("name").alias("part")), "ancestor")
+    paths = above.groupBy(F.col("node").alias("id")).agg(F.max("depth").alias("depth"), F.sort_array(F.collect_list(F.struct("depth", "part")), False).alias("p"))
+    return nodes.join(paths, "id").select("id", "name", "parent", F.array_join("p.part", "/").alias("path"), (F.col("depth") + 1).alias("level"))
 
 
 @query("""

@@ -26,13 +26,18 @@ def test_spans_grow_to_sentences(spark):
 
 
 def test_quotes_in_other_dress(spark):
-    text = "He said: “Nothing — at   all — is\nlost.” Then nothing at all. Straße und mehr davon"
-    cases = {'"nothing - at all - is lost."': "exact", "STRASSE UND MEHR": "exact", "lost": "too short", "nothing whatever is lost": "not found", None: "too short"}
+    text = "He said: “Nothing — at   all — is\nlost.” Then 🎉 noth\u00ading at all (a+b) [1]. Straße und mehr davon"
+    cases = {'"Nothing - at all - is lost."': "exact", "Straße und  mehr": "exact", "lost": "too short", "nothing whatever is lost": "not found", None: "too short", "nothing at all (a+b) [": "exact", "NOTHING AT ALL": "not found"}
     rows = spark.createDataFrame([(text, q) for q in cases], "t string, q string")
     got = rows.select("q", quotes.aligned(F.col("t"), F.col("q")).alias("a")).collect()
     assert {r.q: r.a.reason for r in got} == cases
-    assert text[got[0].a.start : got[0].a.end].startswith("“Nothing") and text[got[1].a.start : got[1].a.end] == "Straße und mehr"
-    assert quotes.located("abcabcabcabcabc", "abcabcabcabc", 12)[2] == "ambiguous"
+    spans = {r.q: text[r.a.start : r.a.end] for r in got if r.a.start is not None}
+    assert list(spans.values()) == ["“Nothing — at   all — is\nlost.”", "Straße und mehr", "noth\u00ading at all (a+b) ["]
+    twice = spark.createDataFrame([("abcabcabcabcabc", "abcabcabcabc"), (None, "abcabcabcabc"), ("x" * 200_000 + " the very last words", "the very last words")], "t string, q string")
+    column = quotes.aligned(F.col("t"), F.col("q"))
+    assert [(r.a.start, r.a.reason) for r in twice.select(column.alias("a")).collect()] == [(None, "ambiguous"), (None, "not found"), (200_001, "exact")]
+    outside = quotes.aligned(F.col("t"), F.col("q"), (F.lit(0), F.lit(100)))
+    assert [r.a.reason for r in twice.select(outside.alias("a")).collect()] == ["ambiguous", "not found", "outside the window"]
 
 
 def test_numbers_in_either_style(spark):
