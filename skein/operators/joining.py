@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators import ranges
-from skein.tables import broadcast_below, written
+from skein.tables import broadcast_below, looked_up, written
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, values: list[str]) -> DataFrame:
@@ -47,6 +47,20 @@ def sharing(rows: DataFrame, key: str, items: str, least: int, most_common: int)
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
+def sharing_two(rows: DataFrame, key: str, items: str) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of rows that share two items or more.
+
+    Rows that hold the same two items are all linked to each other; an edge from each to the smallest of them says the
+    same, so a pair of items that many rows hold gives an edge a row. Keys of pairs are counted and cut to their
+    smallest row before the shuffle; keys that may be hot are joined through tables.looked_up.
+    """
+    sets = written(rows.select(key, F.array_sort(F.array_distinct(items)).alias("s")).where(F.size("s") > 1), "shared-sets")
+    each = F.flatten(F.transform("s", lambda x, k: F.transform(F.slice("s", k + 2, F.size("s")), lambda y: F.xxhash64(x, y))))
+    flat = written(sets.select(F.col(key).alias("b"), F.explode(each).alias("two")), "shared-pairs")
+    groups = written(flat.groupBy("two").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1"), "shared-groups")
+    return looked_up(flat, groups, "two", "n", flat.count()).where("a <> b").select("a", "b").distinct()
+
+
 def ancestors(nodes: DataFrame, key: str, parent: str) -> DataFrame:
     """(node, ancestor, depth) of every node, itself included at depth 0. A node on a cycle of parents, or below one, has one row with neither ancestor nor depth.
 

@@ -148,7 +148,7 @@ WITH e AS (SELECT user_id, event_type, ts FROM events), s AS (SELECT user_id, ma
 SELECT user_id, max(ts) AS last, max(s.ok) AS last_ok, count(*) FILTER (WHERE event_type = 'error' AND (s.ok IS NULL OR ts > s.ok)) AS failures_since FROM e LEFT JOIN s USING (user_id) GROUP BY user_id
 """)
 def freshness_per_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each step: its last pass, its last success and the failures since. One aggregate: the failures' times are counted by what came after, without a join back."""
+    """Of each step: its last pass, its last success and the failures since. The last successes, a row a step, are joined to the rows, which one aggregate then counts."""
     e = table(spark, sf_dir, "events").select("user_id", "event_type", "ts")
     ok = e.where("event_type = 'purchase'").groupBy("user_id").agg(F.max("ts").alias("last_ok"))
     rows = e.join(ok, "user_id", "left")

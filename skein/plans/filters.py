@@ -158,14 +158,14 @@ def page_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH d AS (SELECT o_orderkey, o_custkey % 5 AS host, date_diff('day', o_orderdate::DATE, shipped::DATE) AS delta FROM orders LEFT JOIN (SELECT l_orderkey, min(l_shipdate) AS shipped FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)
+WITH d AS (SELECT o_orderkey, o_custkey % 5 AS host, trunc((epoch(shipped) - epoch(o_orderdate)) / 86400)::INT AS delta FROM orders LEFT JOIN (SELECT l_orderkey, min(l_shipdate) AS shipped FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)
 SELECT o_orderkey, CASE WHEN delta IS NULL THEN 'high' WHEN delta < 0 THEN 'critical' WHEN delta > 90 THEN 'high' WHEN delta > 30 THEN 'medium' ELSE 'low' END AS severity, delta IS NULL OR delta < 0 OR delta > 30 AS review,
 CASE WHEN delta IS NULL THEN 'no date' WHEN delta < 0 THEN 'before its source' WHEN delta > 30 AND host = 0 THEN 'source is often late' WHEN delta > 30 THEN 'late' ELSE 'plausible' END AS reason FROM d
 """)
 def date_diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far two dates of a row may be trusted: severity, whether to review, and the reason."""
     shipped = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("shipped"))
-    rows = table(spark, sf_dir, "orders").join(shipped, "o_orderkey", "left").select("o_orderkey", (F.col("o_custkey") % 5).alias("host"), F.date_diff(F.to_date("shipped"), F.to_date("o_orderdate")).alias("delta"))
+    rows = table(spark, sf_dir, "orders").join(shipped, "o_orderkey", "left").select("o_orderkey", (F.col("o_custkey") % 5).alias("host"), ((F.unix_seconds(F.col("shipped").cast("timestamp")) - F.unix_seconds(F.col("o_orderdate").cast("timestamp"))) / 86_400).cast("int").alias("delta"))
     delta, host = F.col("delta"), F.col("host")
     return rows.select(
         "o_orderkey",

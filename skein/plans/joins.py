@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.functions import rules, texts, urls
-from skein.operators import joining, retrieval
+from skein.operators import clustering, joining, retrieval
 from skein.plans.registry import query
 from skein.session import table
-from skein.tables import broadcast_below
+from skein.tables import broadcast_below, looked_up, written
 
 
 @query("""
@@ -118,13 +118,25 @@ def inverted_index_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH f AS (SELECT min(doc_id) AS doc_id, text FROM documents WHERE text <> '' GROUP BY text), w AS (SELECT DISTINCT doc_id, unnest(list_transform(range(0, 16), lambda n: md5(substr(text, 1 + (n * greatest(length(text) - 120, 0)) // 16, 120)))) AS h FROM f), k AS (SELECT * FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) BETWEEN 2 AND 400))
-SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM k x JOIN k y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY ALL HAVING count(*) >= 2
+WITH RECURSIVE f AS (SELECT min(doc_id) AS doc_id, text FROM documents WHERE text <> '' GROUP BY text), w AS (SELECT DISTINCT doc_id, unnest(list_transform(range(0, 16), lambda n: md5(substr(text, 1 + (n * greatest(length(text) - 120, 0)) // 16, 120)))) AS h FROM f),
+p AS (SELECT x.doc_id, x.h AS h1, y.h AS h2 FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.h < y.h), g AS (SELECT h1, h2, min(doc_id) AS a FROM p GROUP BY h1, h2 HAVING count(*) > 1), l AS (SELECT DISTINCT a, doc_id AS b FROM p JOIN g USING (h1, h2) WHERE a <> doc_id),
+u AS (SELECT a, b FROM l UNION SELECT b, a FROM l), c(node, root) AS (SELECT a, a FROM u UNION SELECT u.b, c.root FROM c JOIN u ON u.a = c.node), r AS (SELECT node, min(root) AS root FROM c GROUP BY node),
+m AS (SELECT doc_id, count(*) AS shared FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(r.root, f.doc_id) AS class_id, coalesce(m.shared, 0) AS shared FROM documents d JOIN f ON f.text = d.text LEFT JOIN r ON r.node = f.doc_id LEFT JOIN m ON m.doc_id = f.doc_id
 """)
 def window_signature_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of distinct texts that share two or more digests of windows spread over them; copies are one row before."""
-    docs = table(spark, sf_dir, "documents").where("text <> ''").groupBy(F.sha2("text", 256).alias("h")).agg(F.min(F.struct("doc_id", "text")).alias("d")).select("d.*")
-    return joining.sharing(docs.select("doc_id", texts.window_signature(F.col("text")).alias("s")), "doc_id", "s", 2, 400)
+    """Documents in classes of texts linked by two or more equal digests of windows spread over them, and how many of a text's windows another text has. No window is too frequent to count."""
+    docs = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", "text")
+    first = docs.groupBy(F.sha2("text", 256).alias("h")).agg(F.min(F.struct("doc_id", "text")).alias("d")).select("d.*")
+    signed = written(first.select("doc_id", F.array_distinct(texts.window_signature(F.col("text"))).alias("s")), "signatures")
+    classes = clustering.near_copy_classes(docs, "doc_id", "text", joining.sharing_two(signed, "doc_id", "s")).select("doc_id", "class_id")
+    flat = signed.select(F.col("doc_id").alias("first"), F.explode("s").alias("h"))
+    counts = written(flat.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "signature-counts")
+    shared = looked_up(flat, counts, "h", "n", flat.count()).groupBy("first").agg(F.count("*").alias("shared"))
+    digests = written(docs.select("doc_id", F.sha2("text", 256).alias("digest")), "digests")
+    own = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).join(shared, "first", "left")
+    own = written(own.select("digest", "rows", F.coalesce("shared", F.lit(0)).alias("shared")), "shared")
+    return classes.join(looked_up(digests, own, "digest", "rows", digests.count()).select("doc_id", "shared"), "doc_id")
 
 
 _SIDES = """a AS (SELECT o_orderkey AS k, o_orderstatus AS status, round(o_totalprice) AS price, o_orderpriority AS priority FROM orders WHERE o_orderkey % 8 <> 0),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.functions import urls
-from skein.operators import folding, ranges, releases
+from skein.operators import folding, journal, ranges, releases
 from skein.plans.registry import query
 from skein.session import table
 from skein.sources import files
@@ -291,3 +291,39 @@ def parsed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = table(spark, sf_dir, "events").select("event_type", F.from_json(cut, "k int")["k"].alias("k"))
     outcome = F.when(F.col("k").isNull(), "not JSON").when(~F.col("event_type").isin("view", "click", "purchase"), "unknown kind").when(F.col("k") > 50, "out of range").otherwise("kept")
     return answers.groupBy("event_type", outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+_JOURNAL = """e AS (SELECT event_type AS j, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS n, user_id || ':' || event_id AS payload FROM events),
+b AS (SELECT j, n // 256 AS b, list(sha256(payload) ORDER BY n) AS d FROM e GROUP BY ALL), w AS (SELECT j, b, d, list_reduce(list_prepend('0', d), lambda x, y: sha256(x || y)) AS whole FROM b),
+p AS (SELECT j, b, d, coalesce(list(whole) OVER (PARTITION BY j ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS before FROM w),
+q AS (SELECT j, b, d, CASE WHEN b = 0 THEN '0' ELSE sha256('0' || list_reduce(list_prepend('0', before), lambda x, y: sha256(x || y))) END AS prefix FROM p)"""
+
+
+def _journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("j"), "ts", "event_id", F.concat_ws(":", "user_id", "event_id").alias("payload"))
+    parted = ranges.ranged(events, ["j"], ["ts", "event_id"]).withColumn("one", F.lit(1))
+    return ranges.running(parted, ["j"], ["ts", "event_id"], "one", "upto").select("j", (F.col("upto") - 1).alias("n"), "payload")
+
+
+@query(f"WITH {_JOURNAL} SELECT e.j, e.n, sha256(prefix || list_reduce(list_prepend('0', d[1:(e.n % 256 + 1)::INT]), lambda x, y: sha256(x || y))) AS link FROM e JOIN q ON q.j = e.j AND q.b = e.n // 256")
+def journal_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journals of all events of a kind, each entry bound by a digest to all entries before it."""
+    return journal.linked(_journal(spark, sf_dir), "j", "n", "payload").select("j", "n", "link")
+
+
+@query("""
+WITH e AS (SELECT event_type AS j, count(*) AS many FROM events GROUP BY 1), r AS (SELECT j, many, row_number() OVER (ORDER BY j) AS k FROM e)
+SELECT j, CASE k % 4 WHEN 1 THEN many // 2 WHEN 2 THEN many // 3 WHEN 3 THEN many - 2 END AS n, CASE k % 4 WHEN 1 THEN 'changed' WHEN 2 THEN 'lost' WHEN 3 THEN 'swapped' END AS fault FROM r WHERE k % 4 > 0
+""")
+def journal_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journals of which one has a changed entry, one has lost one, one has two swapped: the first break of each."""
+    made = written(journal.linked(_journal(spark, sf_dir), "j", "n", "payload"), "journal-made")
+    heads = written(made.groupBy("j").agg(F.count("*").alias("many")), "journal-heads")
+    k = F.row_number().over(Window.orderBy("j")) % 4  # a row a kind of event
+    bad = made.join(F.broadcast(heads.withColumn("k", k)), "j")
+    swap = (F.col("k") == 3) & (F.col("n") >= F.col("many") - 2)
+    place = F.when(swap, 2 * F.col("many") - 3 - F.col("n")).otherwise(F.col("n"))
+    payloads = bad.select(F.col("j").alias("pj"), place.alias("pn"), F.when((F.col("k") == 1) & (F.col("n") == F.floor(F.col("many") / 2)), "other").otherwise(F.col("payload")).alias("payload"))
+    kept = bad.where(~((F.col("k") == 2) & (F.col("n") == F.floor(F.col("many") / 3)))).select("j", "n", "link")
+    stored = kept.join(payloads, (F.col("j") == F.col("pj")) & (F.col("n") == F.col("pn"))).select("j", "n", "payload", "link")
+    return journal.first_breaks(stored, heads, "j", "n", "payload")
