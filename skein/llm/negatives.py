@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import tiles
+from skein.operators import tiling
 from skein.tables import written
 
 #: Products with a side of this length or less are not divided further.
@@ -112,10 +113,10 @@ def hard_negatives(vectors: DataFrame, every: int = 50, positives: int = 5, nega
     known = vectors.where(F.col("label").isNotNull()).select("vec_id", "embedding", "label")
     rows = written(tiles.whole_numbers(known, "vec_id", "embedding", "label").withColumn("label", F.col("label").cast("long")), "whole-labelled")
     anchors = rows.where(F.col("vec_id") % every == 0)
-    near = tiles.tiled(anchors, rows, "vec_id", _positives(positives), "anchor_id long, positive_id long, positive_score long")
+    near = tiling.tiled(anchors, rows, "vec_id", _positives(positives), "anchor_id long, positive_id long, positive_score long")
     best = tiles.ranked(near, ["anchor_id"], [F.desc("positive_score"), F.col("positive_id")], positives)
     paired = best.groupBy(F.col("anchor_id").alias("vec_id")).agg(F.array_sort(F.collect_list(F.struct("rank", "positive_id", "positive_score"))).alias("positives"))
     asked = written(anchors.join(paired, "vec_id"), "anchors")
-    hard = tiles.tiled(asked, rows, "vec_id", _negatives(negatives), "anchor_id long, positive_id long, negative_id long, positive_score long, negative_score long")
+    hard = tiling.tiled(asked, rows, "vec_id", _negatives(negatives), "anchor_id long, positive_id long, negative_id long, positive_score long, negative_score long")
     out = tiles.ranked(hard, ["anchor_id", "positive_id"], [F.desc("negative_score"), F.col("negative_id")], negatives)
     return out.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

@@ -1,16 +1,15 @@
-"""Whole-number vectors, and work on every pair of a block of queries and a block of vectors."""
+"""Whole-number vectors, their matrices, and the best few of scores."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from skein.operators.tiling import matrix, widths
 
-#: Most vectors, and most queries, of a block: what a task holds at a time.
-VECTORS, QUERIES = 8192, 4096
 _MOST = float(1 << 62)
 
 
@@ -26,44 +25,10 @@ def whole_numbers(vectors: DataFrame, key: str, vector: str, *others: str, scale
     return best.select(key, "_row.*")
 
 
-def tiled(queries: DataFrame, vectors: DataFrame, key: str, function: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """function(queries, vectors), two Arrow tables, for every pair of a block of queries and a block of vectors.
-
-    Blocks are hashes of the ids, so no value of another column makes one large, and they hold about QUERIES and VECTORS
-    rows at most whatever the tables' sizes. A query goes to all blocks of vectors and a vector to all blocks of
-    queries, by an equal join of the tiles' numbers; one task holds one tile. Both tables are read twice and should be written ones.
-    """
-    rows, asked = vectors.count(), queries.count()
-    down = max(1, -(-rows // VECTORS))
-    across = max(1, -(-asked // QUERIES), min(-(-asked // 64), -(-3 * vectors.sparkSession.sparkContext.defaultParallelism // down)))
-    block = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select(block(across).alias("_q"), all_of(down).alias("_v"), *queries.columns).groupBy("_q", "_v")
-    right = vectors.select(all_of(across).alias("_q"), block(down).alias("_v"), *vectors.columns).groupBy("_q", "_v")
-    names = pa.schema([(c.split()[0], pa.int64()) for c in schema.split(", ")])
-
-    def run(asked: pa.Table, block: pa.Table) -> pa.Table:
-        if not asked.num_rows or not block.num_rows:
-            return names.empty_table()
-        return function(asked, block.sort_by(key)).cast(names)
-
-    return left.cogroup(right).applyInArrow(run, schema)
-
-
-def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    """A column of lists of whole numbers as the rows of an int64 matrix; shorter ones end in zeros."""
-    lists = column.combine_chunks()
-    sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64)
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    out = np.zeros((len(sizes), width), np.int64)
-    out[np.arange(width) < sizes[:, None]] = flat
-    return out
-
-
 def matrices(a: pa.ChunkedArray, b: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Two columns of vectors as matrices of one width: of int64 where every inner product of them is sure to fit, else of Python's whole numbers."""
-    width = max([1, *(int(np.diff(c.combine_chunks().offsets.to_numpy()).max(initial=0)) for c in (a, b))])
-    x, y = matrix(a, width), matrix(b, width)
+    width = max([1, *(int(widths(c).max(initial=0)) for c in (a, b))])
+    x, y = matrix(a, width, np.int64), matrix(b, width, np.int64)
     # a step of bounds may add up twice the largest product
     if float(np.abs(x.astype(float)).max(initial=0)) * float(np.abs(y.astype(float)).max(initial=0)) * width * 4 >= _MOST:
         return x.astype(object), y.astype(object)
@@ -87,6 +52,4 @@ def best_first(scores: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
 
 def ranked(rows: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
     """The first `most` rows of each key, numbered; each task cuts what it has before the shuffle."""
-    from pyspark.sql.window import Window
-
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= most)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import tiles
+from skein.operators import tiling
 from skein.tables import written
 
 LEVELS = 128
@@ -108,5 +109,5 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     one row, gives no rows. A score that no long can hold is given as the largest or smallest long.
     """
     rows = written(tiles.whole_numbers(vectors.select("vec_id", "embedding"), "vec_id", "embedding"), "whole-vectors")
-    found = tiles.tiled(rows.where(F.col("vec_id") % every == 0), rows, "vec_id", _in_tile(k), "query_id long, vec_id long, score long")
+    found = tiling.tiled(rows.where(F.col("vec_id") % every == 0), rows, "vec_id", _in_tile(k), "query_id long, vec_id long, score long")
     return tiles.ranked(found, ["query_id"], [F.desc("score"), F.col("vec_id")], k).select("query_id", "rank", "vec_id", "score")
