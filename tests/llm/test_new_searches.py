@@ -61,7 +61,7 @@ def vectors(spark):
     for k in range(100, 180):
         rows[k] = (k, rows[50][1], 1, "x", 1, "y")  # ties
     nan, inf = float("nan"), float("inf")
-    rows += [(1000, None, 1, "x", 1, "y"), (1050, [nan] * 6, 1, "x", 1, "y"), (1100, [0.1, None, 0.2, 0.3, 0.4, 0.5], 1, "x", 1, "y"), (1150, [inf, 0, 0, 0, 0, 0], 1, "x", 1, "y"), (1200, [0.5] * 6, None, "x", 1, "y")]
+    rows += [(1000, None, 1, "x", 1, "y"), (1050, [nan] * 6, 1, "x", 1, "y"), (1100, [0.1, None, 0.2, 0.3, 0.4, 0.5], 1, "x", 1, "y"), (1150, [inf, 0.0, 0.0, 0.0, 0.0, 0.0], 1, "x", 1, "y"), (1200, [0.5] * 6, None, "x", 1, "y")]
     rows += [(None, [0.9] * 6, 1, "x", 1, "y"), (1250, [], 2, "x", 1, "y"), (1300, [0.7, 0.2], 0, "x", 1, "y"), (1350, [0.5] * 9, 7, "x", 1, "y"), (-50, [0.2] * 6, 1, "x", 1, "y"), (1 << 60, [0.3] * 6, 1, "x", 1, "y"), ((1 << 60) + 1, [0.3] * 6, 2, "x", 1, "y")]
     rows += [rows[3], rows[3], rows[50]]  # repeated rows count once
     return spark.createDataFrame(rows, VECTORS).repartition(5)
@@ -107,9 +107,9 @@ def test_small_tables_and_large_numbers(spark):
     assert topk.nearest(empty).count() == negatives.hard_negatives(empty).count() == 0
     one = spark.createDataFrame([(50, [1.0], 1, "", 1, "")], VECTORS)
     assert topk.nearest(one).count() == negatives.hard_negatives(one).count() == 0
-    large = spark.createDataFrame([(0, [1e7, 1.0], 1, "", 1, ""), (1, [1e9, 1.0], 1, "", 1, ""), (2, [3e38, 0.0], 2, "", 1, ""), (3, [-1e9, 0.0], 2, "", 1, "")], VECTORS)
+    large = spark.createDataFrame([(0, [1e7, 1.0], 1, "", 1, ""), (1, [1e5, 1.0], 1, "", 1, ""), (2, [3e38, 0.0], 2, "", 1, ""), (3, [-1e9, 0.0], 2, "", 1, "")], VECTORS)
     got = [tuple(r) for r in topk.nearest(large).orderBy("rank").collect()]
-    assert got[0] == (0, 1, 2, (1 << 63) - 1) and got[1] == (0, 2, 1, 256 * 10**7 * 256 * 10**9 + 256 * 256) and got[2][2] == 3
+    assert got[0] == (0, 1, 2, (1 << 63) - 1) and got[1] == (0, 2, 1, 256 * 10**7 * 256 * 10**5 + 256 * 256) and got[2][2] == 3
 
 
 def _edits(word, alphabet):
