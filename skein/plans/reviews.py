@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import dates, texts
-from skein.operators import frames, pages, ranges, retrieval
+from skein.operators import evidence, frames, pages, ranges, retrieval
 from skein.operators.reports import side_by_side
 from skein.plans.registry import query
 from skein.session import table
+from skein.tables import written
 
 _WORDS = r"[a-z]{4,}"
 _MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
@@ -194,3 +195,21 @@ def payload_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = sorted(["source", "doc_id", "n_chars", "lang"])
     rows = table(spark, sf_dir, "documents")
     return rows.select("doc_id", F.sha2(F.concat(F.lit("document\n"), F.to_json(F.struct(*names), {"ignoreNullFields": "false"})), 256).alias("digest"))
+
+
+_SAID = r"""t AS (SELECT conv_id, turn, conv_id * 100 + turn AS id, replace(replace(coalesce(text, ''), 'The ', '1,234.5% '), ' in ', ' 17 $ ') AS text FROM conversations), x AS (SELECT id, conv_id, turn, unnest(list_concat(list_transform(regexp_extract_all(text, '(?:^|[^\p{L}\p{N}_])([0-9]+(?:[.,\x{A0} ][0-9]{3})*(?:[.,][0-9]+)?)', 1), lambda v: 'number ' || replace(regexp_replace(v, '[.,\x{A0} ]([0-9]{3})', '\1', 'g'), ',', '.')),
+list_transform(regexp_extract_all(text, '([%‰°§±$€£¥₽])', 1), lambda v: 'symbol ' || v), list_transform(regexp_extract_all(text, '(?:^|[^\p{L}\p{N}_])([A-Z][A-Za-z0-9]*(?:-[A-Za-z0-9]+)*)', 1), lambda v: 'name ' || v))) AS token FROM t), n AS (SELECT id, conv_id, turn, token, count(*) AS n FROM x GROUP BY ALL)"""
+
+
+@query(f"""
+WITH {_SAID}, c AS (SELECT DISTINCT a.id, b.id AS source FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 2 AND a.turn - 1), h AS (SELECT c.id, token, sum(n) AS had FROM c JOIN n ON n.id = c.source GROUP BY ALL)
+SELECT n.id, split_part(n.token, ' ', 1) AS kind, split_part(n.token, ' ', 2) AS token, n.n AS wanted FROM n LEFT JOIN h ON h.id = n.id AND h.token = n.token WHERE h.had IS NULL
+""")
+def unsupported_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers, symbols and names of every turn that the two turns before it don't have."""
+    said = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("The "), F.lit("1,234.5% ")), F.lit(" in "), F.lit(" 17 $ "))
+    turns = written(table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("conv_id") * 100 + F.col("turn")).alias("id"), said.alias("text")), "turns")
+    before = turns.select("conv_id", F.col("id").alias("source"), F.explode(F.array(F.col("turn") + 1, F.col("turn") + 2)).alias("turn"))
+    cited = turns.select("conv_id", "turn", "id").join(before, ["conv_id", "turn"]).select("id", "source")
+    found = evidence.unsupported(turns.select("id", "text"), cited, turns.select(F.col("id").alias("source"), "text"), "id", "source", "text")
+    return found.select("id", "kind", "token", "wanted")
