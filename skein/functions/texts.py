@@ -20,8 +20,9 @@ _CHUNKS = "array<struct<char_start: int, char_end: int, text: string>>"
 
 
 def nfc(text: Column) -> Column:
-    """Unicode's composed form (Spark has no built-in for it)."""
-    return F.arrow_udf(lambda values: pa.array([v and unicodedata.normalize("NFC", v) for v in values.to_pylist()], pa.string()), "string")(text)
+    """Unicode's composed form. Spark has no built-in for it, but a text without characters from U+0300 on is composed already; only others go to a Python worker."""
+    composed = F.arrow_udf(lambda values: pa.array([v and unicodedata.normalize("NFC", v) for v in values.to_pylist()], pa.string()), "string")
+    return F.coalesce(composed(F.when(text.rlike(r"[^\x{0}-\x{2FF}]"), text)), text)
 
 
 def canonical(text: Column) -> Column:

@@ -118,14 +118,21 @@ UNION SELECT 'customer:' || o_custkey, 'supplier:' || l_suppkey, 'bought' FROM o
 """
 
 
+GRAPH_KINDS = ["region", "nation", "customer", "supplier"]
+
+
+def _named(edges: DataFrame) -> DataFrame:
+    return edges.select(graph.named(F.col("src"), GRAPH_KINDS).alias("src"), graph.named(F.col("dst"), GRAPH_KINDS).alias("dst"), "relation")
+
+
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     t = {name: table(spark, sf_dir, name) for name in ("region", "nation", "customer", "supplier", "orders", "lineitem")}
-    ref = lambda kind, key: F.concat(F.lit(f"{kind}:"), F.col(key).cast("string"))
+    ref = lambda kind, key: graph.numbered(GRAPH_KINDS.index(kind), F.col(key))
     node = lambda kind, key, name: t[kind].select(ref(kind, key).alias("id"), F.lit(kind).alias("kind"), F.col(name).alias("label"))
     edge = lambda df, src, dst, relation: df.select(src.alias("src"), dst.alias("dst"), F.lit(relation).alias("relation"))
     t["customer"], people = t["customer"].where("c_acctbal > 0"), t["customer"]
     nodes = [node("region", "r_regionkey", "r_name"), node("nation", "n_nationkey", "n_name"), node("customer", "c_custkey", "c_name"), node("supplier", "s_suppkey", "s_name")]
-    bought = t["orders"].join(t["lineitem"], F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_suppkey").distinct()
+    bought = t["orders"].join(t["lineitem"], F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_suppkey")
     edges = [
         edge(t["nation"], ref("nation", "n_nationkey"), ref("region", "n_regionkey"), "in"),
         edge(people, ref("customer", "c_custkey"), ref("nation", "c_nationkey"), "of"),
@@ -138,7 +145,7 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query(f"WITH {_NODES} SELECT src, dst, relation FROM e WHERE src <> dst AND src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)")
 def graph_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _graph(spark, sf_dir)
-    return graph.attached(edges, nodes)
+    return _named(graph.attached(edges, nodes))
 
 
 @query(f"WITH {_NODES}, d AS (SELECT relation, src IN (SELECT id FROM n) AS s, dst IN (SELECT id FROM n) AS t FROM e WHERE src <> dst) SELECT relation, CASE WHEN NOT s AND NOT t THEN 'both' WHEN NOT s THEN 'src' ELSE 'dst' END AS lost, count(*) AS n FROM d WHERE NOT s OR NOT t GROUP BY 1, 2")
@@ -168,8 +175,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY way, relation ORDER BY neighbour
 """)
 def one_hop_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _graph(spark, sf_dir)
-    near = edges.where("src = 'supplier:7' or dst = 'supplier:7'")
-    return graph.neighbourhood(graph.attached(near, nodes), "supplier:7", 20)
+    hub = graph.numbered(GRAPH_KINDS.index("supplier"), F.lit(7))
+    near = edges.where((F.col("src") == hub) | (F.col("dst") == hub))
+    return graph.neighbourhood(_named(graph.attached(near, nodes)), "supplier:7", 20)
 
 
 @query("""

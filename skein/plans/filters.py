@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import rules, texts, urls
-from skein.operators import periods
+from skein.operators import covering, periods
 from skein.plans.registry import query
 from skein.session import table
 
@@ -237,3 +237,24 @@ SELECT doc_id, NOT contains(trim(text), chr(10) || chr(10)) AND length(trim(text
 def paragraph_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a text is one paragraph of bounded length, and its first sentence."""
     return table(spark, sf_dir, "documents").select("doc_id", texts.one_paragraph(F.col("text"), 1500).alias("one_paragraph"), texts.first_sentence(F.col("text")).alias("lead"))
+
+
+_WANTED = {
+    "english": (8, "lang = 'en'"), "german": (5, "lang = 'de'"), "short": (2, "n_chars <= 200"), "long": (2, "n_chars >= 5000"), "numbers": (3, "text RLIKE '[0-9]{3}'"),
+    "first source": (3, "source = 'src1'"), "second source": (3, "source = 'src2'"), "accents": (4, "text RLIKE '[éèê]'"), "tables": (2, "contains(text, ' | ')"), "quality": (6, "quality = 1"), "toxic": (2, "toxic = 1"),
+}
+_MASKS = " + ".join(f"CASE WHEN {c.replace(' RLIKE ', ' SIMILAR TO ')} THEN {1 << k} ELSE 0 END" for k, (_, c) in enumerate(_WANTED.values())).replace("SIMILAR TO '[0-9]{3}'", "SIMILAR TO '(.|\\n)*[0-9]{3}(.|\\n)*'").replace("SIMILAR TO '[éèê]'", "SIMILAR TO '(.|\\n)*[éèê](.|\\n)*'")
+_LEFT = "[" + ", ".join(str(n) for n, _ in _WANTED.values()) + "]"
+_GAIN = f"len(list_filter(range(0, {len(_WANTED)}), lambda k: w[k + 1] > 0 AND (mask >> k) & 1 = 1))"
+
+
+@query(f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {_MASKS} AS mask FROM documents LEFT JOIN labels USING (doc_id)), r(turn, doc_id, gain, w, used) AS (
+SELECT 0, NULL::BIGINT, 0, {_LEFT}, []::BIGINT[] UNION ALL
+SELECT turn + 1, pick.doc_id, pick.gain, list_transform(range(0, {len(_WANTED)}), lambda k: w[k + 1] - ((pick.mask >> k) & 1)::INT), list_append(used, pick.doc_id) FROM (SELECT r.turn, r.w, r.used, (SELECT arg_max(struct_pack(doc_id := doc_id, mask := mask, gain := {_GAIN}), ({_GAIN}, -doc_id)) FROM d WHERE NOT list_contains(used, d.doc_id)) AS pick FROM r) WHERE pick.gain > 0)
+SELECT doc_id, turn::INT AS turn, gain::INT AS gain FROM r WHERE turn > 0
+""")
+def sampled_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of documents that meets eleven named requirements, each as often as it asks, chosen greedily."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return covering.sample(docs, "doc_id", {name: (least, F.expr(c)) for name, (least, c) in _WANTED.items()})

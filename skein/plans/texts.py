@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skein.functions import urls
+from skein.functions import tables, urls
 from skein.operators import changes, duplicates, ranges, retrieval
 from skein.plans.registry import query
 from skein.session import table
@@ -183,3 +183,15 @@ SELECT lang, source, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP B
 """)
 def grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").rollup("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text <> ''), w AS (SELECT doc_id, text, n, unnest(range(0, 1 + greatest(0, ceil((n - 400) / 250.0))::INT)) AS ordinal FROM d)
+SELECT doc_id, ordinal::INT AS ordinal, (ordinal * 250)::INT AS char_start, least(n, ordinal * 250 + 400)::INT AS char_end, md5(substr(text, (ordinal * 250 + 1)::INT, 400)) AS digest FROM w
+""")
+def windows_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping windows of all texts by a table function that is called for each row."""
+    tables.registered(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = spark.sql("SELECT d.doc_id, w.* FROM {docs} d, LATERAL text_windows(d.text, 400, 250, true) w", docs=docs)
+    return found.select("doc_id", "ordinal", "char_start", "char_end", F.md5("text").alias("digest"))
