@@ -8,6 +8,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions import stems
+from skein.operators.frames import top_of_each
+from skein.operators.retrieval import tokens
+from skein.tables import broadcast_below, written
+
 # Words of a passage, characters of a text's head, weight of a word.
 MOST, LEAST, HEAD, WEIGHT = 48, 20, 320, 0.1
 FOUND = "struct<matched: int, density: double, first: int, last: int, start: int, end: int, passage: string, centred: boolean>"
@@ -30,11 +35,11 @@ def covers(places: list[tuple[int, str]]) -> list[tuple[int, int]]:
     return found
 
 
-def _answer(text: str | None, terms: list[str] | None) -> dict:
-    """The words of the text that are terms, by their covers."""
-    text, asked = text or "", set(terms or ())
+def _answer(text: str | None, terms: list[str] | list[tuple[str, str]] | None) -> dict:
+    """The words of the text that are terms, or forms of terms given as (form, term), by their covers."""
+    text, asked = text or "", dict(t if isinstance(t, tuple) else (t, t) for t in terms or ())
     words = [(m.start(), m.end(), m.group().lower()) for m in _WORD.finditer(text)]
-    places = [(k, w) for k, (_, _, w) in enumerate(words) if w in asked]
+    places = [(k, asked[w]) for k, (_, _, w) in enumerate(words) if w in asked]
     if not places:
         head = text[:HEAD]
         return {"matched": 0, "density": 0.0, "first": None, "last": None, "start": 0, "end": len(head), "passage": head, "centred": False}
@@ -53,7 +58,7 @@ def _answer(text: str | None, terms: list[str] | None) -> dict:
 
 
 def answered(text: Column, terms: Column) -> Column:
-    """struct(matched, density, first, last, start, end, passage, centred) of a text and the words asked for.
+    """struct(matched, density, first, last, start, end, passage, centred) of a text and the words asked for, or a map of words to the terms that they stand for.
 
     density is the sum over all smallest covers of the words that occur (weight over one plus the other words within);
     first and last are the places of words of the smallest cover; passage is text[start:end], of LEAST to MOST words
@@ -75,3 +80,25 @@ def verified(found: DataFrame, docs: DataFrame, key: str, text: str) -> DataFram
     now = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
     at = F.substr(F.col("_t"), F.col("start") + 1, F.col("end") - F.col("start"))
     return found.join(now, found[key] == now["_k"], "left").withColumn("holds", F.coalesce(at == F.col("passage"), F.lit(False))).drop("_k", "_t")
+
+
+def stemmed_search(docs: DataFrame, key: str, text: str, language: str, questions: DataFrame, k: int, every: bool) -> DataFrame:
+    """(query, language, key, matched, density, passage, start, end, nth): the k best documents of each question and language by density of covers.
+
+    questions(query, language, words): words and texts match by their stems in the document's own language. With `every`
+    a document must have all of a question's stems. The distinct words of each language are stemmed once; the few that
+    stand for an asked stem pick the documents, and only those are read for their covers.
+    """
+    lang = F.col(language).alias("language")
+    asked = written(stems.stemmed(questions.select("language", F.explode("words").alias("word")), "word", "language"), "asked-stems")
+    wanted = questions.select("query", "language", F.explode(F.array_distinct("words")).alias("word")).join(asked, ["language", "word"]).select("query", "language", "stem").distinct()
+    words = docs.select(key, lang, F.array_distinct(tokens(F.col(text))).alias("t")).select(key, "language", F.explode("t").alias("word"))
+    known = stems.stemmed(words.join(broadcast_below(questions.select("language").distinct(), 1000), "language", "left_semi"), "word", "language")
+    forms = written(known.join(broadcast_below(wanted, 200_000), ["language", "stem"]), "forms")
+    met = words.join(broadcast_below(forms, 200_000), ["language", "word"]).groupBy("query", "language", key).agg(F.count_distinct("stem").alias("n"))
+    if every:
+        met = met.join(wanted.groupBy("query", "language").agg(F.count("*").alias("all")), ["query", "language"]).where("n = all")
+    maps = forms.groupBy("query", "language").agg(F.map_from_entries(F.collect_list(F.struct("word", "stem"))).alias("forms"))
+    read = met.select("query", "language", key).join(broadcast_below(maps, 10_000), ["query", "language"]).join(docs.select(key, text), key)
+    found = read.select("query", "language", key, answered(F.col(text), F.col("forms")).alias("a")).select("query", "language", key, "a.matched", F.round("a.density", 8).alias("density"), "a.passage", "a.start", "a.end")
+    return top_of_each(found, ["query", "language"], [F.desc("density"), F.col(key)], k, key)
