@@ -135,3 +135,62 @@ SELECT conv_id, turn, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g
 """)
 def question_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", pages.question_key(F.col("text")).alias("question"))
+
+
+_SAID = """d AS (SELECT o_orderkey AS k, o_orderdate::DATE AS day, o_orderkey % 9 AS kind FROM orders)"""
+
+
+def _said(day) -> F.Column:
+    """A day as feeds and searches write it, in nine ways."""
+    k = F.col("o_orderkey") % 9
+    iso = F.date_format(day, "yyyy-MM-dd")
+    name = lambda style: F.date_format(day, style)
+    forms = [iso, F.concat(iso, F.lit("T23:30:00-02:00")), F.concat(name("yyyy-MM"), F.lit("-??")), F.concat(name("d MMM yyyy"), F.lit(" 10:20:30 +0000")), name("MMMM d, yyyy"), F.concat(name("MMM d, yyyy")), name("d MMMM yyyy"), F.concat((F.col("o_orderkey") % 12 + 1).cast("string"), F.lit(" months ago")), F.lit("some day")]
+    return F.coalesce(*[F.when(k == n, form) for n, form in enumerate(forms)])
+
+
+@query(f"""
+WITH {_SAID} SELECT k AS o_orderkey, CASE kind WHEN 1 THEN day + 1 WHEN 2 THEN date_trunc('month', day)::DATE WHEN 7 THEN DATE '2026-01-01' - ((k % 12 + 1) * 30)::INT WHEN 8 THEN NULL ELSE day END AS day FROM d
+""")
+def flexible_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days of all orders as feeds write them, read again."""
+    orders = table(spark, sf_dir, "orders")
+    return orders.select("o_orderkey", F.to_date(pages.flexible_time(_said(F.col("o_orderdate")), F.lit("2026-01-01"))).alias("day"))
+
+
+@query(f"""
+WITH {_SAID}, r AS (SELECT k, day, (k // 9) % 6 AS place, CASE kind WHEN 1 THEN day + 1 WHEN 2 THEN date_trunc('month', day)::DATE WHEN 7 THEN NULL WHEN 8 THEN NULL ELSE day END AS said, kind, CASE WHEN k % 2 = 0 THEN day - 3 END AS registered FROM d),
+f AS (SELECT k, registered, CASE place WHEN 0 THEN 'article:published_time' WHEN 1 THEN 'pubdate' WHEN 2 THEN 'time' WHEN 3 THEN 'linked data' WHEN 4 THEN 'header' END AS source, CASE place WHEN 0 THEN 0.95 WHEN 1 THEN 0.82 WHEN 2 THEN 0.75 WHEN 3 THEN 0.93 WHEN 4 THEN 0.78 END AS sure, CASE WHEN place = 5 THEN NULL WHEN place = 4 AND kind = 1 THEN day WHEN place = 4 AND kind = 2 THEN NULL ELSE said END AS page FROM r)
+SELECT k AS o_orderkey, coalesce(page, registered) AS date, CASE WHEN page IS NOT NULL THEN source WHEN registered IS NOT NULL THEN 'registry' ELSE 'none' END AS source, CASE WHEN page IS NOT NULL THEN sure WHEN registered IS NOT NULL THEN 0.45 ELSE 0 END::DOUBLE AS confidence, CASE WHEN page IS NOT NULL THEN 'resolved' WHEN registered IS NOT NULL THEN 'low confidence' ELSE 'unresolved' END AS status FROM f
+""")
+def page_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of all orders that hold their day in one of five places or none: the date found, where, how sure, and what the registry gives else."""
+    said, place = _said(F.col("o_orderdate")), F.floor(F.col("o_orderkey") / 9) % 6
+    forms = [("<meta property=\"article:published_time\" content=\"", "\">"), ("<meta name='pubdate' content='", "'>"), ("<time class=x datetime=\"", "\">then</time>"), ("<script type=\"application/ld+json\">{\"dateCreated\": \"", "\"}</script>"), ("<div><h1>Title</h1><p>on ", "</p></div>")]
+    held = F.coalesce(*[F.when(place == n, F.concat(F.lit(a), said, F.lit(b))) for n, (a, b) in enumerate(forms)], F.lit(""))
+    registered = F.when(F.col("o_orderkey") % 2 == 0, F.date_sub(F.to_date("o_orderdate"), 3))
+    found = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("<html><body>"), held, F.lit("<p>Words.</p></body></html>")).alias("html"), registered.alias("registered"))
+    return found.select("o_orderkey", "registered", pages.publication_date(F.col("html")).alias("p")).select("o_orderkey", pages.settled(F.col("p"), F.col("registered")).alias("s")).select("o_orderkey", "s.*")
+
+
+@query(f"""
+WITH {_SAID}, r AS (SELECT k, CASE WHEN k % 3 = 0 THEN CASE kind WHEN 1 THEN day + 1 WHEN 2 THEN date_trunc('month', day)::DATE WHEN 7 THEN day + 9 - ((k % 12 + 1) * 30)::INT WHEN 8 THEN NULL ELSE day END END AS issue, CASE WHEN k % 4 = 0 THEN day - 5 END AS material, day + 9 AS found FROM d)
+SELECT k AS o_orderkey, coalesce(issue, material) AS date, CASE WHEN issue IS NOT NULL THEN 'issue' WHEN material IS NOT NULL THEN 'material' WHEN k % 3 = 0 THEN 'issue' ELSE 'none' END AS source, coalesce(issue, material, found) AS shown, CASE WHEN coalesce(issue, material) IS NULL THEN 'first seen' ELSE 'published' END AS kind FROM r
+""")
+def shown_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The date to show: the issue's, else the material's, else the day of finding."""
+    k = F.col("o_orderkey")
+    day = F.to_date("o_orderdate")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(k % 3 == 0, _said(F.col("o_orderdate"))).alias("issue"), F.when(k % 4 == 0, F.date_sub(day, 5).cast("string")).alias("material"), F.date_add(day, 9).cast("timestamp").alias("found"))
+    return rows.select("o_orderkey", pages.shown_date(F.col("issue"), F.col("material"), F.col("found")).alias("s")).select("o_orderkey", "s.*")
+
+
+@query(r"""
+WITH t AS (SELECT page_id, CASE WHEN page_id % 3 > 0 THEN url ELSE '' END AS url, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS title FROM pages), k AS (SELECT page_id, url, trim(regexp_replace(lower(left(title, 300)), '[^\p{L}\p{N}]+', ' ', 'g')) AS key FROM t)
+SELECT left(sha256(CASE WHEN url <> '' THEN url ELSE key || '|2026' END), 16) AS id, count(*) AS pages, min(page_id) AS first FROM k GROUP BY 1
+""".replace("\\\\", "\\"))
+def material_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by the id of their material, from their URL or, without one, from title and date."""
+    rows = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 3 > 0, F.col("url")).otherwise("").alias("url"), F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"))
+    ids = rows.select("page_id", pages.material_id(F.col("url"), F.col("title"), F.lit("2026")).alias("id"))
+    return ids.groupBy("id").agg(F.count("*").alias("pages"), F.min("page_id").alias("first"))

@@ -46,19 +46,42 @@ def test_numbers_in_either_style(spark):
     assert dict(rows.select("raw", pages.number(F.col("raw"))).collect()) == want
 
 
-def test_dates_and_titles_of_pages(spark):
-    html = {
-        '<meta property="article:published_time" content="2020-01-02T10:00"><time datetime="2021-01-01">': ("2020-01-02", "meta"),
-        '<script>{"datePublished": "2020-03-04"}</script> 2019-01-01': ("2020-03-04", "json"),
-        "<time datetime='2021-05-06T01:02'>": ("2021-05-06", "time"), "on 2018-02-03 it": ("2018-02-03", "text"), "2018-02-30": (None, "none"), "": (None, "none"),
-    }
-    rows = spark.createDataFrame([(k,) for k in html], "h string")
-    got = {r.h: (r.d.date and str(r.d.date), r.d.source) for r in rows.select("h", pages.publication_date(F.col("h")).alias("d")).collect()}
-    assert got == html
+def test_dates_of_pages_by_their_surest_place(spark):
+    cases = {
+        '<meta property="article:published_time" content="2024-02-03T10:00:00Z"><time datetime="2023-01-01">': ("2024-02-03", "article:published_time", 0.95),
+        "<meta name='pubdate' content='Tue, 05 Mar 2024 23:30:00 -0200'>": ("2024-03-06", "pubdate", 0.82),
+        '<meta itemprop="datePublished" content="soon"><script>{"datePublished": "2024-05-06"}</script>': ("2024-05-06", "linked data", 0.93),
+        '<time class=a datetime="2024-07-08T01:00">': ("2024-07-08", "time", 0.75),
+        "<div><h1>Title</h1><p>March 9, 2024</p></div>": ("2024-03-09", "header", 0.78),
+        "<p>Words of 10 Apr 2024 and more</p>": ("2024-04-10", "lead", 0.72),
+        "<p>" + "words " * 600 + "2024-11-12</p>": ("2024-11-12", "text", 0.62),
+        "<p>2024-13-45 and 12345-01-01</p>": (None, "none", 0.0),
+        "<script>var d = '2024-01-01'</script>": (None, "none", 0.0),
+        "": (None, "none", 0.0),
+    }
+    rows = spark.createDataFrame([(h,) for h in cases] + [(None,)], "h string")
+    got = {r.h: (r.d.date and str(r.d.date), r.d.source, r.d.confidence) for r in rows.select("h", pages.publication_date(F.col("h")).alias("d")).collect()}
+    assert got == cases | {None: (None, "none", 0.0)}
+
+
+def test_times_as_feeds_write_them(spark):
+    cases = {"2024-02-30": None, "2024-??-??": "2024-01-01 00:00:00", "2024-05-??": "2024-05-01 00:00:00", "2024-05-06T07:08:09+02:00": "2024-05-06 05:08:09", "2 weeks ago": "2025-12-18 00:00:00", "1 year ago": "2025-01-01 00:00:00", "Mon, 06 May 2024 07:08 GMT": "2024-05-06 07:08:00", "Sept. 5, 2024": "2024-09-05 00:00:00", "Friday, September 6, 2024": "2024-09-06 00:00:00", "6 sep, 2024": "2024-09-06 00:00:00", "yesterday": None, "": None, None: None, "x ago": None}
+    rows = spark.createDataFrame([(k,) for k in cases], "raw string")
+    got = {r.raw: r.t and str(r.t) for r in rows.select("raw", pages.flexible_time(F.col("raw"), F.lit("2026-01-01")).cast("string").alias("t")).collect()}
+    assert got == cases
+
+
+def test_titles_of_pages(spark):
     one = spark.createDataFrame([("<title>A</title><h1> B <b>c</b></h1>",), ('<meta property="og:title" content="O"><h1>B</h1>',), ("<p>",)], "h string")
     assert [r.t and tuple(r.t) for r in one.select(pages.title(F.col("h")).alias("t")).collect()] == [("B c", "h1"), ("O", "og"), None]
 
 
+def test_material_ids(spark):
+    rows = spark.createDataFrame([("https://a/b", "x", None), ("https://a/b", "y", "2024"), ("", "A <b>Title</b>!", "2024"), (None, "a  title", "2024"), (None, "a title", None)], "u string, t string, p string")
+    a, b, c, d, e = (r.i for r in rows.select(pages.material_id(F.col("u"), F.col("t"), F.col("p")).alias("i")).collect())
+    assert a == b and c == d and len({a, c, e}) == 3 and len(a) == 16
+
+
 def test_relative_days(spark):
     day = dt.date(2024, 3, 31)
     want = {"today": day, " Yesterday ": dt.date(2024, 3, 30), "3 days ago": dt.date(2024, 3, 28), "1 week ago": dt.date(2024, 3, 24), "1 month ago": dt.date(2024, 2, 29), "tomorrow": None, None: None}
