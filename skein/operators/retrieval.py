@@ -18,6 +18,8 @@ from skein.tables import broadcast_below, written
 WORD = r"[\p{L}\p{N}_]+"
 RRF_K = 60
 K1, B = 1.2, 0.75
+#: Terms that a search of many questions looks for inside arrays of words.
+LISTED = 5000
 
 
 def tokens(text: Column) -> Column:
@@ -89,14 +91,25 @@ def _bucket(spark: SparkSession, term: str, buckets: int) -> int:
 def batch_search(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int) -> DataFrame:
     """(query, key, score, nth): the k best documents by BM25 of each of queries(query, terms).
 
-    The queries' distinct terms restrict the postings first; scores are cut to k a query within salted parts.
+    A document is parted into words once; only its length and the words that are asked for leave that step. Up to
+    LISTED distinct terms are looked for inside the documents' arrays; more are joined to their words. Scores are cut to
+    k a query within salted parts.
     """
     from skein.operators.frames import top_of_each
 
-    asked = queries.select("query", F.explode(F.array_distinct("terms")).alias("term"))
-    wanted = broadcast_below(asked.select("term").distinct(), 200_000)
-    rows = written(docs.select(key, tokens(F.col(text)).alias("t")).select(key, F.size("t").alias("length"), F.explode("t").alias("term")).join(wanted, "term").groupBy(key, "length", "term").agg(F.count("*").alias("tf")), "postings")
-    totals = docs.select(F.regexp_count(text, F.lit(WORD)).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    asked = written(queries.select("query", F.explode(F.array_distinct("terms")).alias("term")), "asked")
+    terms = asked.select("term").distinct()
+    few = [r["term"] for r in terms.limit(LISTED + 1).collect()]
+    words = docs.select(key, tokens(F.col(text)).alias("t"))
+    if len(few) <= LISTED:
+        kept = F.filter("t", lambda x: x.isin(few)) if few else F.array().cast("array<string>")
+        found = written(words.select(key, F.size("t").alias("length"), kept.alias("t")), "asked-words")
+        flat, lengths = found.select(key, "length", F.explode("t").alias("term")), found
+    else:
+        lengths = written(words.select(key, F.size("t").alias("length"), "t"), "words")
+        flat = lengths.select(key, "length", F.explode("t").alias("term")).join(broadcast_below(terms, 200_000), "term")
+    rows = written(flat.groupBy(key, "length", "term").agg(F.count("*").alias("tf")), "postings")
+    totals = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     df = rows.groupBy("term").agg(F.count("*").alias("df"))
     weighted = rows.join(broadcast_below(df, 200_000), "term").join(F.broadcast(totals)).select(key, "term", weight(F.col("tf"), F.col("df"), F.col("length"), F.col("n"), F.col("mean")).alias("w"))
     scores = weighted.join(asked, "term").groupBy("query", key).agg(F.round(F.sum("w"), 6).alias("score"))

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from skein.operators import evidence, passages
+from skein.operators import evidence, passages, retrieval
 
 
 def test_covers_are_all_smallest_stretches():
@@ -65,3 +65,14 @@ def test_each_failed_clause_names_what_is_unsupported(spark):
     before = spark.createDataFrame([(1, "5 kosten 3 $"), (2, "12.5 %")], "source long, text string")
     rows = evidence.unsupported(after, both, before, "clause", "source", "text", same_count=True).collect()
     assert [(r.clause, r.kind, r.token, r.wanted, r.had) for r in rows] == [(1, "number", "5", 2, 1)]
+
+
+def test_many_questions_find_the_same_with_few_and_with_many_terms(spark, monkeypatch):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(k, " ".join(rng.choices("abcdefghij", k=rng.randint(0, 30)))) for k in range(80)], "id long, text string")
+    asked = spark.createDataFrame([(1, ["a", "b"]), (2, ["c", "zz"]), (3, []), (4, None)], "query long, terms array<string>")
+    run = lambda: sorted(map(tuple, retrieval.batch_search(docs, "id", "text", asked, 5).collect()))
+    few = run()
+    monkeypatch.setattr(retrieval, "LISTED", 0)
+    assert run() == few and len(few) == 10
+    assert retrieval.batch_search(docs, "id", "text", asked.where("query > 2"), 5).count() == 0
