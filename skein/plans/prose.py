@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.functions import pages, quotes
-from skein.operators import merging
+from skein.operators import merging, ranges
 from skein.plans.registry import query
 from skein.session import table
 from skein.sources import jsonl
@@ -194,3 +194,36 @@ def material_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 3 > 0, F.col("url")).otherwise("").alias("url"), F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"))
     ids = rows.select("page_id", pages.material_id(F.col("url"), F.col("title"), F.lit("2026")).alias("id"))
     return ids.groupBy("id").agg(F.count("*").alias("pages"), F.min("page_id").alias("first"))
+
+
+_ORDERED = T.StructType([T.StructField("id", T.LongType()), T.StructField("day", T.StringType()), T.StructField("status", T.StringType())])
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS id, o_orderdate::DATE AS day, CASE WHEN o_orderkey % 5 = 0 THEN 'F' ELSE o_orderstatus END AS status FROM orders) SELECT id, status, row_number() OVER (ORDER BY day DESC, id) AS nth FROM o
+""")
+def registry_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry that is merged with a feed and written anew, newest first, as JSON lines beside the old one, and read in the order of its lines."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").cast("string").alias("day"), F.col("o_orderstatus").alias("status"))
+    folder = f"{shared_folder(spark)}/skein-registry-{uuid.uuid4().hex}"
+    jsonl.write(orders, f"{folder}/v1", [F.desc("day"), F.col("id")])
+    feed = orders.where("id % 5 = 0").withColumn("status", F.lit("F"))
+    old = jsonl.registry(spark, f"{folder}/v1", _ORDERED, "id")
+    jsonl.write(merging.upserted(old, feed, ["id"], ["day"]), f"{folder}/v2", [F.desc("day"), F.col("id")])
+    placed = jsonl.lines(spark, f"{folder}/v2").select("file", "place", F.from_json("line", _ORDERED).alias("r"), F.lit(1).alias("one"), F.lit("all").alias("key"))
+    counted = ranges.running(ranges.ranged(placed, ["key"], ["file", "place"]), ["key"], ["file", "place"], "one", "nth")
+    return counted.select("r.id", "r.status", "nth")
+
+
+@query("""
+SELECT o_orderkey AS id, sha256('{"id":' || o_orderkey || ',"status":"' || o_orderstatus || '"}') AS line_sha256, 1 AS digests FROM orders
+""")
+def manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a manifest in JSON lines with the digest of each line; a file has one digest, whatever the order of its lines."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    folder = f"{shared_folder(spark)}/skein-manifest-{uuid.uuid4().hex}"
+    orders.coalesce(1).write.json(f"{folder}/a")
+    orders.coalesce(1).orderBy(F.desc("id")).coalesce(1).write.json(f"{folder}/b")
+    schema = T.StructType(_ORDERED.fields[:1] + _ORDERED.fields[2:])
+    both = jsonl.manifest(spark, f"{folder}/*", schema, "id")
+    return both.groupBy("id", "line_sha256").agg(F.count_distinct("file_digest").cast("int").alias("digests"))
