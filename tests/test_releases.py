@@ -1,6 +1,7 @@
 """State machines, identities, snapshots and URL forms against plain versions."""
 
 import random
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ def test_identity_knows_rows_but_not_their_order(spark):
 
 
 def test_snapshot_names_changed_files(spark):
-    path = f"{shared_folder(spark)}/skein-test-{random.getrandbits(60)}"
+    path = f"{shared_folder(spark)}/skein-test-{uuid.uuid4().hex}"
     files.exported(spark.range(10).withColumn("part", F.col("id") % 2).repartition("part"), path, ["part"])
     manifest = spark.createDataFrame(files.digests(spark, path).collect())
     assert {x["state"] for x in files.verified(spark, path, manifest).collect()} == {"intact"}
