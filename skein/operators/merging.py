@@ -37,10 +37,14 @@ def upserted(state: DataFrame, feed: DataFrame, keys: list[str], order: list[str
 
 
 def inserted(state: DataFrame, feed: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The state with the feed's rows of keys it lacks, the first of a key by `order`; what is there stays as it is."""
+    """The state with the feed's rows of keys it lacks, the first of a key by `order`; what is there stays as it is. Keys are compared null-safe."""
     rest = [c for c in state.columns if c not in keys]
-    first = feed.groupBy(*keys).agg(F.min(F.struct(*order, F.struct(*rest).alias("_row"))).alias("_new")).select(*keys, *[F.col(f"_new._row.{c}").alias(c) for c in rest])
-    return state.unionByName(first.join(state.select(*keys), keys, "left_anti").select(*state.columns))
+    first = feed.select(*keys).distinct()
+    if rest:
+        first = feed.groupBy(*keys).agg(F.min(F.struct(*order, F.struct(*rest).alias("_row"))).alias("_new")).select(*keys, *[F.col(f"_new._row.{c}").alias(c) for c in rest])
+    known = state.select(*[F.col(k).alias(f"_known_{k}") for k in keys])
+    new = first.join(known, [F.col(k).eqNullSafe(F.col(f"_known_{k}")) for k in keys], "left_anti")
+    return state.unionByName(new.select(*state.columns))
 
 
 def replaced(state: DataFrame, feed: DataFrame, part: str) -> DataFrame:

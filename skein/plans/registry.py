@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _loaded() -> None:
-    from skein.plans import aggregates, articles, documents, files, filters, frames, joins, prose, queues, relational, releases, reports, reviews, searches, star, states, stories, texts, windows  # noqa: F401
+    from skein.plans import aggregates, articles, documents, files, filters, frames, joins, prose, queues, recording, relational, releases, reports, reviews, searches, star, states, stories, texts, windows  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
