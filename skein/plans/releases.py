@@ -12,7 +12,7 @@ from skein.functions import urls
 from skein.operators import folding, journal, ranges, releases
 from skein.plans.registry import query
 from skein.session import table
-from skein.sources import files
+from skein.sources import files, seeds
 from skein.sources.states import State
 from skein.tables import shared_folder, written
 
@@ -327,3 +327,24 @@ def journal_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = bad.where(~((F.col("k") == 2) & (F.col("n") == F.floor(F.col("many") / 3)))).select("j", "n", "link")
     stored = kept.join(payloads, (F.col("j") == F.col("pj")) & (F.col("n") == F.col("pn"))).select("j", "n", "payload", "link")
     return journal.first_breaks(stored, heads, "j", "n", "payload")
+
+
+_SEED = {"region": ("r_name", "r_regionkey"), "nation": ("n_name", "n_nationkey", "n_regionkey"), "documents": ("doc_id", "lang", "source", "text"), "conversations": ("conv_id", "role", "text", "turn")}
+_SEED_LINES = " UNION ALL ".join(f"SELECT '{name}' AS name, concat_ws(chr(10), " + ", ".join(f"'{c}=' || CASE WHEN {c} IS NULL THEN 'n' ELSE length({c}::VARCHAR) || ':' || {c} END" for c in columns) + f") AS line FROM {name}" for name, columns in _SEED.items())
+_SEED_WORDS = " || '-' || ".join(f"sum(('0x' || substr(sha256(line), {1 + 8 * k}, 8))::BIGINT)::VARCHAR" for k in range(8))
+
+
+@query(f"""
+WITH l AS ({_SEED_LINES}), s AS (SELECT name, count(*) AS rows, sha256(count(*)::VARCHAR || '-' || {_SEED_WORDS}) AS digest FROM l GROUP BY name)
+SELECT 'whole' AS seed, name, rows, digest, 'intact' AS state, true AS imported FROM s UNION ALL SELECT 'damaged', name, rows, digest, CASE WHEN name = 'nation' THEN 'changed' ELSE 'intact' END, false FROM s
+""")
+def full_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four tables as a seed that a new base starts from, and the same seed after one of its tables was written anew with a row less, which imports nothing."""
+    folder = f"{shared_folder(spark)}/skein-seed-{uuid.uuid4().hex}"
+    tables = {name: table(spark, sf_dir, name).select(*columns) for name, columns in _SEED.items()}
+    seeds.exported(tables, f"{folder}/seed")
+    told = [(*seeds.imported(spark, f"{folder}/seed", f"{folder}/base"), "whole")]
+    least = tables["nation"].agg(F.min("n_nationkey")).first()[0]
+    tables["nation"].where(F.col("n_nationkey") != least).write.mode("overwrite").parquet(f"{folder}/seed/tables/nation")
+    told.append((*seeds.imported(spark, f"{folder}/seed", f"{folder}/second"), "damaged"))
+    return releases.composed([report.select(F.lit(seed).alias("seed"), "name", "rows", "digest", "state", F.lit(done).alias("imported")) for report, done, seed in told])
