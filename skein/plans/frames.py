@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skein.operators import frames
+from skein.operators import frames, ranges
 from skein.plans.registry import query
 from skein.session import table
 
@@ -80,9 +80,10 @@ def issue_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH r AS (SELECT o_orderkey, o_orderdate::DATE AS day, row_number() OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) - 1 AS sort_order FROM orders) SELECT o_orderkey, day, sort_order, 'm_' || left(sha256('material:' || strftime(day, '%Y-%m-%d') || ':' || sort_order), 20) AS id FROM r
 """)
 def numbered_within_issue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each row's place within its day, from 0, and the id that follows from both."""
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
-    rows = rows.withColumn("sort_order", F.row_number().over(Window.partitionBy("day").orderBy("o_orderkey")) - 1)
+    """Each row's place within its day, from 0, and the id that follows from both. A day may have any number of rows: they are counted in ranges."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), F.lit(1).alias("one"))
+    counted = ranges.running(ranges.ranged(rows, ["day"], ["o_orderkey"]), ["day"], ["o_orderkey"], "one", "place")
+    rows = counted.select("o_orderkey", "day", (F.col("place") - 1).alias("sort_order"))
     return rows.withColumn("id", F.concat(F.lit("m_"), F.left(F.sha2(F.concat(F.lit("material:"), F.col("day").cast("string"), F.lit(":"), F.col("sort_order").cast("string")), 256), F.lit(20))))
 
 

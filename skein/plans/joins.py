@@ -263,12 +263,12 @@ def slice_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH p AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^www\.', '') || regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS k FROM pages), g AS (SELECT k, list_sort(list(page_id)) AS ids FROM p GROUP BY k)
-SELECT ids[1] AS first, len(ids) AS copies, array_to_string(ids[2:], ',') AS others FROM g
+WITH p AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^www\.', '') || regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS k FROM pages WHERE url IS NOT NULL), g AS (SELECT k, list_sort(list(page_id)) AS ids FROM p GROUP BY k)
+SELECT unnest(ids) AS page_id, ids[1] AS first, len(ids) AS copies FROM g
 """)
 def copies_by_address(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the same address as one, with the ids of all that were joined in it."""
+    """Every row with the first of its address and how many there are: an address with many rows is not listed in one, nor met in one task."""
     server = F.regexp_replace(F.lower(F.regexp_extract("url", r"^https?://([^/?#]+)", 1)), r"^www\.", "")
-    keyed = table(spark, sf_dir, "pages").select("page_id", F.concat(server, urls.path(F.col("url"))).alias("k"))
-    groups = keyed.groupBy("k").agg(F.array_sort(F.collect_list("page_id")).alias("ids"))
-    return groups.select(F.element_at("ids", 1).alias("first"), F.size("ids").alias("copies"), F.array_join(F.slice("ids", F.lit(2), F.size("ids")), ",").alias("others"))
+    keyed = written(table(spark, sf_dir, "pages").where("url is not null").select("page_id", F.concat(server, urls.path(F.col("url"))).alias("k")), "addresses")
+    groups = written(keyed.groupBy("k").agg(F.min("page_id").alias("first"), F.count("*").alias("copies"), F.count("*").alias("rows")), "first-of-address")
+    return looked_up(keyed, groups, "k", "rows", keyed.count()).select("page_id", "first", "copies")

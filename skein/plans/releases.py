@@ -14,7 +14,7 @@ from skein.plans.registry import query
 from skein.session import table
 from skein.sources import files, seeds
 from skein.sources.states import State
-from skein.tables import shared_folder, written
+from skein.tables import looked_up, shared_folder, written
 
 _WORDS = " || '-' || ".join(f"sum(('0x' || substr(h, {1 + 8 * k}, 8))::BIGINT)::VARCHAR" for k in range(8))
 _ELEMENTS = r"""e AS (SELECT 'nation' AS kind, n_nationkey::VARCHAR AS key, sha256(n_name || chr(10) || n_regionkey) AS digest FROM nation
@@ -125,9 +125,9 @@ UNION ALL SELECT 'evidence', first, first, ('0x' || left(h, 8))::BIGINT FROM c
 def duplicate_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proposals of equal texts as three tables in one: clusters with their size, members with whether they are the copy, and the digest that is the evidence."""
     docs = written(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("h")), "digests")
-    clusters = docs.groupBy("h").agg(F.min("doc_id").alias("cluster"), F.count("*").alias("n")).where("n > 1")
+    clusters = written(docs.groupBy("h").agg(F.min("doc_id").alias("cluster"), F.count("*").alias("n")).where("n > 1"), "clusters")
     row = lambda part, df, item, value: df.select(F.lit(part).alias("part"), "cluster", F.col(item).alias("item"), value.cast("long").alias("value"))
-    members = docs.join(clusters, "h")
+    members = looked_up(docs, clusters, "h", "n", docs.count())
     return releases.composed(
         [
             row("cluster", clusters, "cluster", F.col("n")),

@@ -172,10 +172,11 @@ WITH d AS (SELECT sha256(text) AS h, source, doc_id FROM documents), c AS (SELEC
 SELECT source, count(*) AS docs, count(DISTINCT c.first) AS clusters, count(DISTINCT c.first) FILTER (WHERE d.doc_id = c.first) AS independent FROM d JOIN c USING (h) GROUP BY source
 """)
 def source_independence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of a source, after copies collapse to one, and those it was first with."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("h"))
-    first = docs.groupBy("h").agg(F.min("doc_id").alias("first"))
-    return docs.join(first, "h").groupBy("source").agg(F.count("*").alias("docs"), F.countDistinct("first").alias("clusters"), F.count_if(F.col("doc_id") == F.col("first")).alias("independent"))
+    """Documents of a source, after copies collapse to one, and those it was first with. Copies are one row a source before they meet, so no text has more rows than there are sources."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "source", F.sha2("text", 256).alias("h"))
+    of_source = docs.groupBy("h", "source").agg(F.count("*").alias("docs"), F.min("doc_id").alias("low"))
+    ranked = of_source.withColumn("first", F.min("low").over(Window.partitionBy("h")))
+    return ranked.groupBy("source").agg(F.sum("docs").alias("docs"), F.count("*").alias("clusters"), F.count_if(F.col("low") == F.col("first")).alias("independent"))
 
 
 @query("""

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from skein.tables import broadcast_below
+
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, place, line) of text files: the place grows along each file, so the last line of a key can be told."""
@@ -39,7 +41,7 @@ def manifest(spark: SparkSession, path: str, schema: StructType, key: str) -> Da
     """The rows with the digest of each one's line and of all lines of its file in order of their digests, so that a changed file is known by it."""
     found = lines(spark, path).select("file", F.sha2("line", 256).alias("line_sha256"), F.from_json("line", schema).alias("r")).where(F.col(f"r.{key}").isNotNull())
     files = found.groupBy("file").agg(F.sha2(F.concat_ws("", F.count("*").cast("string"), F.bit_xor(F.xxhash64("line_sha256")).cast("string")), 256).alias("file_digest"))
-    return found.join(F.broadcast(files), "file").select("r.*", "line_sha256", "file_digest")
+    return found.join(broadcast_below(files, 100_000), "file").select("r.*", "line_sha256", "file_digest")
 
 
 def write(rows: DataFrame, path: str, order: list) -> None:
