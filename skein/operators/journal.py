@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,22 +20,46 @@ def _digest(*parts: Column) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
-def _chained(rows: DataFrame, key: str, at: str, value: str, block: int) -> DataFrame:
+def _in_one_chain(rows: DataFrame, key: str, at: str, value: str) -> DataFrame:
+    """rows(key, at, value) as _chained gives them where a key is one block, however long: read through in order, with no more than the last digest kept."""
+    named = rows.select(key, at, value)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, done = (), SEED
+        for batch in batches:
+            chain, above = [], []
+            for k, v in zip(batch[key].tolist(), batch[value].tolist(), strict=True):
+                if (k,) != last:
+                    last, done = (k,), SEED
+                above.append(done)
+                done = hashlib.sha256((done + v).encode()).hexdigest()
+                chain.append(done)
+            yield batch.assign(before=SEED, chain=chain, above=above)
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema] + ["before string", "chain string", "above string"])
+    return named.repartition(key).sortWithinPartitions(key, at).mapInPandas(run, schema)
+
+
+def _chained(rows: DataFrame, key: str, at: str, value: str, block: int, levels: int | None = None) -> DataFrame:
     """rows(key, at, value) with `before`, a digest of all values of the key before the row's block, and `chain` and `above`, digests of the block's values up to the row and before it.
 
     A block's last digest stands for it on the next level, where the blocks are chained in the same way, so a key of n
-    rows takes log(n) levels and no task sees more than a block.
+    rows takes log(n) levels and no task sees more than a block. With `levels`, the last of so many levels is one chain
+    of all of a key's blocks, whose order leaves it to one task.
     """
+    if levels == 1:
+        return _in_one_chain(rows, key, at, value)
     n = F.floor(F.col(at) / block)
     packed = rows.groupBy(key, n.alias("_block")).agg(F.array_sort(F.collect_list(F.struct(at, value))).alias("_rows"))
     links = F.aggregate("_rows", F.array(F.lit(SEED)), lambda done, x: F.concat(done, F.array(_digest(F.element_at(done, -1), x[value]))))
     packed = written(packed.select(key, "_block", "_rows", links.alias("_links")), "journal-blocks")
     blocks = packed.select(key, F.col("_block").alias("_at"), F.element_at("_links", -1).alias("_value"))
     if blocks.where("_at > 0").limit(1).count():
-        above = _chained(blocks, key, "_at", "_value", block)
+        above = _chained(blocks, key, "_at", "_value", block, levels and levels - 1)
         # what the blocks before this one come to: on the level above, the value before it and all before that
         prefix = above.select(key, F.col("_at").alias("_block"), F.when(F.col("_at") == 0, SEED).otherwise(_digest(F.col("before"), F.col("above"))).alias("before"))
-        packed = packed.join(prefix, [key, "_block"])
+        same = packed[key].eqNullSafe(prefix[key]) & (packed["_block"] == prefix["_block"])
+        packed = packed.join(prefix, same).select(packed[key], packed["_block"], "_rows", "_links", "before")
     else:
         packed = packed.withColumn("before", F.lit(SEED))
     each = F.arrays_zip(F.col("_rows").alias("r"), F.slice("_links", F.lit(2), F.size("_rows")).alias("chain"), F.slice("_links", F.lit(1), F.size("_rows")).alias("above"))
@@ -39,10 +67,13 @@ def _chained(rows: DataFrame, key: str, at: str, value: str, block: int) -> Data
     return flat.select(key, F.col(f"x.r.{at}").alias(at), F.col(f"x.r.{value}").alias(value), "before", "x.chain", "x.above")
 
 
-def linked(rows: DataFrame, key: str, at: str, payload: str, block: int = BLOCK) -> DataFrame:
-    """rows(key, at, payload) with `link`, a digest that binds an entry to all entries of its journal before it. Entries are numbered from 0 in `at`; a null payload counts as an empty one."""
+def linked(rows: DataFrame, key: str, at: str, payload: str, block: int = BLOCK, levels: int | None = None) -> DataFrame:
+    """rows(key, at, payload) with `link`, a digest that binds an entry to all entries of its journal before it. Entries are numbered from 0 in `at`; a null payload counts as an empty one.
+
+    Blocks are bound in blocks of blocks, as many levels as a journal takes; with `levels`, in so many at most.
+    """
     entries = rows.select(key, F.col(at).cast("long").alias(at), F.sha2(F.coalesce(F.col(payload), F.lit("")), 256).alias("_payload"))
-    chained = _chained(entries, key, at, "_payload", block)
+    chained = _chained(entries, key, at, "_payload", block, levels)
     links = chained.select(F.col(key).alias("_k"), F.col(at).alias("_n"), _digest(F.col("before"), F.col("chain")).alias("link"))
     return rows.join(links, rows[key].eqNullSafe(links["_k"]) & (rows[at] == links["_n"])).drop("_k", "_n")
 
