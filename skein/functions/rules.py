@@ -37,18 +37,29 @@ def clamped(score: Column, floors: list[tuple[Column, float]], caps: list[tuple[
     return score
 
 
+#: Letters whose single capital is another than the several that F.upper gives: ß, and Greek ones with an iota below.
+_SMALL = "ß" + "".join(chr(k) for start in (0x1F80, 0x1F90, 0x1FA0) for k in range(start, start + 8)) + "\u1fb3\u1fc3\u1ff3"
+_CAPITAL = "ẞ" + "".join(chr(k + 8) for start in (0x1F80, 0x1F90, 0x1FA0) for k in range(start, start + 8)) + "\u1fbc\u1fcc\u1ffc"
+
+
+def capitals(text: Column) -> Column:
+    """Upper case letter by letter, as SQL gives it: ß has ẞ, and a letter with no single capital stays as it is, so a text keeps its length."""
+    each = F.transform(F.split(F.translate(text, _SMALL, _CAPITAL), ""), lambda c: F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(c))
+    return F.when(F.length(F.upper(text)) == F.length(text), F.upper(text)).otherwise(F.array_join(each, ""))
+
+
 def title_problem(title: Column) -> Column:
     """Why a title won't do, or null: missing, an address, markup, too short, no letters, shouted."""
-    bare = F.trim(title)
+    bare = F.regexp_replace(title, r"\A\p{Zs}+|\p{Zs}+\z", "")
     letters = F.regexp_replace(bare, r"[^\p{L}]", "")
     return first_of(
         [
             ("missing", bare.isNull() | (bare == "")),
-            ("address", bare.rlike(r"^(https?://|www\.)\S+$")),
+            ("address", bare.rlike(r"\A(https?://|www\.)[^\t\n\f\r ]+\z")),
             ("markup", bare.rlike(r"<[A-Za-z/][^>]*>|&[a-z]+;")),
             ("letterless", letters == ""),
             ("short", F.length(bare) < 12),
-            ("shouted", (F.length(letters) > 8) & (letters == F.upper(letters)) & (letters != F.lower(letters))),
+            ("shouted", (F.length(letters) > 8) & (letters == capitals(letters)) & (letters != F.lower(letters))),
         ]
     )
 

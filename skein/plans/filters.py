@@ -132,7 +132,7 @@ SELECT doc_id, CASE WHEN title IS NULL OR b = '' THEN 'missing' WHEN regexp_matc
 """)
 def title_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, text = F.col("doc_id") % 7, F.col("text")
-    title = F.when(k == 0, F.upper(F.left(text, F.lit(40)))).when(k == 1, F.concat(F.lit("https://example.org/"), "doc_id")).when(k == 2, "  ").when(k == 3, F.concat(F.lit("<b>"), F.left(text, F.lit(30)))).when(k == 4, F.left(text, F.lit(8))).when(k == 5, "12 - 34 - 56 - 78").otherwise(F.left(text, F.lit(60)))
+    title = F.when(k == 0, rules.capitals(F.left(text, F.lit(40)))).when(k == 1, F.concat(F.lit("https://example.org/"), "doc_id")).when(k == 2, "  ").when(k == 3, F.concat(F.lit("<b>"), F.left(text, F.lit(30)))).when(k == 4, F.left(text, F.lit(8))).when(k == 5, "12 - 34 - 56 - 78").otherwise(F.left(text, F.lit(60)))
     return table(spark, sf_dir, "documents").select("doc_id", title.alias("title")).select("doc_id", rules.title_problem(F.col("title")).alias("problem"))
 
 
