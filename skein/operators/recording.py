@@ -28,19 +28,20 @@ def extraction(recorded: Tables, attempts: DataFrame, items: DataFrame) -> Table
     attempt that gave nothing. An attempt that fails leaves one candidate, with the failure as its reason, and no item.
     """
     tried = attempts.where("run is not null").groupBy("run").agg(F.bool_or(F.col("failure").isNull()).alias("worked"), F.min("failure").alias("failure"))
-    before = recorded["runs"].select("run", F.col("status").alias("was"), F.col("attempts").alias("so_far"))
+    # runs grow with the batch but are small in files, where a join would take millions of them for few and send them through the driver
+    before = recorded["runs"].select("run", F.col("status").alias("was"), F.col("attempts").alias("so_far")).hint("merge")
     due = written(tried.join(before, "run", "left").where("was is null or was <> 'succeeded'"), "due-runs")
     done = due.select("run", F.when(F.col("worked"), "succeeded").otherwise("failed").alias("status"), (F.coalesce("so_far", F.lit(0)) + 1).alias("attempts"))
     placed = F.bool_or(F.col("reason").isNull())
     found = items.where("item is not null").groupBy("run", "item").agg(F.when(~placed, F.min("reason")).alias("reason"))
-    found = written(found.join(due.where("worked").select("run"), "run"), "found-items")
-    again = recorded["candidates"].join(due.select("run", F.lit(True).alias("again")), "run", "left")
+    found = written(found.join(due.where("worked").select("run").hint("merge"), "run"), "found-items")
+    again = recorded["candidates"].join(due.select("run", F.lit(True).alias("again")).hint("merge"), "run", "left")
     status = F.when(F.col("again") & (F.col("status") == "open"), "discarded").otherwise(F.col("status"))
     none = F.lit(None).cast(recorded["candidates"].schema["item"].dataType)
     failed = due.where("not worked").select("run", none.alias("item"), F.col("failure").alias("reason"), F.lit("open").alias("status"))
     left = found.where("reason is not null").select("run", "item", "reason", F.lit("open").alias("status"))
     return {
-        "runs": recorded["runs"].join(due.select("run"), "run", "left_anti").unionByName(done),
+        "runs": recorded["runs"].join(due.select("run").hint("merge"), "run", "left_anti").unionByName(done),
         "evidence": recorded["evidence"].unionByName(found.where("reason is null").select("run", "item")),
         "candidates": again.select("run", "item", "reason", status.alias("status")).unionByName(left).unionByName(failed),
     }
