@@ -6,6 +6,7 @@ import io
 import sqlite3
 import uuid
 import zipfile
+from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -80,20 +81,31 @@ SELECT name, orderkey, status, price, day, fault, CASE WHEN fault IS NULL THEN r
 """)
 def sqlite_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders in SQLite files, some damaged, read in ranges of rows and imported: new ids from old ones, and a running order within each day."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("orderkey"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.to_date("o_orderdate").cast("string").alias("day"), (F.col("o_orderkey") % 40).alias("file"))
-
-    def made(rows: pd.DataFrame) -> pd.DataFrame:
-        base = sqlite3.connect(":memory:")
-        base.execute("CREATE TABLE issues (orderkey INTEGER, status TEXT, price REAL, day TEXT)")
-        base.executemany("INSERT INTO issues VALUES (?, ?, ?, ?)", rows[["orderkey", "status", "price", "day"]].astype(object).values.tolist())
-        base.commit()
-        content = base.serialize()
-        file = int(rows["file"].iloc[0])
-        return pd.DataFrame({"name": [f"base {file}"], "content": [content[: len(content) // 3] + b"\0" * 500 if file % 10 == 3 else content]})
-
-    bases = written(orders.groupBy("file").applyInPandas(made, "name string, content binary"), "bases")
-    rows = written(blobs.sqlite_rows(bases, "issues", _COLUMNS, rows=200).select("name", "fault", *_COLUMNS.names).where("fault is null or orderkey is null").distinct(), "base-rows")
+    orders = table(spark, sf_dir, "orders").where("o_orderkey is not null").select(F.col("o_orderkey").alias("orderkey"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.to_date("o_orderdate").cast("string").alias("day"), (F.col("o_orderkey") % 40).alias("file"))
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, base = None, None
+
+        def content() -> pd.DataFrame:
+            base.commit()
+            whole = base.serialize()
+            base.close()
+            return pd.DataFrame({"name": [f"base {now}"], "content": [whole[: len(whole) // 3] + b"\0" * 500 if now % 10 == 3 else whole]})
+
+        for batch in batches:  # sorted by file
+            for file, rows in batch.groupby("file"):
+                if file != now:
+                    if base:
+                        yield content()
+                    now, base = int(file), sqlite3.connect(":memory:")
+                    base.execute("CREATE TABLE issues (orderkey INTEGER, status TEXT, price REAL, day TEXT)")
+                base.executemany("INSERT INTO issues VALUES (?, ?, ?, ?)", rows[["orderkey", "status", "price", "day"]].astype(object).values.tolist())
+        if base:
+            yield content()
+
+    bases = written(orders.repartition("file").sortWithinPartitions("file").mapInPandas(made, "name string, content binary"), "bases")
+    rows = written(blobs.sqlite_rows(bases, "issues", _COLUMNS, rows=200).select("name", "fault", *_COLUMNS.names).where("fault is null or orderkey is null"), "base-rows")
     parted = ranges.ranged(rows.where("fault is null").withColumn("one", F.lit(1)), ["day"], ["orderkey"])
     good = ranges.running(parted, ["day"], ["orderkey"], "one", "sort_order").select("name", *_COLUMNS.names, "fault", "sort_order", F.concat(F.lit("order_"), F.left(F.sha2(F.concat(F.lit("legacy|"), "orderkey"), 256), F.lit(24))).alias("new_id"))
-    bad = rows.where("fault is not null").select("name", *_COLUMNS.names, "fault", F.lit(None).cast("long").alias("sort_order"), F.lit(None).cast("string").alias("new_id"))
+    bad = rows.where("fault is not null").distinct().select("name", *_COLUMNS.names, "fault", F.lit(None).cast("long").alias("sort_order"), F.lit(None).cast("string").alias("new_id"))
     return good.unionByName(bad)

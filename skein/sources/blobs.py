@@ -7,6 +7,7 @@ import io
 import sqlite3
 import zipfile
 from collections.abc import Iterator
+from contextlib import closing
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -20,6 +21,8 @@ from skein.tables import written
 # Where a Word file keeps its text, and how large that may be when unpacked.
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 BODY, PROPERTIES, LARGEST = "word/document.xml", "docProps/core.xml", 64 << 20
+# A SQLite file is sent to one more task for each so many bytes, to so many at most.
+SPAN_BYTES, MOST_SPANS = 16 << 20, 8
 
 
 def _packed(content: Column) -> Column:
@@ -122,11 +125,20 @@ def _opened(content: bytes | None) -> sqlite3.Connection:
     return base
 
 
+def _spans(low: int, high: int, rows: int, size: int) -> list[tuple[int, int]]:
+    """Row ids low to high in spans of whole ranges of `rows`: one for each SPAN_BYTES of the file, at most MOST_SPANS."""
+    ranges = -(-(high - low + 1) // rows)
+    step = -(-ranges // min(ranges, MOST_SPANS, max(1, -(-size // SPAN_BYTES)))) * rows
+    return [(k, min(k + step - 1, high)) for k in range(low, high + 1, step)]
+
+
 def sqlite_rows(files: DataFrame, table: str, columns: StructType, rows: int = 100_000) -> DataFrame:
     """(name, row, fault, columns) of a table in SQLite files given as (name, content), read-only.
 
-    A file's rows are read in ranges of row ids, each by a task of its own, so that one large file is no single task. A
-    file that is no database or lacks the table has one row with the fault. Values are cast to the columns' types by Spark.
+    A file's rows are read in ranges of `rows` row ids. Consecutive ranges make up spans, each read by a task of its own,
+    so that one large file is no single task; a span costs one copy of the file's bytes, so there are few of them (see
+    _spans), however many ranges there are. A file that is no database or lacks the table has one row with the fault.
+    Values are cast to the columns' types by Spark.
     """
     text = ", ".join(f"{f.name} string" for f in columns)
     quoted = '"' + table.replace('"', '""') + '"'
@@ -135,9 +147,9 @@ def sqlite_rows(files: DataFrame, table: str, columns: StructType, rows: int = 1
         for batch in batches:
             for name, content in zip(batch["name"], batch["content"], strict=True):
                 try:
-                    base = _opened(content)
-                    low, high = base.execute(f"SELECT min(rowid), max(rowid) FROM {quoted}").fetchone()
-                    out = [] if low is None else [(name, k, min(k + rows - 1, high), None) for k in range(low, high + 1, rows)]
+                    with closing(_opened(content)) as base:
+                        low, high = base.execute(f"SELECT min(rowid), max(rowid) FROM {quoted}").fetchone()
+                    out = [] if low is None else [(name, *span, None) for span in _spans(low, high, rows, len(content))]
                 except sqlite3.Error as error:
                     out = [(name, None, None, type(error).__name__)]
                 yield pd.DataFrame(out, columns=["name", "low", "high", "fault"]).astype({"low": "Int64", "high": "Int64"})
@@ -146,13 +158,23 @@ def sqlite_rows(files: DataFrame, table: str, columns: StructType, rows: int = 1
         chosen = ", ".join(f'CAST("{f.name}" AS TEXT)' for f in columns)
         for batch in batches:
             for name, content, low, high in zip(batch["name"], batch["content"], batch["low"], batch["high"], strict=True):
-                try:
-                    found = _opened(content).execute(f"SELECT rowid, {chosen} FROM {quoted} WHERE rowid BETWEEN ? AND ? ORDER BY rowid", (int(low), int(high))).fetchall()
-                    yield pd.DataFrame([(name, r[0], None, *r[1:]) for r in found], columns=["name", "row", "fault", *columns.names])
-                except sqlite3.Error as error:
-                    yield pd.DataFrame([(name, None, type(error).__name__, *[None] * len(columns))], columns=["name", "row", "fault", *columns.names])
-
-    parts = written(files.mapInPandas(bounds, "name string, low long, high long, fault string"), "sqlite-ranges")
+                at, high = int(low), int(high)
+                with closing(_opened(content)) as base:
+                    while at <= high:
+                        try:
+                            found = base.execute(f"SELECT rowid, {chosen} FROM {quoted} WHERE rowid BETWEEN ? AND ? ORDER BY rowid", (at, min(at + rows - 1, high))).fetchall()
+                            yield pd.DataFrame([(name, r[0], None, *r[1:]) for r in found], columns=["name", "row", "fault", *columns.names])
+                            if not found:  # row ids may lie far apart
+                                following = base.execute(f"SELECT min(rowid) FROM {quoted} WHERE rowid BETWEEN ? AND ?", (at, high)).fetchone()[0]
+                                if following is None:
+                                    break
+                                at += (following - at) // rows * rows
+                                continue
+                        except sqlite3.Error as error:
+                            yield pd.DataFrame([(name, None, type(error).__name__, *[None] * len(columns))], columns=["name", "row", "fault", *columns.names])
+                        at += rows
+
+    parts = written(files.mapInPandas(bounds, "name string, low long, high long, fault string"), "sqlite-spans")
     dealt = parts.where("fault is null").join(files, "name").repartition("name", "low").select("name", "content", "low", "high")
     got = dealt.mapInPandas(read, f"name string, row long, fault string, {text}")
     bad = parts.where("fault is not null").select("name", F.lit(None).cast("long").alias("row"), "fault", *[F.lit(None).cast("string").alias(c) for c in columns.names])

@@ -97,3 +97,16 @@ def test_sqlite_files_are_read_in_ranges_and_damaged_ones_give_a_reason(spark):
     assert {r.name for r in got if r.fault} == {"damaged", "cut", "null"} and "none" not in {r.name for r in got}
     assert all(r.id is None for r in got if r.fault)
     assert {r.fault for r in blobs.sqlite_rows(files.where("name = 'few'"), "absent", columns).collect()} == {"OperationalError"}
+
+
+def test_a_sqlite_file_is_sent_to_few_tasks_however_many_ranges_it_has(spark):
+    assert blobs._spans(1, 225_000, 200, 10 << 20) == [(1, 225_000)]
+    assert blobs._spans(1, 1000, 200, 40 << 20) == [(1, 400), (401, 800), (801, 1000)]
+    assert len(blobs._spans(1, 10**9, 200, 10 << 30)) == blobs.MOST_SPANS
+    base = sqlite3.connect(":memory:")
+    base.execute("CREATE TABLE far (id INTEGER PRIMARY KEY)")
+    far = [-5, 1, 60, 61, 10**12, 2**62]  # as many ranges as no list can hold
+    base.executemany("INSERT INTO far VALUES (?)", [(k,) for k in far])
+    base.commit()
+    found = blobs.sqlite_rows(_rows(spark, [("far", base.serialize())]), "far", T.StructType([T.StructField("id", T.LongType())]), rows=60)
+    assert sorted(r.id for r in found.collect()) == far
