@@ -9,10 +9,11 @@ Contract fingerprints (`near_duplicates`): 64 bits, linked within 2 differing bi
    there two fingerprints differ in at most 2 bits exactly if some 64-bit value is at most one bit from both, and at
    most 65 fingerprints can be that near to one value, so each is linked to the smallest of its value's group.
 
-Near copies of a wider kind (`similar`): word shingles of Jaccard 0.8 or more. Such texts differ in 5 to 14 of 64 bits,
-too many for an exact grid, so a signature of 256 bits is embedded with segments of one bit (whose count is the bit): a
-cell is 20 of those segments and the logarithm of the number of shingles, 64 such cells a text. Texts that share a cell
-and differ in at most NEAR_BITS bits of the contract's kind of fingerprint are verified by the Jaccard of their shingles.
+Near copies by shingles (`similar`, `keep_one`): the same grid links their fingerprints at 2 bits, and the Jaccard of
+their word shingles, 0.8 or more, confirms the links. Beside it, for the near copies that differ in more bits (5 to 14 of
+64 are usual, too many for an exact grid), a signature of 256 bits is embedded with segments of one bit (whose count is
+the bit): a cell is 20 of those segments and the logarithm of the number of shingles, 64 such cells a text. Texts that
+share a cell and differ in at most NEAR_BITS bits of the contract's kind of fingerprint are confirmed in the same way.
 """
 
 from __future__ import annotations
@@ -225,6 +226,14 @@ def _within_cells(placed: DataFrame, near) -> DataFrame:
     return listed.select(F.explode(F.concat(stars, others)).alias("p")).select("p.*")
 
 
+def linked_texts(firsts: DataFrame) -> DataFrame:
+    """(a, b) over firsts(texts, fp), a written table of one row a set of shingles: the links of `links` between the smallest sets of two fingerprints, and each set with the smallest of its own."""
+    prints = written(firsts.groupBy("fp").agg(F.min("texts").alias("first")), "similar-prints")
+    end = lambda k: prints.select(F.col("fp").alias(k), F.col("first").alias(f"t{k}"))
+    across = links(prints.select("fp")).join(end("a"), "a").join(end("b"), "b").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))
+    return across.unionByName(firsts.join(prints, "fp").where("texts <> first").select(F.col("first").alias("a"), F.col("texts").alias("b")))
+
+
 def similar(docs: DataFrame, shingle: int = 5, jaccard: float = JACCARD) -> DataFrame:
     """(doc_id, text_hash, texts, component) of all rows: texts is a digest of the row's set of word shingles, component the smallest such digest reachable over pairs of that Jaccard.
 
@@ -236,7 +245,8 @@ def similar(docs: DataFrame, shingle: int = 5, jaccard: float = JACCARD) -> Data
     signed = written(keyed.select("doc_id", "text_hash", _signatures(F.col("text"), shingle).alias("s")).select("doc_id", "text_hash", "s.*"), "similar")
     firsts = signed.groupBy("texts").agg(F.min(F.struct("doc_id", "text_hash", "fp", "size", "cells")).alias("s"), F.count("*").alias("rows"))
     firsts = written(firsts.select("texts", "rows", "s.*"), "similar-firsts")
-    pairs = written(candidates(firsts.select("texts", "fp", "cells")), "similar-pairs")
+    pairs = linked_texts(firsts.select("texts", "fp")).unionByName(candidates(firsts.select("texts", "fp", "cells"))).distinct()
+    pairs = written(pairs, "similar-pairs")
     some = pairs.select(F.explode(F.array("a", "b")).alias("texts")).distinct().join(firsts.select("texts", "doc_id", "text_hash"), "texts")
     some = broadcast_below(written(some, "similar-some"), FEW)
     same_row = keyed["doc_id"].eqNullSafe(some["doc_id"]) & (keyed["text_hash"] == some["text_hash"])
