@@ -13,6 +13,7 @@ from skein.operators import merging, ranges
 from skein.plans.registry import query
 from skein.session import table
 from skein.sources import jsonl
+from skein.sources.files import FILE_ROWS
 from skein.sources.states import State
 from skein.tables import shared_folder
 
@@ -219,11 +220,12 @@ def registry_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o_orderkey AS id, sha256('{"id":' || o_orderkey || ',"status":"' || o_orderstatus || '"}') AS line_sha256, 1 AS digests FROM orders
 """)
 def manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of a manifest in JSON lines with the digest of each line; a file has one digest, whatever the order of its lines."""
+    """The rows of a manifest in JSON lines with the digest of each line, a file for each million of rows; a file has one digest, whatever the order of its lines."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
     folder = f"{shared_folder(spark)}/skein-manifest-{uuid.uuid4().hex}"
-    orders.coalesce(1).write.json(f"{folder}/a")
-    orders.coalesce(1).orderBy(F.desc("id")).coalesce(1).write.json(f"{folder}/b")
+    dealt = orders.repartition(-(-orders.count() // FILE_ROWS) or 1, "id")  # the same lines in the files of both, in other orders
+    dealt.write.json(f"{folder}/a")
+    dealt.sortWithinPartitions(F.desc("id")).write.json(f"{folder}/b")
     schema = T.StructType(_ORDERED.fields[:1] + _ORDERED.fields[2:])
     both = jsonl.manifest(spark, f"{folder}/*", schema, "id")
     return both.groupBy("id", "line_sha256").agg(F.count_distinct("file_digest").cast("int").alias("digests"))
