@@ -1,12 +1,13 @@
 """What would grow faster than its input: pairs that are shuffled, batches of whole texts, repeated work."""
 
 import random
+from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
 
-from skein.operators import stories
+from skein.operators import joining, stories
 from test_stories import SCHEMA, _events
 
 
@@ -28,3 +29,18 @@ def test_pairs_for_review_are_no_join_and_titles_are_bounded_as_the_matcher_has_
         assert set(block.like(block, r, some, some < r).tolist()) == want, mine
         found += len(want)
     assert found > 50
+
+
+def test_rows_that_share_items_are_counted_where_they_meet(spark):
+    rng = random.Random(7)
+    rows = [(rng.randint(0, 60), [rng.choice(["a", "b", "c", *map(str, range(30))]) for _ in range(rng.randint(0, 9))] + ([None] if k % 9 == 0 else [])) for k in range(90)] + [(None, ["a", "b", "29"])]
+    rows = [(k, w, 0.5 * len(set(w) - {None})) for k, w in rows]
+    df = spark.createDataFrame(rows, "id long, w array<string>, need double").repartition(5)
+    flat = [(k, x) for k, w, _ in rows for x in set(w) - {None}]
+    many = Counter(x for _, x in flat)
+    want = Counter((a, b) for a, x in flat for b, y in flat if x == y and 2 <= many[x] <= 25 and a is not None and b is not None and a < b)
+    need = {k: min(n for j, w, n in rows if j == k and set(w) - {None}) for k, _ in flat if k is not None}
+    for least, column in ((1, None), (2, None), (1, "need")):
+        pairs = joining.sharing(df, "id", "w", least, 25, column)
+        assert "Aggregate" not in _plan(pairs) and "Join" not in _plan(pairs)
+        assert {(r.a, r.b): r.shared for r in pairs.collect()} == {p: n for p, n in want.items() if n >= least and (column is None or n >= min(need[p[0]], need[p[1]]))}
