@@ -7,7 +7,8 @@ from difflib import SequenceMatcher
 import numpy as np
 import pyarrow as pa
 
-from skein.operators import joining, stories
+from skein.functions import stems
+from skein.operators import joining, passages, stories
 from test_stories import SCHEMA, _events
 
 
@@ -44,3 +45,20 @@ def test_rows_that_share_items_are_counted_where_they_meet(spark):
         pairs = joining.sharing(df, "id", "w", least, 25, column)
         assert "Aggregate" not in _plan(pairs) and "Join" not in _plan(pairs)
         assert {(r.a, r.b): r.shared for r in pairs.collect()} == {p: n for p, n in want.items() if n >= least and (column is None or n >= min(need[p[0]], need[p[1]]))}
+
+
+def test_a_text_is_parted_into_words_once_for_all_questions_and_passages_are_of_the_best(spark):
+    docs = spark.createDataFrame([(k, f"the river {'stones ' * (k % 3)}run north of winters", "en") for k in range(30)], "id long, text string, lang string")
+    asked = spark.createDataFrame([(q, "en", w) for q, w in enumerate((["river"], ["stone", "winter"], ["running", "north"]))], "query int, language string, words array<string>")
+    found = passages.stemmed_search(docs, "id", "text", "lang", asked, 2, every=False)
+    assert "LeftSemi" in _plan(found) and "Window" not in _plan(found)  # the best are known, and only their texts are read for passages
+    got = found.collect()
+    assert {(r.query, r.nth): r.id for r in got} == {(0, 1): 0, (0, 2): 1, (1, 1): 0, (1, 2): 3, (2, 1): 0, (2, 2): 1}
+    assert all(r.passage.startswith("the river") and r.matched == (2 if r.query == 2 else 1) for r in got)
+
+
+def test_only_distinct_words_are_stemmed_whatever_is_asked_of_the_stems(spark):
+    rows = spark.createDataFrame([(w, "en") for w in ("stones", "stone", "stones")], "word string, language string")
+    found = stems.stemmed(rows, "word", "language").where("stem is not null")
+    assert "Aggregate" not in _plan(found)  # the filter would be moved below it
+    assert sorted(tuple(r) for r in found.collect()) == [("en", "stone", "stone"), ("en", "stones", "stone")]
