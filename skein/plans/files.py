@@ -32,7 +32,7 @@ def _as_word(text: Column) -> Column:
             archive.writestr(zipfile.ZipInfo(blobs.BODY), f'<w:document xmlns:w="{blobs.WORD[1:-1]}"><w:body>{lines}</w:body></w:document>')
         return out.getvalue()
 
-    return F.arrow_udf(lambda values: pa.array([made(v) for v in values.to_pylist()], pa.binary()), "binary")(text)
+    return F.arrow_udf(lambda values: pa.array([made(v.as_py()) for v in values], pa.binary()), "binary")(text)
 
 
 _LINES = "list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', ' ', 'g'), chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(13) || chr(160))), lambda x: x <> '')"

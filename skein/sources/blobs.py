@@ -26,11 +26,11 @@ SPAN_BYTES, MOST_SPANS = 16 << 20, 8
 
 
 def _packed(content: Column) -> Column:
-    return F.arrow_udf(lambda values: pa.array([None if v is None else gzip.compress(v, mtime=0) for v in values.to_pylist()], pa.binary()), "binary")(content)
+    return F.arrow_udf(lambda values: pa.array([None if not v.is_valid else gzip.compress(v.as_py(), mtime=0) for v in values], pa.binary()), "binary")(content)
 
 
 def _unpacked(content: Column) -> Column:
-    return F.arrow_udf(lambda values: pa.array([None if v is None else gzip.decompress(v) for v in values.to_pylist()], pa.binary()), "binary")(content)
+    return F.arrow_udf(lambda values: pa.array([None if not v.is_valid else gzip.decompress(v.as_py()) for v in values], pa.binary()), "binary")(content)
 
 
 class Store:
@@ -67,8 +67,9 @@ class Store:
 
         A name that has, or is given, two contents is a conflict, and then nothing is written. Rows without a name or content are left out.
         """
-        given = rows.where(F.col("name").isNotNull() & F.col("content").isNotNull()).select("name", F.sha2("content", 256).alias("sha256"), "content")
-        given = written(given, "import")
+        given = written(rows.select("name", F.sha2("content", 256).alias("sha256"), "content"), "import")
+        # not before: Spark would make a content that comes from Python once for this filter and once more for the table
+        given = given.where(F.col("name").isNotNull() & F.col("content").isNotNull())
         named = given.groupBy("name").agg(F.min("sha256").alias("sha256"), F.max("sha256").alias("other"))
         old = self.names().withColumnRenamed("sha256", "old")
         state = F.when((F.col("sha256") != F.col("other")) | (F.col("old") != F.col("sha256")), "conflict").when(F.col("old").isNotNull(), "known").otherwise("new")
@@ -113,7 +114,7 @@ def _word(content: bytes | None) -> dict:
 def word_text(content: Column) -> Column:
     """struct(title, text, state) of a Word file: its paragraphs, empty lines between them; a damaged file has a state and no text."""
     kind = pa.struct([("title", pa.string()), ("text", pa.string()), ("state", pa.string())])
-    return F.arrow_udf(lambda values: pa.array([_word(v) for v in values.to_pylist()], kind), "struct<title: string, text: string, state: string>")(content)
+    return F.arrow_udf(lambda values: pa.array([_word(v.as_py()) for v in values], kind), "struct<title: string, text: string, state: string>")(content)
 
 
 def _opened(content: bytes | None) -> sqlite3.Connection:

@@ -6,9 +6,11 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from skein.functions import stems
 from skein.operators import joining, passages, stories
+from skein.sources import blobs
 from test_stories import SCHEMA, _events
 
 
@@ -62,3 +64,15 @@ def test_only_distinct_words_are_stemmed_whatever_is_asked_of_the_stems(spark):
     found = stems.stemmed(rows, "word", "language").where("stem is not null")
     assert "Aggregate" not in _plan(found)  # the filter would be moved below it
     assert sorted(tuple(r) for r in found.collect()) == [("en", "stone", "stone"), ("en", "stones", "stone")]
+
+
+def test_an_import_makes_each_content_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def content(values: pa.Array) -> pa.Array:
+        made.add(len(values))
+        return pa.array([None if v.as_py() == 3 else b"content" for v in values], pa.binary())
+
+    rows = spark.range(6).select(F.col("id").cast("string").alias("name"), F.arrow_udf(content, "binary")("id").alias("content"))
+    done, states = blobs.Store(spark, str(tmp_path / "store")).imported(rows)
+    assert done and states.count() == 5 and made.value == 6
