@@ -1,15 +1,18 @@
 """What would grow faster than its input: pairs that are shuffled, batches of whole texts, repeated work."""
 
+import math
 import random
+import re
 from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from skein.functions import stems
-from skein.operators import joining, passages, stories
+from skein.operators import joining, passages, retrieval, stories
 from skein.sources import blobs
 from test_stories import SCHEMA, _events
 
@@ -76,3 +79,20 @@ def test_an_import_makes_each_content_once(spark, tmp_path):
     rows = spark.range(6).select(F.col("id").cast("string").alias("name"), F.arrow_udf(content, "binary")("id").alias("content"))
     done, states = blobs.Store(spark, str(tmp_path / "store")).imported(rows)
     assert done and states.count() == 5 and made.value == 6
+
+
+def test_postings_are_counted_within_their_documents_and_shuffled_once_for_the_index(spark, tmp_path):
+    texts = ["The stone, the river; the STONE_1 the", "", None, "... !", "é É e a", "word " * 300 + "other", "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    rows = retrieval.postings(docs, "id", "text")
+    assert "Aggregate" not in _plan(rows) and _plan(rows).count("regexp_extract_all") == 1
+    words = {k: re.findall(r"\w+", (t or "").lower()) for k, t in enumerate(texts)}
+    want = {(w, k, n, len(found)) for k, found in words.items() for w, n in Counter(found).items()}
+    assert sorted(tuple(r) for r in rows.collect()) == sorted(want)
+    retrieval.indexed(docs, "id", "text", str(tmp_path / "index"))
+    kept = spark.read.parquet(str(tmp_path / "index" / "postings"))
+    assert {(r.term, r.id, r.tf, r.length) for r in kept.collect()} == want and kept.count() == len(want)
+    n, mean = len(texts), sum(map(len, words.values())) / sum(t is not None for t in texts)
+    score = lambda tf, df, length: math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))
+    got = {r.id: r.score for r in retrieval.from_index(spark, str(tmp_path / "index"), "id", ["the", "a"]).collect()}
+    assert got == {0: pytest.approx(score(4, 1, 7)), 4: pytest.approx(score(1, 2, 4)), 6: pytest.approx(score(1, 2, 1))}
