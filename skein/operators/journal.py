@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.tables import written
+from skein.functions.articles import let
+from skein.tables import broadcast_below, written
 
 #: Entries of a block.
 BLOCK = 256
 SEED = "0"
+#: What comes before each block is broadcast to so many of them at most.
+PREFIXES = 200_000
 
 
 def _digest(*parts: Column) -> Column:
@@ -40,42 +43,65 @@ def _in_one_chain(rows: DataFrame, key: str, at: str, value: str) -> DataFrame:
     return named.repartition(key).sortWithinPartitions(key, at).mapInPandas(run, schema)
 
 
-def _chained(rows: DataFrame, key: str, at: str, value: str, block: int, levels: int | None = None) -> DataFrame:
-    """rows(key, at, value) with `before`, a digest of all values of the key before the row's block, and `chain` and `above`, digests of the block's values up to the row and before it.
+def _packed(rows: DataFrame, key: str, value: Callable[[Column], Column], *more: Column) -> DataFrame:
+    """(key, _block, _rows, _last, more) as a written table: a row a block with its rows in their order, and the digest of all its values. rows: key, _block and the struct `_row` with `_at`; value: of such a row."""
+    place = lambda x, y: F.when(x["_at"] < y["_at"], -1).when(x["_at"] > y["_at"], 1).when(value(x) < value(y), -1).when(value(x) > value(y), 1).otherwise(0)
+    packed = rows.groupBy(key, "_block").agg(F.array_sort(F.collect_list("_row"), place).alias("_rows"), *more)
+    last = F.aggregate("_rows", F.lit(SEED), lambda done, x: _digest(done, value(x)))
+    return written(packed.withColumn("_last", last), "journal-blocks")
+
+
+def _bound(packed: DataFrame, key: str, value: Callable[[Column], Column], block: int, levels: int | None = None) -> DataFrame:
+    """The rows of _packed with `before`, a digest of all values of the key before the block.
 
     A block's last digest stands for it on the next level, where the blocks are chained in the same way, so a key of n
     rows takes log(n) levels and no task sees more than a block. With `levels`, the last of so many levels is one chain
     of all of a key's blocks, whose order leaves it to one task.
     """
-    if levels == 1:
-        return _in_one_chain(rows, key, at, value)
-    n = F.floor(F.col(at) / block)
-    packed = rows.groupBy(key, n.alias("_block")).agg(F.array_sort(F.collect_list(F.struct(at, value))).alias("_rows"))
-    links = F.aggregate("_rows", F.array(F.lit(SEED)), lambda done, x: F.concat(done, F.array(_digest(F.element_at(done, -1), x[value]))))
-    packed = written(packed.select(key, "_block", "_rows", links.alias("_links")), "journal-blocks")
-    blocks = packed.select(key, F.col("_block").alias("_at"), F.element_at("_links", -1).alias("_value"))
+    blocks = packed.select(key, F.col("_block").alias("_at"), F.col("_last").alias("_value"))
     if blocks.where("_at > 0").limit(1).count():
         above = _chained(blocks, key, "_at", "_value", block, levels and levels - 1)
         # what the blocks before this one come to: on the level above, the value before it and all before that
-        prefix = above.select(key, F.col("_at").alias("_block"), F.when(F.col("_at") == 0, SEED).otherwise(_digest(F.col("before"), F.col("above"))).alias("before"))
-        same = packed[key].eqNullSafe(prefix[key]) & (packed["_block"] == prefix["_block"])
-        packed = packed.join(prefix, same).select(packed[key], packed["_block"], "_rows", "_links", "before")
+        prefix = above.select(F.col(key).alias("_k"), F.col("_at").alias("_b"), F.when(F.col("_at") == 0, SEED).otherwise(_digest(F.col("before"), F.col("above"))).alias("before"))
+        prefix = broadcast_below(written(prefix, "journal-prefixes"), PREFIXES)
+        packed = packed.join(prefix, packed[key].eqNullSafe(prefix["_k"]) & (packed["_block"] == prefix["_b"])).drop("_k", "_b")
     else:
         packed = packed.withColumn("before", F.lit(SEED))
-    each = F.arrays_zip(F.col("_rows").alias("r"), F.slice("_links", F.lit(2), F.size("_rows")).alias("chain"), F.slice("_links", F.lit(1), F.size("_rows")).alias("above"))
-    flat = packed.select(key, "before", F.explode(each).alias("x"))
-    return flat.select(key, F.col(f"x.r.{at}").alias(at), F.col(f"x.r.{value}").alias(value), "before", "x.chain", "x.above")
+    return packed
+
+
+def _each(value: Callable[[Column], Column], of: Callable[[Column, Column, Column], Column]) -> Column:
+    """of(row, chain, above) of each row of a block: the digests of the block's values up to the row and before it. They are made once a block, wherever Spark moves the expression."""
+    links = F.aggregate("_rows", F.array(F.lit(SEED)), lambda done, x: F.concat(done, F.array(_digest(F.element_at(done, -1), value(x)))))
+    return let(links, lambda done: F.transform("_rows", lambda x, k: of(x, F.get(done, k + 1), F.get(done, k))))
+
+
+def _chained(rows: DataFrame, key: str, at: str, value: str, block: int, levels: int | None = None) -> DataFrame:
+    """rows(key, at, value) with `before`, a digest of all values of the key before the row's block, and `chain` and `above`, digests of the block's values up to the row and before it."""
+    if levels == 1:
+        return _in_one_chain(rows, key, at, value)
+    own = lambda x: x["_value"]
+    packed = _packed(rows.select(key, F.floor(F.col(at) / block).alias("_block"), F.struct(F.col(at).alias("_at"), F.col(value).alias("_value")).alias("_row")), key, own)
+    each = _each(own, lambda x, chain, above: F.struct(x["_at"].alias(at), x["_value"].alias(value), chain.alias("chain"), above.alias("above")))
+    flat = _bound(packed, key, own, block, levels).select(key, "before", F.explode(each).alias("x"))
+    return flat.select(key, f"x.{at}", f"x.{value}", "before", "x.chain", "x.above")
 
 
 def linked(rows: DataFrame, key: str, at: str, payload: str, block: int = BLOCK, levels: int | None = None) -> DataFrame:
     """rows(key, at, payload) with `link`, a digest that binds an entry to all entries of its journal before it. Entries are numbered from 0 in `at`; a null payload counts as an empty one.
 
-    Blocks are bound in blocks of blocks, as many levels as a journal takes; with `levels`, in so many at most.
+    Blocks are bound in blocks of blocks, as many levels as a journal takes; with `levels`, in so many at most. A
+    block's rows are shuffled once, whole, and stay together until they have their links.
     """
-    entries = rows.select(key, F.col(at).cast("long").alias(at), F.sha2(F.coalesce(F.col(payload), F.lit("")), 256).alias("_payload"))
-    chained = _chained(entries, key, at, "_payload", block, levels)
-    links = chained.select(F.col(key).alias("_k"), F.col(at).alias("_n"), _digest(F.col("before"), F.col("chain")).alias("link"))
-    return rows.join(links, rows[key].eqNullSafe(links["_k"]) & (rows[at] == links["_n"])).drop("_k", "_n")
+    rest = [c for c in rows.columns if c not in (key, at)]
+    value = lambda x: F.sha2(F.coalesce(x["_rest"][payload], F.lit("")), 256)
+    number = F.col(at).cast("long")
+    entry = F.struct(number.alias("_at"), F.struct(*rest).alias("_rest"))
+    packed = _packed(rows.where(number.isNotNull()).select(key, F.floor(number / block).alias("_block"), entry.alias("_row")), key, value)
+    each = _each(value, lambda x, chain, above: F.struct(x.alias("row"), chain.alias("chain")))
+    flat = _bound(packed, key, value, block, levels).select(key, "before", F.explode(each).alias("x"))
+    got = flat.select(key, F.col("x.row._at").cast(rows.schema[at].dataType).alias(at), "x.row._rest.*", _digest(F.col("before"), F.col("x.chain")).alias("link"))
+    return got.select(*rows.columns, "link")
 
 
 def first_breaks(stored: DataFrame, heads: DataFrame, key: str, at: str, payload: str, block: int = BLOCK) -> DataFrame:
@@ -83,25 +109,36 @@ def first_breaks(stored: DataFrame, heads: DataFrame, key: str, at: str, payload
 
     stored has key, at, payload and link; heads has key and `many`, how many entries were written. The fault is
     `lost` if an entry is missing or comes twice, `swapped` if its link fits the payload of the entry after it, else
-    `changed`. Links are made anew in blocks, and each is compared with the stored one.
+    `changed`. Links are made anew in blocks, and each is compared with the stored one. Entries are shuffled once, to
+    their blocks; of a block, only its first entry and what is wrong with it leave it.
     """
-    stored = written(stored.select(key, F.col(at).cast("long").alias(at), F.sha2(F.coalesce(F.col(payload), F.lit("")), 256).alias("_payload"), "link"), "journal")
-    counted = stored.groupBy(key, at).agg(F.count("*").alias("times"), F.min("_payload").alias("_payload"), F.min("link").alias("link"))
-    counted = written(counted, "journal-entries")
+    number = F.col(at).cast("long")
+    own = F.unhex(F.sha2(F.coalesce(F.col(payload), F.lit("")), 256))
+    entries = stored.where(number.isNotNull()).select(key, F.floor(number / block).alias("_block"), number.alias("_at"), own.alias("_own"), "link")
+    # by block, which serves both groupings
+    counted = entries.repartition(key, "_block").groupBy(key, "_block", "_at").agg(F.count("*").alias("_times"), F.min("_own").alias("_own"), F.min("link").alias("link"))
+    value = lambda x: F.lower(F.hex(x["_own"]))
+    twice = F.min(F.when(F.col("_times") > 1, F.col("_at"))).alias("_twice")
+    packed = _packed(counted.withColumn("_row", F.struct("_at", "_own", "link")), key, value, twice)
     # the first number that is missing, or comes twice: in blocks, numbers below a block's end
-    of_block = counted.groupBy(key, F.floor(F.col(at) / block).alias("b")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(at)).alias("ats"), F.min(F.when(F.col("times") > 1, F.col(at))).alias("twice"))
+    full = F.sequence(F.col("_block") * block, (F.col("_block") + 1) * block - 1)
+    first = F.get("_rows", F.lit(0))
+    ends = packed.select(F.col(key).alias("_j"), "_block", "_twice", F.array_min(F.array_except(full, F.transform("_rows", lambda x: x["_at"]))).alias("_gap"), first["_at"].alias("_first"), value(first).alias("_next"))
+    ends = written(ends, "journal-ends")
     spine = heads.select(F.col(key).alias("_k"), "many", F.explode(F.sequence(F.lit(0), F.floor((F.col("many") - 1) / block))).alias("_b")).where("many > 0")
-    met = spine.join(of_block, spine["_k"].eqNullSafe(of_block[key]) & (spine["_b"] == of_block["b"]), "left")
-    want = F.sequence(F.col("_b") * block, F.least(F.col("many"), (F.col("_b") + 1) * block) - 1)
-    gap = F.array_min(F.array_except(want, F.coalesce("ats", F.array().cast("array<bigint>"))))
-    lost = met.select(F.col("_k").alias(key), F.least(gap, F.col("twice")).alias(at)).groupBy(key).agg(F.min(at).alias(at)).where(F.col(at).isNotNull()).withColumn("fault", F.lit("lost"))
-    chained = _chained(counted.select(key, at, "_payload"), key, at, "_payload", block)
-    following = counted.select(F.col(key).alias("_k"), (F.col(at) - 1).alias("_n"), F.col("_payload").alias("_next"))
-    both = chained.join(counted.select(F.col(key).alias("_c"), F.col(at).alias("_m"), "link"), F.col(key).eqNullSafe(F.col("_c")) & (F.col(at) == F.col("_m")))
-    both = both.join(following, F.col(key).eqNullSafe(F.col("_k")) & (F.col(at) == F.col("_n")), "left")
-    bad = both.where(~F.col("link").eqNullSafe(_digest(F.col("before"), F.col("chain"))))
-    fault = F.when(F.col("link") == _digest(F.col("before"), _digest(F.col("above"), F.col("_next"))), "swapped").otherwise("changed")
-    wrong = bad.select(key, at, fault.alias("fault"))
-    every = lost.unionByName(wrong)
-    first = every.groupBy(key).agg(F.min(F.struct(F.col(at), F.when(F.col("fault") == "lost", 0).otherwise(1).alias("o"), "fault")).alias("f"))
-    return first.select(key, F.col(f"f.{at}").alias(at), "f.fault")
+    met = spine.join(ends, F.col("_k").eqNullSafe(F.col("_j")) & (F.col("_b") == F.col("_block")), "left")
+    gap = F.when(F.col("_block").isNull(), F.col("_b") * block).when(F.col("_gap") < F.col("many"), F.col("_gap"))
+    lost = met.select(F.col("_k").alias(key), F.least(gap, F.col("_twice")).alias("_at")).groupBy(key).agg(F.min("_at").alias("_at")).where("_at is not null")
+    each = _each(value, lambda x, chain, above: F.struct(x["_at"].alias("_at"), x["link"].alias("link"), chain.alias("chain"), above.alias("above")))
+    bad = _bound(packed, key, value, block).select(key, "_block", "before", F.get(F.filter(each, lambda x: ~x["link"].eqNullSafe(_digest(F.col("before"), x["chain"]))), F.lit(0)).alias("x"), "_rows")
+    then = F.get(F.filter("_rows", lambda y: y["_at"] == F.col("x._at") + 1), F.lit(0))
+    bad = bad.select(key, "_block", F.struct("before", "x.*", F.when(then.isNotNull(), value(then)).alias("then")).alias("x"))
+    bad = bad.groupBy(key).agg(F.min_by(F.struct("_block", "x"), F.when(F.col("x._at").isNotNull(), F.col("_block"))).alias("f")).select(key, "f._block", "f.x").where("x is not null")
+    # the entry after it, which may begin the next block
+    after = ends.select("_j", (F.col("_block") - 1).alias("_b"), F.col("_first").alias("_n"), "_next")
+    bad = bad.join(after, F.col(key).eqNullSafe(F.col("_j")) & (F.col("_block") == F.col("_b")) & (F.col("x._at") + 1 == F.col("_n")), "left")
+    following = F.coalesce("x.then", "_next")
+    fault = F.when(F.col("x.link") == _digest(F.col("x.before"), _digest(F.col("x.above"), following)), "swapped").otherwise("changed")
+    every = lost.withColumn("fault", F.lit("lost")).unionByName(bad.select(key, F.col("x._at").alias("_at"), fault.alias("fault")))
+    found = every.groupBy(key).agg(F.min(F.struct(F.col("_at"), F.when(F.col("fault") == "lost", 0).otherwise(1).alias("o"), "fault")).alias("f"))
+    return found.select(key, F.col("f._at").alias(at), "f.fault")

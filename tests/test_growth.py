@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.functions import stems
-from skein.operators import joining, passages, retrieval, stories
+from skein.operators import joining, journal, passages, retrieval, stories
 from skein.sources import blobs
 from test_stories import SCHEMA, _events
 
@@ -96,3 +96,18 @@ def test_postings_are_counted_within_their_documents_and_shuffled_once_for_the_i
     score = lambda tf, df, length: math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))
     got = {r.id: r.score for r in retrieval.from_index(spark, str(tmp_path / "index"), "id", ["the", "a"]).collect()}
     assert got == {0: pytest.approx(score(4, 1, 7)), 4: pytest.approx(score(1, 2, 4)), 6: pytest.approx(score(1, 2, 1))}
+
+
+def test_entries_of_a_journal_stay_with_their_blocks_until_they_have_links(spark):
+    entries = [(j, n, f"p{n % 7}", {"more": n}) for j in ("a", None) for n in range(40)] + [("a", None, "no number", None)]
+    rows = spark.createDataFrame(entries, "j string, n int, payload string, rest map<string,int>").repartition(3)
+    made = journal.linked(rows, "j", "n", "payload", block=4)
+    assert made.columns == ["j", "n", "payload", "rest", "link"] and made.schema["n"] == rows.schema["n"]
+    assert _plan(made).count("Join ") == 1 and "Aggregate" not in _plan(made)  # what comes before a block, and no second meeting of rows and links
+    got = made.collect()
+    assert sorted((str(r.j), r.n, r.payload, r.rest["more"]) for r in got) == sorted((str(j), n, p, x["more"]) for j, n, p, x in entries if n is not None)
+    assert len({r.link for r in got}) == 40
+    stored = spark.createDataFrame([(r.j, r.n, ("p4" if r.n == 3 else "p3" if r.n == 4 else r.payload) if r.j else r.payload, r.link) for r in got if r.j or r.n != 20], "j string, n int, payload string, link string")
+    heads = spark.createDataFrame([("a", 40), (None, 40)], "j string, many long")
+    found = journal.first_breaks(stored, heads, "j", "n", "payload", block=4)
+    assert {(r.j, r.n, r.fault) for r in found.collect()} == {("a", 3, "swapped"), (None, 20, "lost")}
