@@ -39,12 +39,13 @@ def upserted(state: DataFrame, feed: DataFrame, keys: list[str], order: list[str
 def inserted(state: DataFrame, feed: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The state with the feed's rows of keys it lacks, the first of a key by `order`; what is there stays as it is. Keys are compared null-safe."""
     rest = [c for c in state.columns if c not in keys]
-    first = feed.select(*keys).distinct()
-    if rest:
-        first = feed.groupBy(*keys).agg(F.min(F.struct(*order, F.struct(*rest).alias("_row"))).alias("_new")).select(*keys, *[F.col(f"_new._row.{c}").alias(c) for c in rest])
-    known = state.select(*[F.col(k).alias(f"_known_{k}") for k in keys])
-    new = first.join(known, [F.col(k).eqNullSafe(F.col(f"_known_{k}")) for k in keys], "left_anti")
-    return state.unionByName(new.select(*state.columns))
+    new = feed.select(*keys, F.struct(*order, F.struct(*rest).alias("_row")).alias("_new")) if rest else feed.select(*keys)
+    # the known keys are grouped along with the feed's, so that no task sorts both for a join after it has sorted the feed for the grouping
+    both = new.withColumn("_known", F.lit(0)).unionByName(state.select(*keys, F.lit(1).alias("_known")), allowMissingColumns=True)
+    if rest:  # rows that are sorted for a grouping are small in a shuffle and large in memory: by a fixed number their parts are not put together by size
+        both = both.repartition(int(state.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    first = both.groupBy(*keys).agg(F.max("_known").alias("_known"), *([F.min("_new").alias("_new")] if rest else [])).where("_known = 0")
+    return state.unionByName(first.select(*[F.col(c) if c in keys else F.col(f"_new._row.{c}").alias(c) for c in state.columns]))
 
 
 def replaced(state: DataFrame, feed: DataFrame, part: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.functions import stems
-from skein.operators import joining, journal, passages, retrieval, stories
+from skein.operators import joining, journal, merging, passages, retrieval, stories
 from skein.sources import blobs
 from test_stories import SCHEMA, _events
 
@@ -111,3 +111,14 @@ def test_entries_of_a_journal_stay_with_their_blocks_until_they_have_links(spark
     heads = spark.createDataFrame([("a", 40), (None, 40)], "j string, many long")
     found = journal.first_breaks(stored, heads, "j", "n", "payload", block=4)
     assert {(r.j, r.n, r.fault) for r in found.collect()} == {("a", 3, "swapped"), (None, 20, "lost")}
+
+
+def test_what_is_known_is_grouped_with_the_feed_and_not_sorted_for_a_join(spark):
+    state = spark.createDataFrame([(1, "x", "old", 1.0), (1, "x", "copy", 2.0), (None, "y", "null key", 3.0)], "a long, b string, who string, w double")
+    feed = spark.createDataFrame([(1, "x", "new", 0.0), (None, "y", "new", 0.0), (None, None, "later", 5.0), (None, None, "first", 6.0), (2, "x", None, 7.0), (2, "x", "last", 1.0)], "a int, b string, who string, w double")
+    got = merging.inserted(state, feed, ["a", "b"], ["who"])
+    assert "Join" not in _plan(got) and "RepartitionByExpression" in _plan(got) and got.schema["a"].dataType == state.schema["a"].dataType
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [*map(tuple, state.collect()), (None, None, "first", 6.0), (2, "x", None, 7.0)]))
+    keys = merging.inserted(state.select("a", "b"), feed.select("a", "b"), ["a", "b"], [])
+    assert "Join" not in _plan(keys)
+    assert sorted(map(str, map(tuple, keys.collect()))) == sorted(map(str, [(1, "x"), (1, "x"), (None, "y"), (None, None), (2, "x")]))
