@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
 import io
 import sqlite3
 import zipfile
@@ -25,19 +24,11 @@ BODY, PROPERTIES, LARGEST = "word/document.xml", "docProps/core.xml", 64 << 20
 SPAN_BYTES, MOST_SPANS = 16 << 20, 8
 
 
-def _packed(content: Column) -> Column:
-    return F.arrow_udf(lambda values: pa.array([None if not v.is_valid else gzip.compress(v.as_py(), mtime=0) for v in values], pa.binary()), "binary")(content)
-
-
-def _unpacked(content: Column) -> Column:
-    return F.arrow_udf(lambda values: pa.array([None if not v.is_valid else gzip.decompress(v.as_py()) for v in values], pa.binary()), "binary")(content)
-
-
 class Store:
     """Blobs named by the digest of their content, each kept once, and names that point to them and never change. One writer at a time.
 
     Blobs are written before the names that point to them, so a lost run leaves at most blobs without a name, and running
-    it again ends in the same store.
+    it again ends in the same store. Contents are compressed by Parquet, so no Python holds them.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -59,8 +50,8 @@ class Store:
 
     def read(self) -> DataFrame:
         """(name, sha256, content) of everything; content whose digest is no longer its name's is null."""
-        found = self.names().join(self.blobs(), "sha256", "left").withColumn("content", _unpacked(F.col("packed")))
-        return found.select("name", "sha256", F.when(F.sha2("content", 256) == F.col("sha256"), F.col("content")).alias("content"))
+        found = self.names().join(self.blobs(), "sha256", "left")
+        return found.select("name", "sha256", F.when(F.sha2("packed", 256) == F.col("sha256"), F.col("packed")).alias("content"))
 
     def imported(self, rows: DataFrame) -> tuple[bool, DataFrame]:
         """Adds rows(name, content), all or nothing; whether it did, and (name, state) of each name: new, known, or conflict.
@@ -76,9 +67,9 @@ class Store:
         states = written(named.join(old, "name", "left").select("name", "sha256", state.alias("state")), "import-states")
         if states.where("state = 'conflict'").limit(1).count():
             return False, states.select("name", "state")
-        # one content a digest; only contents that the store lacks are packed and written
+        # one content a digest; only contents that the store lacks are written
         fresh = given.select("sha256", "content").join(self.blobs().select("sha256"), "sha256", "left_anti").groupBy("sha256").agg(F.first("content").alias("content"))
-        fresh.select("sha256", F.length("content").cast("long").alias("size"), _packed(F.col("content")).alias("packed")).write.mode("append").parquet(f"{self.folder}/blobs")
+        fresh.select("sha256", F.length("content").cast("long").alias("size"), F.col("content").alias("packed")).write.mode("append").option("compression", "gzip").parquet(f"{self.folder}/blobs")
         states.where("state = 'new'").select("name", "sha256").write.mode("append").parquet(f"{self.folder}/names")
         return True, states.select("name", "state")
 

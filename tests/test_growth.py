@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from skein.functions import stems
+from skein.functions import articles, stems
 from skein.operators import joining, journal, merging, passages, retrieval, stories
 from skein.sources import blobs
 from test_stories import SCHEMA, _events
@@ -122,3 +122,11 @@ def test_what_is_known_is_grouped_with_the_feed_and_not_sorted_for_a_join(spark)
     keys = merging.inserted(state.select("a", "b"), feed.select("a", "b"), ["a", "b"], [])
     assert "Join" not in _plan(keys)
     assert sorted(map(str, map(tuple, keys.collect()))) == sorted(map(str, [(1, "x"), (1, "x"), (None, "y"), (None, None), (2, "x")]))
+
+
+def test_contents_of_a_store_are_packed_and_read_without_python(spark, tmp_path):
+    store = blobs.Store(spark, str(tmp_path / "store"))
+    store.imported(spark.createDataFrame([("a", bytearray(b"text " * 20_000)), ("b", bytearray())], "name string, content binary"))
+    assert "Python" not in store.read()._jdf.queryExecution().executedPlan().toString()
+    assert {r.name: bytes(r.content) for r in store.read().collect()} == {"a": b"text " * 20_000, "b": b""}
+    assert sum(f.stat().st_size for f in (tmp_path / "store" / "blobs").glob("*.parquet")) < 10_000
