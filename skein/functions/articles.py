@@ -261,6 +261,10 @@ def json_text(raw: Column) -> Column:
     return F.arrow_udf(lambda values: pa.array([_strings(v) for v in values.to_pylist()], pa.string()), "string")(raw)
 
 
+#: Names of the two character sets that Spark reads as Python does.
+UTF_8, LATIN_1 = ("utf-8", "utf8", "utf_8"), ("latin-1", "latin1", "iso-8859-1", "iso8859-1", "iso_8859-1")
+
+
 def _decoded(payload: bytes | None, named: str | None) -> str | None:
     if payload is None:
         return None
@@ -276,5 +280,10 @@ def _decoded(payload: bytes | None, named: str | None) -> str | None:
 def decoded(payload: Column, content_type: Column) -> Column:
     """Bytes as text: by the character set that the content type names, else UTF-8, else Windows-1251, else Latin-1."""
     named = F.nullif(F.regexp_extract(F.coalesce(content_type, F.lit("")), r"(?i)charset\s*=\s*[\"']?([^;\s\"']+)", 1), F.lit(""))
-    run = lambda payloads, names: pa.array([_decoded(p, n) for p, n in zip(payloads.to_pylist(), names.to_pylist(), strict=True)], pa.string())
-    return F.arrow_udf(run, "string")(payload, named)
+    # what Spark can read itself doesn't go to Python, and Python holds one value of a batch at a time
+    text, low = payload.cast("string"), F.lower(named)
+    plain = F.is_valid_utf8(text) & F.coalesce(low.isin(*UTF_8), F.lit(True))
+    narrow = F.coalesce(low.isin(*LATIN_1), F.lit(False))
+    run = lambda payloads, names: pa.array((_decoded(p.as_py(), n.as_py()) for p, n in zip(payloads, names, strict=True)), pa.string(), size=len(payloads))
+    rest = F.arrow_udf(run, "string")(F.when(~(plain | narrow), payload), named)
+    return F.when(narrow, F.decode(payload, "ISO-8859-1")).when(plain, text).otherwise(rest)

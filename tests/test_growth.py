@@ -130,3 +130,13 @@ def test_contents_of_a_store_are_packed_and_read_without_python(spark, tmp_path)
     assert "Python" not in store.read()._jdf.queryExecution().executedPlan().toString()
     assert {r.name: bytes(r.content) for r in store.read().collect()} == {"a": b"text " * 20_000, "b": b""}
     assert sum(f.stat().st_size for f in (tmp_path / "store" / "blobs").glob("*.parquet")) < 10_000
+
+
+def test_only_bytes_that_spark_cannot_read_go_to_python(spark):
+    cases = [(b, kind) for b in (None, b"", "Größe €".encode(), "Größe".encode("latin-1"), "Слово".encode("windows-1251"), b"\x98", b"\xed\xa0\x80", b"\xc0\x80", b"\xef\xbb\xbfx\0y", "😀".encode()) for kind in (None, "text/html", "x; charset=UTF-8", "x; Charset='latin-1'", "x; charset=ISO-8859-1", "x; charset=none-such", "x; charset=utf-16")]
+    rows = spark.createDataFrame([(k, None if b is None else bytearray(b), kind) for k, (b, kind) in enumerate(cases)], "k int, b binary, kind string").repartition(2)
+    names = [None, None, "utf-8", "latin-1", "latin-1", "none-such", "utf-16"]
+    got = {r.k: r.text for r in rows.select("k", articles.decoded(F.col("b"), F.col("kind")).alias("text")).collect()}
+    assert got == {k: articles._decoded(b, names[k % 7]) for k, (b, _) in enumerate(cases)}
+    plan = _plan(rows.select(articles.decoded(F.col("b"), F.col("kind")).alias("text")))
+    assert "isvalid" in plan.lower()
