@@ -14,6 +14,7 @@ their word shingles, 0.8 or more, confirms the links. Beside it, for the near co
 64 are usual, too many for an exact grid), a signature of 256 bits is embedded with segments of one bit (whose count is
 the bit): a cell is 20 of those segments and the logarithm of the number of shingles, 64 such cells a text. Texts that
 share a cell and differ in at most NEAR_BITS bits of the contract's kind of fingerprint are confirmed in the same way.
+Groups are first compared as stars; where a star is not confirmed, all pairs that are not connected yet follow.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 STEP = 1 << 14
 #: Rows that a broadcast may hold (16 bytes each); more are joined by a shuffle.
 FEW = 500_000
-#: Rows of one task when fingerprints are put into cells.
-TASK_ROWS = 10_000
+#: Rows of one task when fingerprints are put into cells, and members of a cell of which all pairs meet in one join group.
+TASK_ROWS, BLOCK = 10_000, 512
 
 #: Cells of a text's 256-bit signature, and the segments of one bit that each has; bits that near copies differ in at most; factor between sizes of one cell.
 CELLS, CELL_BITS, NEAR_BITS, SIZES = 64, 20, 20, 4.0
@@ -187,19 +188,29 @@ def _sets(text: Column, shingle: int) -> Column:
     return F.arrow_udf(lambda texts: pa.array([np.unique(shingle_hashes(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle)).view(np.int64) for x in texts], kind), "array<bigint>")(text)
 
 
+def _placed(signed: DataFrame) -> DataFrame:
+    """(cell, texts, fp) of signed(texts, fp, cells), a row for each of a text's cells."""
+    spread = signed.repartition(-(-signed.count() // TASK_ROWS) or 1, "texts")
+    placed = spread.select("texts", "fp", F.posexplode("cells").alias("k", "c"))
+    return placed.select(F.col("k").cast("long").bitwiseOR(F.shiftleft(F.col("c").cast("long"), 8)).alias("cell"), "texts", "fp")
+
+
+def _crowded(placed: DataFrame) -> DataFrame:
+    """The cells of more than CROWD, and how many are in them."""
+    return written(placed.groupBy("cell").agg(F.count("*").alias("many")).where(F.col("many") > CROWD).select("cell", "many"), "similar-crowded")
+
+
 def candidates(signed: DataFrame) -> DataFrame:
     """(a, b) over signed(texts, fp, cells), a written table of one row a set of shingles: pairs that share a cell and differ in NEAR_BITS bits at most.
 
-    In each cell all are compared with the smallest, and those unlike it with each other; in a cell of more than CROWD,
+    In each cell all are compared with the smallest, and those unlike it with all others; in a cell of more than CROWD,
     those unlike the smallest are compared with their own smallest, and so on, until CROWD or fewer are left: a large
     group of near copies thus gives one pair a member, and no cell gives a number of pairs that grows with its square.
+    The pairs that are left out are for `apart`, once it is known which texts are connected.
     """
     near = lambda x, y: _differ(x, y) <= NEAR_BITS
-    total = signed.count()
-    spread = signed.repartition(-(-total // TASK_ROWS) or 1, "texts")
-    placed = spread.select("texts", "fp", F.posexplode("cells").alias("k", "c")).select(F.col("k").cast("long").bitwiseOR(F.shiftleft(F.col("c").cast("long"), 8)).alias("cell"), "texts", "fp")
-    crowded = written(placed.groupBy("cell").agg(F.count("*").alias("many")).where(F.col("many") > CROWD).select("cell"), "similar-crowded")
-    few = broadcast_below(crowded, FEW)
+    placed = _placed(signed)
+    few = broadcast_below(_crowded(placed).select("cell"), FEW)
     parts = [_within_cells(placed.join(few, "cell", "left_anti"), near)]
     rest = written(placed.join(few, "cell"), "similar-rest")
     while rest.limit(1).count():
@@ -217,13 +228,42 @@ def candidates(signed: DataFrame) -> DataFrame:
 
 
 def _within_cells(placed: DataFrame, near) -> DataFrame:
-    """The near pairs within cells of CROWD members at most: all with the smallest, and those unlike it with each other."""
+    """The near pairs within cells of CROWD members at most, save those of two that are both near the smallest."""
     listed = placed.groupBy("cell").agg(F.collect_list(F.struct("texts", "fp")).alias("all")).where(F.size("all") > 1).select("all", F.array_min("all").alias("first"))
     pair = lambda x, y: F.struct(F.least(x["texts"], y["texts"]).alias("a"), F.greatest(x["texts"], y["texts"]).alias("b"))
-    listed = listed.select("all", "first", F.filter("all", lambda x: ~near(x["fp"], F.col("first.fp"))).alias("rest"))
-    stars = F.transform(F.filter("all", lambda x: near(x["fp"], F.col("first.fp")) & (x["texts"] != F.col("first.texts"))), lambda x: pair(F.col("first"), x))
+    like_first = lambda x: near(x["fp"], F.col("first.fp"))
+    listed = listed.select("first", F.filter("all", lambda x: like_first(x) & (x["texts"] != F.col("first.texts"))).alias("star"), F.filter("all", lambda x: ~like_first(x)).alias("rest"))
+    stars = F.transform("star", lambda x: pair(F.col("first"), x))
+    mixed = F.flatten(F.transform("rest", lambda x: F.transform(F.filter("star", lambda y: near(x["fp"], y["fp"])), lambda y: pair(x, y))))
     others = F.flatten(F.transform("rest", lambda x: F.transform(F.filter("rest", lambda y: (x["texts"] < y["texts"]) & near(x["fp"], y["fp"])), lambda y: pair(x, y))))
-    return listed.select(F.explode(F.concat(stars, others)).alias("p")).select("p.*")
+    return listed.select(F.explode(F.concat(stars, mixed, others)).alias("p")).select("p.*")
+
+
+def apart(signed: DataFrame, grid: DataFrame, pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b) over signed(texts, fp, cells): near pairs that pairs(a, b), of grid and candidates, leaves out and roots(node, root) does not connect.
+
+    A star stands for the pairs of its members only if all of it is confirmed. What is confirmed is connected, so here
+    only texts of different components meet: those near the same text in pairs (`star`), in a crowded cell (`cell`), or
+    in fingerprints that grid(a, b) connects (`grid`). Groups that lie in one component drop out, and the rest meets in
+    pairs of blocks of BLOCK members, so no group lies in one task.
+    """
+    placed = _placed(signed)
+    prints = signed.select("texts", "fp")
+    starred = pairs.select(F.lit("star").alias("kind"), F.col("a").alias("group"), F.col("b").alias("texts")).join(prints, "texts")
+    crowded = placed.join(broadcast_below(_crowded(placed).select("cell"), FEW), "cell").select(F.lit("cell").alias("kind"), F.col("cell").alias("group"), "texts", "fp")
+    linked = components(grid).select(F.lit("grid").alias("kind"), F.col("root").alias("group"), F.col("node").alias("texts")).join(prints, "texts")
+    held = starred.unionByName(crowded).unionByName(linked).join(roots.select(F.col("node").alias("texts"), "root"), "texts", "left")
+    held = written(held.select("kind", "group", "texts", "fp", F.coalesce("root", "texts").alias("label")), "similar-held")
+    several = held.groupBy("kind", "group").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("many"))
+    several = written(several.where("low <> high").select("kind", "group", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")), "similar-several")
+    rest = held.join(broadcast_below(several, FEW), ["kind", "group"]).withColumn("own", F.pmod(F.xxhash64("texts"), "blocks").cast("int"))
+    rest = written(rest, "similar-open")
+    member = lambda k: [F.col("texts").alias(k), F.col("fp").alias(f"{k}fp"), F.col("label").alias(f"{k}l")]
+    x = rest.select("kind", "group", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), *member("x"))
+    y = rest.select("kind", "group", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), *member("y"))
+    most = F.when(F.col("kind") == "grid", 2).otherwise(NEAR_BITS)
+    met = x.join(y, ["kind", "group", "i", "j"]).where((F.col("xl") != F.col("yl")) & (_differ(F.col("xfp"), F.col("yfp")) <= most) & ((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def linked_texts(firsts: DataFrame) -> DataFrame:
@@ -234,6 +274,20 @@ def linked_texts(firsts: DataFrame) -> DataFrame:
     return across.unionByName(firsts.join(prints, "fp").where("texts <> first").select(F.col("first").alias("a"), F.col("texts").alias("b")))
 
 
+def _confirmed(pairs: DataFrame, keyed: DataFrame, firsts: DataFrame, shingle: int, jaccard: float) -> DataFrame:
+    """Those of pairs(a, b), a written table, whose sets of shingles have that Jaccard; firsts(texts, doc_id, text_hash) says which row of keyed has a set's text."""
+    some = pairs.select(F.explode(F.array("a", "b")).alias("texts")).distinct().join(firsts.select("texts", "doc_id", "text_hash"), "texts")
+    some = broadcast_below(written(some, "similar-some"), FEW)
+    same_row = keyed["doc_id"].eqNullSafe(some["doc_id"]) & (keyed["text_hash"] == some["text_hash"])
+    sets = keyed.join(some, same_row).select(some["texts"], keyed["text"]).dropDuplicates(["texts"])
+    sets = written(sets.select("texts", _sets(F.col("text"), shingle).alias("s")), "similar-sets")
+    sa, sb = sets.select(F.col("texts").alias("a"), F.col("s").alias("sa")), sets.select(F.col("texts").alias("b"), F.col("s").alias("sb"))
+    shared = pairs.join(sa, "a").join(sb, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
+    kept = written(shared.where(F.col("both") >= jaccard * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), "similar-confirmed")
+    removed(sets)
+    return kept
+
+
 def similar(docs: DataFrame, shingle: int = 5, jaccard: float = JACCARD) -> DataFrame:
     """(doc_id, text_hash, texts, component) of all rows: texts is a digest of the row's set of word shingles, component the smallest such digest reachable over pairs of that Jaccard.
 
@@ -245,18 +299,16 @@ def similar(docs: DataFrame, shingle: int = 5, jaccard: float = JACCARD) -> Data
     signed = written(keyed.select("doc_id", "text_hash", _signatures(F.col("text"), shingle).alias("s")).select("doc_id", "text_hash", "s.*"), "similar")
     firsts = signed.groupBy("texts").agg(F.min(F.struct("doc_id", "text_hash", "fp", "size", "cells")).alias("s"), F.count("*").alias("rows"))
     firsts = written(firsts.select("texts", "rows", "s.*"), "similar-firsts")
-    pairs = linked_texts(firsts.select("texts", "fp")).unionByName(candidates(firsts.select("texts", "fp", "cells"))).distinct()
-    pairs = written(pairs, "similar-pairs")
-    some = pairs.select(F.explode(F.array("a", "b")).alias("texts")).distinct().join(firsts.select("texts", "doc_id", "text_hash"), "texts")
-    some = broadcast_below(written(some, "similar-some"), FEW)
-    same_row = keyed["doc_id"].eqNullSafe(some["doc_id"]) & (keyed["text_hash"] == some["text_hash"])
-    sets = keyed.join(some, same_row).select(some["texts"], keyed["text"]).dropDuplicates(["texts"])
-    sets = written(sets.select("texts", _sets(F.col("text"), shingle).alias("s")), "similar-sets")
-    sa, sb = sets.select(F.col("texts").alias("a"), F.col("s").alias("sa")), sets.select(F.col("texts").alias("b"), F.col("s").alias("sb"))
-    shared = pairs.join(sa, "a").join(sb, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
-    found = components(shared.where(F.col("both") >= jaccard * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"))
+    signatures = firsts.select("texts", "fp", "cells")
+    grid = written(linked_texts(signatures.select("texts", "fp")), "similar-grid")
+    pairs = written(grid.unionByName(candidates(signatures)).distinct(), "similar-pairs")
+    linked = _confirmed(pairs, keyed, firsts, shingle, jaccard)
+    found = components(linked)
+    more = written(apart(signatures, grid, pairs, found).join(pairs, ["a", "b"], "left_anti"), "similar-more")
+    if more.limit(1).count():
+        found = components(linked.unionByName(_confirmed(more, keyed, firsts, shingle, jaccard)))
     members = written(firsts.select("texts", "rows").join(found, F.col("texts") == F.col("node"), "left").select("texts", "rows", F.coalesce("root", "texts").alias("component")), "similar-members")
-    for table in (pairs, sets):
+    for table in (grid, pairs, linked, more):
         removed(table)
     return looked_up(signed.select("doc_id", "text_hash", "texts"), members, "texts", "rows", signed.count()).select("doc_id", "text_hash", "texts", "component")
 
